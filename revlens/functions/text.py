@@ -29,6 +29,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element ``transform``).
+
+    Catalyst may inline a projected column back into a lambda that references it,
+    re-evaluating it per element; binding it as a lambda variable prevents that."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_text(col) -> Column:
     """Non-string / null -> empty string."""
     return F.coalesce(_c(col).cast("string"), F.lit(""))
@@ -161,7 +169,7 @@ def sentences(col) -> Column:
 def sentences_with(text_col, cand_col) -> Column:
     """sentences containing the candidate (case-insensitive); [text] if none."""
     hit = F.filter(sentences(text_col), lambda s: F.lower(s).contains(_c(cand_col)))
-    return F.when(F.size(hit) > 0, hit).otherwise(F.array(as_text(text_col)))
+    return let(hit, lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(as_text(text_col))))
 
 
 def stop_delimited(col, stop_words: list[str]) -> Column:

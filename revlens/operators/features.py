@@ -69,9 +69,11 @@ def meta_features(df: DataFrame, rating_col="rating", verified_col="verified_pur
 
 def feature_table(df: DataFrame, scorer, id_col: str = "review_id", text_col: str = "review_text",
                   rating_col="rating", verified_col="verified_purchase", helpful_col="helpful_votes",
-                  total_col="total_votes", label_col="sentiment_label", conf_col="sentiment_confidence") -> DataFrame:
+                  total_col="total_votes", label_col="sentiment_label", conf_col="sentiment_confidence",
+                  keep_label: bool = False) -> DataFrame:
     """all features per row, nulls -> 0.0.  When the frame has no sentiment
-    columns, the label/confidence come from ``scorer`` in the same aggregate."""
+    columns, the label/confidence come from ``scorer`` in the same aggregate
+    (``keep_label`` also returns the label, for the A4 pipeline)."""
     has_sent = label_col in df.columns
     carry_src = df.select(
         id_col, text_col, *row_features(text_col),
@@ -87,8 +89,9 @@ def feature_table(df: DataFrame, scorer, id_col: str = "review_id", text_col: st
         it = it.withColumn(label_col, label).withColumn(
             conf_col, F.when(label == "NEUTRAL", 1.0 - F.abs(c)).otherwise(F.abs(c)))
     meta = meta_features(it, rating_col, verified_col, helpful_col, total_col, label_col, conf_col)
-    out = it.select(id_col, *[F.col(c) for c in ROW_FEATURES], *[F.col(c) for c in LEXICON_FEATURES], *meta)
-    return out.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURE_COLUMNS])
+    lab = [F.col(label_col)] if keep_label else []
+    out = it.select(id_col, *lab, *[F.col(c) for c in ROW_FEATURES], *[F.col(c) for c in LEXICON_FEATURES], *meta)
+    return out.select(id_col, *lab, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURE_COLUMNS])
 
 
 def merge_features(base: DataFrame, feats: DataFrame, id_col: str = "review_id") -> DataFrame:

@@ -103,8 +103,9 @@ class LexiconScorer:
         scored = j.select(*keys, *carry_cols, F.col("tok"), F.coalesce(v2, F.lit(0.0)).alias("v"),
                           pol.alias("pol"), F.col("subjectivity").alias("subj"))
 
-        agg = scored.groupBy(*keys).agg(
-            *[F.first(c).alias(c) for c in carry_cols],
+        # carried columns depend on the key, so they join the grouping key: the
+        # aggregate stays a (codegen) hash aggregate whatever their types are
+        agg = scored.groupBy(*keys, *carry_cols).agg(
             F.count("tok").alias("n_tokens"),
             F.sum("v").alias("s"),
             F.sum(F.when(F.col("v") > 0, F.col("v") + 1.0).otherwise(0.0)).alias("pos_sum"),

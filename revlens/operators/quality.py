@@ -36,9 +36,8 @@ def profile_counts(df: DataFrame, text_col: str = "review_text") -> DataFrame:
     if text_col in df.columns:
         distinct = F.count_distinct(F.col(text_col)) + F.max(F.col(text_col).isNull().cast("bigint"))
         return df.agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - distinct).alias("n_duplicates"))
-    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    d = df.distinct().agg(F.count(F.lit(1)).alias("n_distinct"))
-    return n.crossJoin(d).select("n_rows", (F.col("n_rows") - F.col("n_distinct")).alias("n_duplicates"))
+    n_distinct = df.distinct().select(F.count(F.lit(1))).scalar()
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - n_distinct).alias("n_duplicates"))
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
@@ -65,13 +64,10 @@ def text_length_outliers(df: DataFrame, text_col: str = "review_text") -> DataFr
     the 99th percentile of all lengths (linear interpolation).
 
     Exact ``percentile`` keeps one counter per distinct length, so its state is
-    bounded by the length range, not by the row count; the two cut-offs come back
-    as a one-row frame that is cross-joined by broadcast.
+    bounded by the length range, not by the row count; the two cut-offs enter the
+    counting pass as scalar subqueries (no join).
     """
     lengths = df.select(F.length(as_text(text_col)).cast("bigint").alias("len"))
-    cuts = lengths.agg(
-        F.coalesce(F.expr("percentile(len, 0.01) FILTER (WHERE len > 0)"), F.lit(0.0)).alias("lo"),
-        F.coalesce(F.percentile(F.col("len"), 0.99), F.lit(0.0)).alias("hi"),
-    )
-    return lengths.crossJoin(F.broadcast(cuts)).agg(
-        F.count_if((F.col("len") < F.col("lo")) | (F.col("len") > F.col("hi"))).alias("text_length_outliers"))
+    lo = lengths.select(F.coalesce(F.expr("percentile(len, 0.01) FILTER (WHERE len > 0)"), F.lit(0.0))).scalar()
+    hi = lengths.select(F.coalesce(F.percentile(F.col("len"), 0.99), F.lit(0.0))).scalar()
+    return lengths.agg(F.count_if((F.col("len") < lo) | (F.col("len") > hi)).alias("text_length_outliers"))

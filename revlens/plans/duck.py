@@ -124,3 +124,71 @@ def lexicon_ctes(prefix: str, src: str, keys: list[str], text_expr: str) -> str:
     CASE WHEN abs(s / sqrt(s * s + {COMPOUND_ALPHA})) < {th} THEN 1.0 - abs(s / sqrt(s * s + {COMPOUND_ALPHA}))
          ELSE abs(s / sqrt(s * s + {COMPOUND_ALPHA})) END AS score
   FROM {prefix}_f)"""
+
+
+def prepared_base(name: str = "base") -> str:
+    """CTE ``base(id, text)``: reviews deduplicated on the stripped text (first id), then cleaned."""
+    from revlens.plans.oracle_views import duck_clean
+    st = strip(txt("review_text"))
+    return f"""{name} AS (
+  SELECT review_id AS id, {duck_clean('txt')} AS text, rating, verified_purchase, helpful_votes, total_votes
+  FROM (SELECT *, {st} AS txt, row_number() OVER (PARTITION BY {st} ORDER BY review_id) AS rn FROM reviews) d
+  WHERE rn = 1)"""
+
+
+def absa_ctes() -> str:
+    """CTEs from ``base(id, text)`` to ``absa_long(id, aspect, aspect_ord, candidates,
+    aspect_sentiment, aspect_confidence, n_units)``, plus ``cands`` and ``mapped``."""
+    return f"""
+cand_raw AS (SELECT id, unnest(cl) AS cand, unnest(generate_series(1, len(cl))) AS pos
+             FROM (SELECT id, {candidates_list('text')} AS cl FROM base) t),
+cand_first AS (SELECT id, cand, min(pos) AS p FROM cand_raw GROUP BY id, cand),
+cands AS (SELECT id, cand AS candidate, CAST(row_number() OVER (PARTITION BY id ORDER BY p) - 1 AS INTEGER) AS cand_pos
+          FROM cand_first),
+mapped AS (SELECT DISTINCT c.id, c.cand_pos, c.candidate, a.aspect, a.aspect_ord
+           FROM cands c JOIN fx_aspects a ON contains(c.candidate, a.seed)),
+mapped_all AS (SELECT id, aspect, string_agg(candidate, '|' ORDER BY cand_pos) AS candidates FROM mapped GROUP BY id, aspect),
+top3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, aspect ORDER BY cand_pos) AS r FROM mapped) t WHERE r <= 3),
+sents AS (SELECT id, unnest(sl) AS s, unnest(generate_series(1, len(sl))) AS s_idx
+          FROM (SELECT id, {sentences_list('text')} AS sl FROM base) t),
+hits AS (SELECT t.id, t.aspect, t.aspect_ord, t.cand_pos, s.s_idx,
+                row_number() OVER (PARTITION BY t.id, t.aspect, t.cand_pos ORDER BY s.s_idx) AS k
+         FROM top3 t JOIN sents s ON t.id = s.id AND contains(lower(s.s), t.candidate)),
+units AS (SELECT id, aspect, aspect_ord, cand_pos, s_idx FROM hits WHERE k <= 2
+          UNION ALL
+          SELECT t.id, t.aspect, t.aspect_ord, t.cand_pos, 0 AS s_idx FROM top3 t
+          WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.id = t.id AND h.aspect = t.aspect AND h.cand_pos = t.cand_pos)),
+utext AS (SELECT u.id, u.s_idx, CASE WHEN u.s_idx = 0 THEN b.text ELSE s.s END AS stext
+          FROM (SELECT DISTINCT id, s_idx FROM units) u JOIN base b ON b.id = u.id
+          LEFT JOIN sents s ON s.id = u.id AND s.s_idx = u.s_idx),
+{lexicon_ctes('us', 'utext', ['id', 's_idx'], txt('stext'))},
+absa_long AS (
+  SELECT u.id, u.aspect, u.aspect_ord, m.candidates,
+    avg(CASE WHEN us.label LIKE '%NEG%' THEN -us.score WHEN us.label LIKE '%POS%' THEN us.score ELSE 0.0 END)
+      AS aspect_sentiment,
+    avg(us.score) AS aspect_confidence, count(*) AS n_units
+  FROM units u JOIN us ON us.id = u.id AND us.s_idx = u.s_idx
+  JOIN mapped_all m ON m.id = u.id AND m.aspect = u.aspect
+  GROUP BY u.id, u.aspect, u.aspect_ord, m.candidates)"""
+
+
+def feature_select(b: str = "b", sc: str = "sc") -> str:
+    """SELECT list of the F12 feature table over base alias ``b`` and scores alias ``sc``."""
+    t = f"{b}.text"
+    fk, fog = readability(t)
+    num = f"TRY_CAST(trim({b}.rating) AS DOUBLE)"
+    sign = (f"CASE WHEN {sc}.label LIKE '%NEG%' THEN -1.0 WHEN {sc}.label LIKE '%POS%' THEN 1.0 ELSE 0.0 END")
+    return f"""
+  {char_count(t)}::DOUBLE AS char_count, {word_count(t)}::DOUBLE AS word_count,
+  {sentence_count(t)}::DOUBLE AS sentence_count, round({ttr(t)}, 6) AS type_token_ratio,
+  round({fk}, 6) AS flesch_kincaid_grade, round({fog}, 6) AS gunning_fog,
+  round({sc}.vader_neg, 6) AS vader_neg, round({sc}.vader_neu, 6) AS vader_neu, round({sc}.vader_pos, 6) AS vader_pos,
+  round({sc}.vader_compound, 6) AS vader_compound, round({sc}.tb_polarity, 6) AS tb_polarity,
+  round({sc}.tb_subjectivity, 6) AS tb_subjectivity,
+  {entity_count(t)}::DOUBLE AS ner_count, {number_tokens(t)}::DOUBLE AS num_token_count,
+  round(CASE WHEN coalesce({b}.total_votes, 0) <> 0 THEN coalesce({b}.helpful_votes, 0) / {b}.total_votes ELSE 0.0 END, 6)
+    AS helpful_ratio,
+  CASE WHEN lower(trim({b}.verified_purchase)) IN ('true', 'yes', '1') THEN 1.0 ELSE 0.0 END::DOUBLE AS verified_purchase,
+  coalesce({num}, 0.0) AS rating,
+  round(CASE WHEN {num} IS NULL THEN 0.0 ELSE abs(({num} - 3.0) / 2.0 - {sign}) END, 6) AS rating_sentiment_discordance,
+  round({sc}.score, 6) AS sentiment_confidence"""
