@@ -96,8 +96,8 @@ def confidence_histogram(scored: DataFrame, col: str = "sentiment_confidence", b
     edge lowered by 0.1 % of the range (or +-0.1 % of |min| when all values are
     equal); empty bins listed with 0.  (bin, left, right, n)."""
     c = F.col(col)
-    mn = scored.select(F.min(c)).scalar()
-    mx = scored.select(F.max(c)).scalar()
+    mm = scored.select(F.struct(F.min(c).alias("mn"), F.max(c).alias("mx"))).scalar()
+    mn, mx = mm["mn"], mm["mx"]
     rng = mx - mn
     # equal values: pandas widens both ends by 0.1 % of |value| (or 0.001 when 0)
     adj = F.when(mn == 0, F.lit(0.001)).otherwise(F.abs(mn) * 0.001)
@@ -105,8 +105,10 @@ def confidence_histogram(scored: DataFrame, col: str = "sentiment_confidence", b
     hi = F.when(rng == 0, mx + adj).otherwise(mx)
     width = (hi - lo) / bins
     edge = lambda i: lo + width * i
-    b = F.when(c == lo, F.lit(1)).otherwise(F.ceil((c - lo) / width).cast("int"))
-    b = F.least(F.greatest(b, F.lit(1)), F.lit(bins))
+    b0 = F.least(F.greatest(F.ceil((c - lo) / width).cast("int"), F.lit(1)), F.lit(bins))
+    # settle values that float rounding put on the wrong side of an edge: bins are (left, right]
+    b = (F.when((b0 > 1) & (c <= edge(b0 - 1)), b0 - 1)
+         .when((b0 < bins) & (c > edge(b0)), b0 + 1).otherwise(b0))
     counts = scored.where(c.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = scored.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     left = F.when(F.col("bin") == 1, F.when(rng == 0, lo).otherwise(lo - rng * 0.001)).otherwise(edge(F.col("bin") - 1))
