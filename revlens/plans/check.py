@@ -99,8 +99,12 @@ def main(argv: list[str]) -> int:
             continue
         if name not in ORACLES:
             t0 = time.time()
-            n = QUERIES[name](spark, sf_dir).count()
-            print(f"ROWS  {name}: {n} rows ({time.time() - t0:.1f}s)", flush=True)
+            try:
+                n = QUERIES[name](spark, sf_dir).count()
+                print(f"ROWS  {name}: {n} rows ({time.time() - t0:.1f}s)", flush=True)
+            except Exception as e:
+                bad += 1
+                print(f"FAIL  {name}: {type(e).__name__}: {str(e)[:400]}", flush=True)
             continue
         try:
             r = compare(spark, name, QUERIES[name], ORACLES[name], sf_dir, con)

@@ -56,3 +56,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint dir for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage before an iterative estimator: a reliable checkpoint in the
+    cluster's shared ``spark.checkpoint.dir`` (survives executor loss; never a
+    machine-local folder on a cluster)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
