@@ -111,11 +111,11 @@ def tfidf_classifier(train: DataFrame, label_col: str, text_col: str = "review_t
     return PipelineModel(stages=feat.stages + [clf])
 
 
-def positive_probability(pred: DataFrame) -> Column:
-    """P(class 1) from a probability vector, or the raw margin sign for SVMs."""
+def positive_score(pred: DataFrame) -> Column:
+    """Score for class 1: the probability when the model has one, else the raw margin (SVM)."""
     if "probability" in pred.columns:
         return vector_to_array("probability")[1]
-    return (vector_to_array("rawPrediction")[1] > 0).cast("double")
+    return vector_to_array("rawPrediction")[1]
 
 
 # --- ML5 --------------------------------------------------------------------

@@ -215,7 +215,7 @@ def _text_model(spark, sf, kind):
     model = ML.tfidf_classifier(sp.where(~F.col("is_test")), "toxic", "review_text", kind=kind)
     pred = model.transform(sp.where("is_test"))
     return pred.select("doc_id", F.col("toxic").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"),
-                       ML.positive_probability(pred).alias("p1"))
+                       ML.positive_score(pred).alias("score"))
 
 
 @query("tfidf_logreg", oracle=None)

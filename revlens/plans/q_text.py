@@ -9,6 +9,7 @@ from revlens.functions import text as T
 from revlens.operators import features as FE
 from revlens.operators.lexicon import LexiconScorer, predict_sentiment
 from revlens.plans import duck as D
+from revlens.plans.oracle_views import duck_clean
 from revlens.plans.registry import query, r6
 from revlens.sources import tables
 
@@ -109,7 +110,10 @@ def q_require_text(spark, sf):
     return FE.require_text(tables.reviews(spark, sf)).select("review_id", "review_text")
 
 
-@query("clean_text", views=("reviews",), oracle=None)
+@query("clean_text", views=("reviews",), oracle=f"""
+SELECT review_id, {duck_clean('review_text')} AS review_text, rating, verified_purchase, helpful_votes, total_votes,
+       ts_epoch, reviewer_id, product_id, lang FROM reviews
+""")
 def q_clean_text(spark, sf):
     """The cleaner applied to a frame column (checked through basic_clean's oracle)."""
     r = tables.reviews(spark, sf)
