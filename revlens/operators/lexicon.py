@@ -1,8 +1,9 @@
 """Lexicon-based intensity and polarity (F5, F6) and the lexicon sentiment scorer.
 
 Plan (one narrow stage per input partition, one small shuffle):
-    tokens(text) -> inline_outer(token, 3 previous tokens)
+    tokens(text) -> inline(token, 3 previous tokens) + one sentinel row
       -> broadcast LEFT JOIN lexicon(token)      (size-checked table)
+      -> keep lexicon hits and the sentinel      (the aggregate sees hits only)
       -> partial aggregate by row key            (map-side combine)
       -> shuffle of one small row per key -> final aggregate.
 The text itself never crosses a shuffle; a 20,000-word review becomes 20,000
@@ -84,13 +85,19 @@ class LexiconScorer:
                 F.get(F.col("_t"), i - 1).alias("p1"),
                 F.get(F.col("_t"), i - 2).alias("p2"),
                 F.get(F.col("_t"), i - 3).alias("p3"),
+                F.lit(False).alias("_sentinel"),
             ),
         )
-        rows = toks.select(*keys, *carry_cols, F.inline_outer(spread))
+        # one sentinel row per text keeps texts without any lexicon hit (and carries the
+        # token count), so only lexicon hits + one row per text reach the aggregate
+        sentinel = F.array(F.struct(F.lit(None).cast("string").alias("tok"), F.lit(None).cast("string").alias("p1"),
+                                    F.lit(None).cast("string").alias("p2"), F.lit(None).cast("string").alias("p3"),
+                                    F.lit(True).alias("_sentinel")))
+        rows = toks.select(*keys, *carry_cols, F.size("_t").alias("_ntok"), F.inline(F.concat(spread, sentinel)))
         lex = bounded_broadcast(
             self.lexicon.select(F.col("token").alias("tok"), "valence", "polarity", "subjectivity"),
             MAX_BROADCAST_LEXICON_ROWS, self.lexicon_rows)
-        j = rows.join(lex, "tok", "left")
+        j = rows.join(lex, "tok", "left").where(F.col("valence").isNotNull() | F.col("_sentinel"))
 
         neg = _lit_array(list(self.negation))
         is_neg = lambda c: F.coalesce(F.array_contains(neg, c), F.lit(False))
@@ -100,17 +107,17 @@ class LexiconScorer:
         v1 = v + F.signum(v) * boost
         v2 = F.when(is_neg(F.col("p1")) | is_neg(F.col("p2")) | is_neg(F.col("p3")), v1 * NEGATION_SCALAR).otherwise(v1)
         pol = F.when(is_neg(F.col("p1")), F.col("polarity") * POLARITY_NEGATION).otherwise(F.col("polarity"))
-        scored = j.select(*keys, *carry_cols, F.col("tok"), F.coalesce(v2, F.lit(0.0)).alias("v"),
+        scored = j.select(*keys, *carry_cols, "_ntok", F.col("valence"), F.coalesce(v2, F.lit(0.0)).alias("v"),
                           pol.alias("pol"), F.col("subjectivity").alias("subj"))
 
         # carried columns depend on the key, so they join the grouping key: the
         # aggregate stays a (codegen) hash aggregate whatever their types are
         agg = scored.groupBy(*keys, *carry_cols).agg(
-            F.count("tok").alias("n_tokens"),
+            F.max("_ntok").alias("n_tokens"),
             F.sum("v").alias("s"),
             F.sum(F.when(F.col("v") > 0, F.col("v") + 1.0).otherwise(0.0)).alias("pos_sum"),
             F.sum(F.when(F.col("v") < 0, F.col("v") - 1.0).otherwise(0.0)).alias("neg_sum"),
-            F.count_if(F.col("v") != 0).alias("n_nonzero"),
+            F.count_if(F.col("valence").isNotNull() & (F.col("v") != 0)).alias("n_nonzero"),
             F.avg("pol").alias("tb_polarity"),
             F.avg("subj").alias("tb_subjectivity"),
         )

@@ -124,7 +124,9 @@ def prefix_below(sc: DataFrame, group_cols: Sequence[str] = (), buckets: int = P
         b = sc.join(F.broadcast(bounds), g)
     else:
         b = sc.withColumn("_b", bounds.select("_b").scalar())
-    b = b.withColumn("_bucket", F.size(F.filter("_b", lambda x: x < F.col("score")))).drop("_b")
+    # non-nullable bucket: otherwise an inferred isnotnull(_bucket) is pushed below the
+    # aggregate and the bound lookup runs on every raw row instead of every distinct score
+    b = b.withColumn("_bucket", F.coalesce(F.size(F.filter("_b", lambda x: x < F.col("score"))), F.lit(0))).drop("_b")
     tot = b.groupBy(*g, "_bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wb = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*g, "_bucket", F.coalesce(F.sum("_bp").over(wb), F.lit(0.0)).alias("_op"),
