@@ -79,10 +79,10 @@ def ws_tokens(col) -> Column:
 
 
 def type_token_ratio(col) -> Column:
-    """distinct / total of lower-cased alphabetic whitespace tokens; 0 if none."""
-    toks = F.filter(F.split(F.lower(as_text(col)), f"[{WS}]+", -1), lambda x: x.rlike(r"^\p{L}+$"))
-    n = F.size(toks)
-    return F.when(n > 0, F.size(F.array_distinct(toks)) / n).otherwise(F.lit(0.0))
+    """distinct / total of lower-cased alphabetic whitespace tokens; 0 if none.
+    The alphabetic tokens are extracted by one regex over the text (no per-token lambda)."""
+    toks = F.regexp_extract_all(F.lower(as_text(col)), F.lit(f"(?<![^{WS}])" + r"\p{L}+" + f"(?![^{WS}])"), 0)
+    return let(toks, lambda t: F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(F.lit(0.0)))
 
 
 def letter_words(col) -> Column:
@@ -95,15 +95,16 @@ def readability(col) -> Column:
     words = runs of letters; sentences = max(1, count of [.!?]); syllables of a
     word = max(1, vowel groups); complex word = at least three vowel groups.
     """
-    t = as_text(col)
-    words = letter_words(t)
-    w = F.size(words).cast("double")
+    t = F.lower(as_text(col))
+    cons = f"[\\p{{L}}&&[^{VOWELS}]]"
+    w = F.regexp_count(t, F.lit(r"\p{L}+")).cast("double")
     s = F.greatest(F.lit(1), F.regexp_count(t, F.lit("[.!?]"))).cast("double")
-    groups = F.regexp_count(F.lower(t), F.lit(f"[{VOWELS}]+")).cast("double")
-    no_vowel = F.size(F.filter(words, lambda x: ~x.rlike(f"[{VOWELS}]"))).cast("double")
+    groups = F.regexp_count(t, F.lit(f"[{VOWELS}]+")).cast("double")
+    # whole-word patterns, counted over the text: words without a vowel, and words with
+    # at least three vowel groups (possessive quantifiers keep a vowel run in one group)
+    no_vowel = F.regexp_count(t, F.lit(r"(?<!\p{L})" + cons + r"+(?!\p{L})")).cast("double")
     syl = groups + no_vowel
-    complex_w = F.size(F.filter(words, lambda x: x.rlike(
-        f"[{VOWELS}]+[^{VOWELS}]+[{VOWELS}]+[^{VOWELS}]+[{VOWELS}]"))).cast("double")
+    complex_w = F.regexp_count(t, F.lit(r"(?<!\p{L})(?:" + cons + f"*+[{VOWELS}]++){{3}}" + r"\p{L}*")).cast("double")
     fk = F.when(w > 0, 0.39 * (w / s) + 11.8 * (syl / w) - 15.59).otherwise(F.lit(0.0))
     fog = F.when(w > 0, 0.4 * ((w / s) + 100.0 * (complex_w / w))).otherwise(F.lit(0.0))
     return F.struct(fk.alias("flesch_kincaid_grade"), fog.alias("gunning_fog"))

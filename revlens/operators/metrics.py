@@ -157,8 +157,10 @@ def roc_auc_ovr(df: DataFrame, y: str, prob_cols: Sequence[str]) -> DataFrame:
 
 def average_precision(df: DataFrame, y: str = "y_true", score: str = "p_a") -> DataFrame:
     """M7: step-form AP = sum over distinct thresholds (desc) of (pos_s / P) * precision(s)."""
-    pb = prefix_below(score_counts(df, y, score))
-    tot = pb.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    sc = score_counts(df, y, score)
+    pb = prefix_below(sc)
+    # totals over strictly-below prefixes: P - pos_below = positives at or above the score
+    tot = sc.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
     P, N = tot["P"], tot["N"]
     tp = P - F.col("pos_below")
     fp = N - F.col("neg_below")
