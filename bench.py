@@ -18,7 +18,7 @@ from revlens.session import local_session  # noqa: E402
 
 HEADLINE = [
     "revenue_impact",        # flagship: dedup -> clean -> mine -> map -> score sentences -> roll-up
-    "absa_pipeline",         # sentiment + features + wide aspects
+    "absa_enriched",         # sentiment + features + wide aspects
     "feature_table",
     "remove_duplicates",
     "lexicon_intensity",

@@ -206,14 +206,14 @@ query("revenue_impact", views=ABSA_VIEWS, oracle=REVENUE_SQL)(revenue_impact_que
 _A4_SELECT = D.feature_select("b", "sc")
 
 
-@query("absa_pipeline", views=ABSA_VIEWS, oracle=f"""
+@query("absa_enriched", views=ABSA_VIEWS, oracle=f"""
 WITH {BASE}, {ABSA}, {D.lexicon_ctes('sc', 'base', ['id'], D.txt('text'))},
 wide AS (SELECT b.id, {_WIDE_SQL} FROM base b LEFT JOIN absa_long a ON a.id = b.id GROUP BY b.id)
 SELECT b.id AS review_id, sc.label AS sentiment_label, {_A4_SELECT},
   {", ".join(f"w.aspect_sent_{a}, w.aspect_conf_{a}" for a in ASPECT_NAMES)}
 FROM base b JOIN sc ON sc.id = b.id JOIN wide w ON w.id = b.id
 """)
-def q_absa_pipeline(spark, sf):
+def q_absa_enriched(spark, sf):
     """A4: sentiment + features (one aggregate) and wide aspect columns (one pivot), merged on the id."""
     p = prepared(spark, sf)
     scorer = LexiconScorer.fixture(spark)
