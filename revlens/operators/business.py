@@ -96,8 +96,12 @@ def confidence_histogram(scored: DataFrame, col: str = "sentiment_confidence", b
     edge lowered by 0.1 % of the range (or +-0.1 % of |min| when all values are
     equal); empty bins listed with 0.  (bin, left, right, n)."""
     c = F.col(col)
-    mm = scored.select(F.struct(F.min(c).alias("mn"), F.max(c).alias("mx"))).scalar()
-    mn, mx = mm["mn"], mm["mx"]
+    # one aggregated row, fetched once: its values are used in many expressions below,
+    # and a scalar subquery per reference would re-run the whole input each time
+    r = scored.agg(F.min(c).alias("mn"), F.max(c).alias("mx")).first()
+    if r["mn"] is None:
+        return scored.sparkSession.createDataFrame([], "bin int, left double, right double, n bigint")
+    mn, mx = F.lit(float(r["mn"])), F.lit(float(r["mx"]))
     rng = mx - mn
     # equal values: pandas widens both ends by 0.1 % of |value| (or 0.001 when 0)
     adj = F.when(mn == 0, F.lit(0.001)).otherwise(F.abs(mn) * 0.001)

@@ -160,8 +160,8 @@ def average_precision(df: DataFrame, y: str = "y_true", score: str = "p_a") -> D
     sc = score_counts(df, y, score)
     pb = prefix_below(sc)
     # totals over strictly-below prefixes: P - pos_below = positives at or above the score
-    tot = sc.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
-    P, N = tot["P"], tot["N"]
+    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    P, N = F.lit(float(tot["P"] or 0.0)), F.lit(float(tot["N"] or 0.0))
     tp = P - F.col("pos_below")
     fp = N - F.col("neg_below")
     return pb.agg((F.sum(F.col("pos") * tp / (tp + fp)) / F.sum("pos")).alias("average_precision"))

@@ -181,10 +181,11 @@ def _width(df: DataFrame, c: str) -> int:
 # --- ML12 / ML13 -------------------------------------------------------------------
 def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """ML12: nulls -> 0, z-score with population std, constant column -> 0.
-    Means and stds are one aggregate row entering as scalar subqueries."""
+    Means and stds are one aggregate row."""
     filled = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    st = filled.select(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                                *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])).scalar()
+    # one aggregated row (2 numbers per column), fetched once and used as literals
+    row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    st = {k: F.lit(float(v) if v is not None else 0.0) for k, v in row.asDict().items()}
     return filled.select(*keep, *[
         F.when(st[f"s_{c}"] > 0, (F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"]).otherwise(F.lit(0.0)).alias(c)
         for c in cols])

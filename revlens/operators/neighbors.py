@@ -137,10 +137,10 @@ def smote(df: DataFrame, label_col: str = "y", id_col: str = "vec_id", vec_col:
     k nearest minority rows and u = hash(x, s) in [0, 1): x + u * (nbr - x).
     Output: original rows (synthetic = false) and synthetic rows with new ids."""
     mino = df.where(F.col(label_col) == minority)
-    cnt = df.select(F.struct(F.count_if(F.col(label_col) == minority).alias("n_min"),
-                             F.count_if(F.col(label_col) != minority).alias("n_maj"))).scalar()
-    deficit = F.greatest(cnt["n_maj"] - cnt["n_min"], F.lit(0))
-    per = F.ceil(deficit / F.greatest(cnt["n_min"], F.lit(1)))
+    cnt = df.agg(F.count_if(F.col(label_col) == minority).alias("n_min"),
+                 F.count_if(F.col(label_col) != minority).alias("n_maj")).first()
+    deficit = F.lit(max(int(cnt["n_maj"]) - int(cnt["n_min"]), 0))
+    per = F.lit(-(-max(int(cnt["n_maj"]) - int(cnt["n_min"]), 0) // max(int(cnt["n_min"]), 1)))
     nbrs = knn(mino.select(id_col, vec_col), mino.select(id_col, vec_col), k, id_col, vec_col)
     n_nbrs = nbrs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_kk"))
     cand = mino.select(id_col, vec_col).join(n_nbrs, id_col).select(
