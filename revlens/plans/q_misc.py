@@ -239,6 +239,13 @@ def q_text_explanation(spark, sf):
     return e.select("id", "word", r6("delta").alias("delta"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("lime_explanation", oracle=None)
+def q_lime_explanation(spark, sf):
+    """X5(b): LIME word weights per conversation turn (rows check)."""
+    c = tables.conversations(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return X.lime_text(c, "id", "text", LexiconScorer.fixture(spark), num_samples=50, top=10)
+
+
 _CONV_BASE = f"""base AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, {duck_clean('text')} AS text
   FROM conversations)"""
 
