@@ -139,13 +139,22 @@ def _lexicon_literal(aspects: dict[str, list[str]]) -> Column:
     ])
 
 
-def aspect_candidates(cands: Column, aspects: dict[str, list[str]], max_cands: int = MAX_CANDIDATES) -> Column:
+def _seed_match(c: Column, s: Column, whole_word: bool) -> Column:
+    """Seed ``s`` in candidate ``c``: substring (the reference: "last" matches "plastic"),
+    or, with ``whole_word``, only as a space-delimited word of the candidate."""
+    if not whole_word:
+        return c.contains(s)
+    return F.concat(F.lit(" "), c, F.lit(" ")).contains(F.concat(F.lit(" "), s, F.lit(" ")))
+
+
+def aspect_candidates(cands: Column, aspects: dict[str, list[str]], max_cands: int = MAX_CANDIDATES,
+                      whole_word: bool = False) -> Column:
     """Row-local J1: array<struct<aspect, aspect_ord, cands (first n), mapped (all, '|'-joined)>>,
     aspects without candidates pruned.  ``cands`` is bound once (``let``)."""
     def per(cs: Column) -> Column:
         hits = F.transform(_lexicon_literal(aspects), lambda a: F.struct(
             a["aspect"].alias("aspect"), a["aspect_ord"].alias("aspect_ord"),
-            F.filter(cs, lambda c: F.exists(a["seeds"], lambda s: c.contains(s))).alias("all")))
+            F.filter(cs, lambda c: F.exists(a["seeds"], lambda s: _seed_match(c, s, whole_word))).alias("all")))
         hits = F.filter(hits, lambda x: F.size(x["all"]) > 0)
         return F.transform(hits, lambda x: F.struct(
             x["aspect"].alias("aspect"), x["aspect_ord"].alias("aspect_ord"),
@@ -154,10 +163,10 @@ def aspect_candidates(cands: Column, aspects: dict[str, list[str]], max_cands: i
 
 
 def absa_extract(df: DataFrame, aspects: dict[str, list[str]], stop_words: Sequence[str], scorer,
-                 id_col: str = "review_id", text_col: str = "review_text") -> DataFrame:
+                 id_col: str = "review_id", text_col: str = "review_text", whole_word: bool = False) -> DataFrame:
     """A3: mine -> map -> prune -> score, long result
     (id, aspect, aspect_ord, candidates, aspect_sentiment, aspect_confidence, n_units)."""
-    ac = aspect_candidates(T.mine_candidates(text_col, list(stop_words)), aspects)
+    ac = aspect_candidates(T.mine_candidates(text_col, list(stop_words)), aspects, whole_word=whole_word)
     return _score_units(_with_units(df, id_col, text_col, ac), scorer, id_col)
 
 

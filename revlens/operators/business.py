@@ -80,10 +80,17 @@ def sentiment_distribution(scored: DataFrame, label_col: str = "sentiment_label"
     return scored.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label_col)
 
 
-def confidence_describe(scored: DataFrame, col: str = "sentiment_confidence") -> DataFrame:
-    """Count, mean, std (ddof 1), min, quartiles (linear), max -- exact."""
+def confidence_describe(scored: DataFrame, col: str = "sentiment_confidence", exact: bool = True,
+                        accuracy: int = 100_000) -> DataFrame:
+    """Count, mean, std (ddof 1), min, quartiles, max.
+
+    ``exact=True`` matches pandas (linear interpolation) but the exact percentile
+    keeps one counter per distinct value, merged in one final task -- fine for
+    bounded value sets, not for a continuous column at very large n.  There use
+    ``exact=False``: ``percentile_approx`` with a fixed-size sketch per partition."""
     c = F.col(col)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = F.percentile(c, probs) if exact else F.percentile_approx(c, probs, accuracy)
     return scored.agg(
         F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
         q.alias("_q"), F.max(c).alias("max"),

@@ -172,11 +172,14 @@ def brier(df: DataFrame, y: str = "y_true", p: str = "p_a") -> DataFrame:
     return df.agg(F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"))
 
 
-def _ece_from(conf: Column, correct: Column, df: DataFrame, n_bins: int) -> DataFrame:
-    """Bins [i/n, (i+1)/n) with edges i * (1/n) as doubles (linspace values), conf == 1.0 in no bin."""
+def _ece_from(conf: Column, correct: Column, df: DataFrame, n_bins: int, include_right: bool = False) -> DataFrame:
+    """Bins [i/n, (i+1)/n) with edges i * (1/n) as doubles (linspace values); conf == 1.0 falls
+    in no bin (as in the reference) unless ``include_right`` closes the last bin."""
     step = 1.0 / n_bins
     b0 = F.floor(conf * n_bins).cast("int")
     b = (F.when(conf < b0 * F.lit(step), b0 - 1).when(conf >= (b0 + 1) * F.lit(step), b0 + 1).otherwise(b0))
+    if include_right:
+        b = F.when(conf == 1.0, F.lit(n_bins - 1)).otherwise(b)
     d = df.select(conf.alias("conf"), correct.cast("double").alias("correct"), b.alias("bin"))
     n = d.select(F.count(F.lit(1)).cast("double")).scalar()
     per = d.where((F.col("bin") >= 0) & (F.col("bin") < n_bins)).groupBy("bin").agg(
@@ -184,16 +187,18 @@ def _ece_from(conf: Column, correct: Column, df: DataFrame, n_bins: int) -> Data
     return per.agg(F.coalesce(F.sum(F.col("nb") / n * F.abs(F.col("acc") - F.col("c"))), F.lit(0.0)).alias("ece"))
 
 
-def ece_binary(df: DataFrame, y: str = "y_true", p: str = "p_a", n_bins: int = 10) -> DataFrame:
+def ece_binary(df: DataFrame, y: str = "y_true", p: str = "p_a", n_bins: int = 10,
+               include_right: bool = False) -> DataFrame:
     """M9 (1-D): conf = p, pred = p >= 0.5, correct = pred == y."""
     conf = F.col(p)
-    return _ece_from(conf, (F.when(conf >= 0.5, 1).otherwise(0) == F.col(y)), df, n_bins)
+    return _ece_from(conf, (F.when(conf >= 0.5, 1).otherwise(0) == F.col(y)), df, n_bins, include_right)
 
 
-def ece_multiclass(df: DataFrame, y: str, prob_cols: Sequence[str], n_bins: int = 10) -> DataFrame:
+def ece_multiclass(df: DataFrame, y: str, prob_cols: Sequence[str], n_bins: int = 10,
+                   include_right: bool = False) -> DataFrame:
     """M9 (n x k): conf = max prob, pred = argmax."""
     conf = F.greatest(*[F.col(c) for c in prob_cols])
-    return _ece_from(conf, argmax(prob_cols) == F.col(y), df, n_bins)
+    return _ece_from(conf, argmax(prob_cols) == F.col(y), df, n_bins, include_right)
 
 
 def top_k_accuracy(df: DataFrame, y: str, prob_cols: Sequence[str], k: int = 3) -> DataFrame:

@@ -128,3 +128,21 @@ def test_string_false_is_not_verified(spark):
 def test_non_numeric_rating(spark):
     df = spark.createDataFrame([("n/a",), ("4",), (None,)], "rating string")
     assert [r[0] for r in df.select(T.proxy_label("rating")).collect()] == [0, 1, 0]
+
+
+def test_whole_word_seed_option(spark):
+    df = spark.createDataFrame([(1, "A plastic handle.")], "review_id long, review_text string")
+    long = A.absa_extract(df, DEFAULT_ASPECTS, FX_STOP, LexiconScorer.fixture(spark), whole_word=True)
+    assert long.count() == 0
+
+
+def test_ece_include_right(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 0.3)], "y_true int, p_a double")
+    # with the last bin closed, p = 1.0 counts (|1 - 1| = 0) and p = 0.3 still adds 1/2 * 0.3
+    assert one(M.ece_binary(df, include_right=True))[0] == pytest.approx(0.15)
+
+
+def test_describe_approximate_mode(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(101)], "sentiment_confidence double")
+    ex, ap = one(B.confidence_describe(df)), one(B.confidence_describe(df, exact=False))
+    assert ex["p50"] == 50.0 and ap["p50"] == pytest.approx(50.0, abs=1.0)
