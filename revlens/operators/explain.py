@@ -76,32 +76,34 @@ def leave_one_word_out(df: DataFrame, id_col: str, text_col: str, scorer, top: i
     return dl.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top)
 
 
-def lime_text(df: DataFrame, id_col: str, text_col: str, scorer, num_samples: int = 50, top: int = 10,
+def lime_text(df: DataFrame, id_cols: Sequence[str], text_col: str, scorer, num_samples: int = 50, top: int = 10,
               seed: int = 42, kernel_width: float = 25.0, alpha: float = 1.0) -> DataFrame:
     """X5(b) (Ribeiro et al. 2016): per text, ``num_samples`` hash-seeded word masks
     (sample 0 keeps everything), one distributed scoring pass over the perturbed
     texts, then a weighted ridge fit per text in ``applyInPandas`` -- a group is one
-    text, bounded by num_samples x its distinct words.  Output (id, word, weight, rank)."""
+    text, bounded by num_samples x its distinct words.  Output (ids..., word, weight, rank)."""
     import numpy as np
     import pandas as pd
 
-    toks = df.select(id_col, T.word_tokens(text_col).alias("_t"))
-    samples = toks.select(id_col, "_t", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("_s"))
+    ids = list(id_cols)
+    toks = df.select(*ids, T.word_tokens(text_col).alias("_t"))
+    samples = toks.select(*ids, "_t", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("_s"))
 
     def keep(w):
-        return (F.col("_s") == 0) | (F.pmod(F.xxhash64(F.col(id_col), F.col("_s"), w, F.lit(seed)), F.lit(2)) == 1)
+        h = F.xxhash64(*[F.col(c) for c in ids], F.col("_s"), w, F.lit(seed))
+        return (F.col("_s") == 0) | (F.pmod(h, F.lit(2)) == 1)
 
-    pert = samples.select(id_col, "_s", F.array_join(F.filter("_t", keep), " ").alias("_txt"),
+    pert = samples.select(*ids, "_s", F.array_join(F.filter("_t", keep), " ").alias("_txt"),
                           F.array_distinct("_t").alias("_v"))
     vocab_masks = F.transform("_v", lambda w: keep(w).cast("int"))
-    scored = scorer.intensity(pert.select(id_col, "_s", "_txt", "_v", vocab_masks.alias("_m")), [id_col, "_s"],
+    scored = scorer.intensity(pert.select(*ids, "_s", "_txt", "_v", vocab_masks.alias("_m")), [*ids, "_s"],
                               "_txt", carry_cols=["_v", "_m"])
-    rows = scored.select(id_col, "_s", "_v", "_m", F.col("vader_compound").alias("_y"))
+    rows = scored.select(*ids, "_s", "_v", "_m", F.col("vader_compound").alias("_y"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         vocab = list(pdf["_v"].iloc[0])
         if not vocab:
-            return pd.DataFrame({id_col: [], "word": [], "weight": [], "rank": []})
+            return pd.DataFrame({**{c: [] for c in ids}, "word": [], "weight": [], "rank": []})
         X = np.array([list(m) for m in pdf["_m"]], dtype=float)
         y = pdf["_y"].to_numpy(dtype=float)
         frac = X.mean(axis=1)
@@ -113,8 +115,9 @@ def lime_text(df: DataFrame, id_col: str, text_col: str, scorer, num_samples: in
         reg[-1, -1] = 0.0
         coef = np.linalg.solve(Xc.T @ W @ Xc + reg, Xc.T @ W @ y)[:-1]
         order = sorted(range(len(vocab)), key=lambda i: (-abs(coef[i]), vocab[i]))[:top]
-        return pd.DataFrame({id_col: pdf[id_col].iloc[0], "word": [vocab[i] for i in order],
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in ids}, "word": [vocab[i] for i in order],
                              "weight": [float(coef[i]) for i in order], "rank": list(range(1, len(order) + 1))})
 
-    schema = f"{id_col} long, word string, weight double, rank int"
-    return rows.groupBy(id_col).applyInPandas(fit, schema)
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ids) + ", word string, weight double, rank int"
+    return rows.groupBy(*ids).applyInPandas(fit, schema)

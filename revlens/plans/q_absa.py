@@ -255,7 +255,7 @@ FROM base b JOIN sc ON sc.id = b.id LEFT JOIN absa_long a ON a.id = b.id
 def q_score_one(spark, sf):
     """A5: per conversation turn, label + confidence + aspect rows (no separate code path)."""
     c = tables.conversations(spark, sf).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"), "conv_id", "turn",
+        F.struct("conv_id", "turn").alias("review_id"), "conv_id", "turn",
         T.basic_clean("text").alias("review_text"))
     scorer = LexiconScorer.fixture(spark)
     s = scorer.score(c, ["review_id"], "review_text", carry_cols=["conv_id", "turn"])

@@ -230,20 +230,21 @@ src AS (SELECT w.id, w.word, array_to_string(list_filter(t.t, lambda x: x <> w.w
 dl AS (SELECT a.id, a.word, a.vader_compound - b.vader_compound AS delta FROM sc a JOIN sc b ON b.id = a.id AND b.word = ''
        WHERE a.word <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(delta) DESC, word) AS rank FROM dl)
-SELECT id, word, round(delta, 6) AS delta, rank FROM r WHERE rank <= 10
+SELECT id // 1000 AS conv_id, id % 1000 AS turn, word, round(delta, 6) AS delta, rank FROM r WHERE rank <= 10
 """)
 def q_text_explanation(spark, sf):
     """X5(a): leave-one-word-out attribution of the lexicon scorer, top 10 words per turn."""
-    c = tables.conversations(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    c = tables.conversations(spark, sf).select(F.struct("conv_id", "turn").alias("id"), "text")
     e = X.leave_one_word_out(c, "id", "text", LexiconScorer.fixture(spark), top=10)
-    return e.select("id", "word", r6("delta").alias("delta"), F.col("rank").cast("bigint").alias("rank"))
+    return e.select(F.col("id.conv_id").alias("conv_id"), F.col("id.turn").alias("turn"), "word",
+                    r6("delta").alias("delta"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("lime_explanation", oracle=None)
 def q_lime_explanation(spark, sf):
     """X5(b): LIME word weights per conversation turn (rows check)."""
-    c = tables.conversations(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return X.lime_text(c, "id", "text", LexiconScorer.fixture(spark), num_samples=50, top=10)
+    c = tables.conversations(spark, sf).select("conv_id", "turn", "text")
+    return X.lime_text(c, ["conv_id", "turn"], "text", LexiconScorer.fixture(spark), num_samples=50, top=10)
 
 
 _CONV_BASE = f"""base AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, {duck_clean('text')} AS text
@@ -265,7 +266,7 @@ def q_score_stream(spark, sf):
     conv.repartition(4).write.parquet(src)
     out, ck = RD.scratch(spark, "stream-out"), RD.scratch(spark, "stream-ck")
     score_stream(spark, src, conv.schema, out, ck, LexiconScorer.fixture(spark), FX_ASPECTS, FX_STOP,
-                 F.col("conv_id") * 1000 + F.col("turn"), "text", keep_cols=("conv_id", "turn"))
+                 F.struct("conv_id", "turn"), "text", keep_cols=("conv_id", "turn"))
     r = spark.read.parquet(out)
     return r.select("conv_id", "turn", "sentiment_label", r6("sentiment_confidence").alias("sentiment_confidence"),
                     "aspect", r6("aspect_sentiment").alias("aspect_sentiment"),
