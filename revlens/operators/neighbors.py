@@ -150,13 +150,14 @@ def smote(df: DataFrame, label_col: str = "y", id_col: str = "vec_id", vec_col:
     cand = cand.select("*", (F.pmod(hsh, F.col("_kk")) + 1).alias("rank"),
                        (F.pmod(F.xxhash64(F.col(id_col), F.col("_s"), F.lit(seed + 1)), F.lit(1_000_000)) / 1e6)
                        .alias("_u"),
-                       (F.col(id_col) * 1000 + F.col("_s")).alias("_cid"))
+                       F.concat_ws(":", F.col(id_col).cast("string"), F.col("_s").cast("string")).alias("_cid"))
     # keep exactly `deficit` candidates, chosen by hash order
     marked = _first_k(cand, "_cid", deficit, seed)
     chosen = marked.where("_keep").join(nbrs, [id_col, "rank"]).join(
         mino.select(F.col(id_col).alias("nbr_id"), F.col(vec_col).alias("_nv")), "nbr_id")
     synth = chosen.select(
-        (-F.col("_cid") - 1).alias(id_col),
+        # synthetic rows get negative ids derived from (source row, sample): -(id * 2^20 + s) - 1
+        (-(F.col(id_col) * F.lit(1 << 20) + F.col("_s")) - 1).alias(id_col),
         F.zip_with(vec_col, "_nv", lambda a, b: a + F.col("_u") * (b - a)).alias(vec_col),
         F.lit(minority).alias(label_col), F.lit(True).alias("synthetic"))
     base = df.select(id_col, vec_col, label_col, F.lit(False).alias("synthetic"))
