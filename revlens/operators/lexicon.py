@@ -153,3 +153,50 @@ def predict_sentiment(df: DataFrame, scorer, id_col: str = "review_id", text_col
     """A1: (id, sentiment_label, sentiment_confidence) for every row; null text -> ''."""
     s = scorer.score(df, [id_col], text_col)
     return s.select(id_col, F.col("label").alias("sentiment_label"), F.col("score").alias("sentiment_confidence"))
+
+
+@dataclass
+class ModelScorer:
+    """U1 adapter for a fitted ``pyspark.ml`` model (e.g. TF-IDF + logistic regression,
+    A1(b)): label = ``labels[prediction]``, score = probability of that class."""
+
+    model: object
+    labels: Sequence[str] = ("POSITIVE", "NEGATIVE")
+    text_input: str = "review_text"
+
+    def score(self, df: DataFrame, key_cols: Sequence[str], text_col: str,
+              carry_cols: Sequence[str] = ()) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+        x = df.select(*key_cols, *carry_cols, F.col(text_col).alias(self.text_input))
+        p = self.model.transform(x)
+        lab = F.element_at(F.array(*[F.lit(v) for v in self.labels]), F.col("prediction").cast("int") + 1)
+        prob = F.element_at(vector_to_array("probability"), F.col("prediction").cast("int") + 1)
+        return p.select(*key_cols, *carry_cols, lab.alias("label"), prob.alias("score"))
+
+
+@dataclass
+class PandasScorer:
+    """U1 adapter for any Python scorer ``fn(list[str]) -> (labels, scores)``: Arrow
+    batches through ``mapInPandas``; ``load`` builds the model once per Python worker."""
+
+    load: object
+
+    def score(self, df: DataFrame, key_cols: Sequence[str], text_col: str,
+              carry_cols: Sequence[str] = ()) -> DataFrame:
+        import pandas as pd
+        load = self.load
+        cols = [*key_cols, *carry_cols]
+        out_schema = df.select(*cols).schema.simpleString()[len("struct<"):-1] + ",label:string,score:double"
+        out_schema = out_schema.replace(":", " ")
+
+        def run(batches):
+            fn = load()
+            for pdf in batches:
+                texts = pdf[text_col].fillna("").astype(str).tolist()
+                labels, scores = fn(texts)
+                out = pdf[cols].copy()
+                out["label"] = list(labels)
+                out["score"] = [float(s) for s in scores]
+                yield out
+
+        return df.select(*cols, text_col).mapInPandas(run, out_schema)

@@ -337,3 +337,22 @@ def q_rating_only_baseline(spark, sf):
                                          T.proxy_label("rating").alias("y_pred"))
     m = M.prf_weighted(r)
     return m.select(*[r6(c).alias(c) for c in m.columns])
+
+
+@query("misclassified_filter", views=_REV_VIEWS, oracle=f"""{_SCORED}
+SELECT review_id, y_true, y_pred FROM sr
+WHERE y_true IS DISTINCT FROM y_pred OR (y_true IS NULL AND y_pred IS NULL)
+""")
+def q_misclassified_filter(spark, sf):
+    """P5: every row whose prediction differs from the label (both null counts as an error)."""
+    s = scored_reviews(spark, sf)
+    err = ~F.col("y_true").eqNullSafe(F.col("y_pred")) | (F.col("y_true").isNull() & F.col("y_pred").isNull())
+    return s.where(err).select("review_id", "y_true", "y_pred")
+
+
+@query("row_cap", views=("reviews",), oracle="""
+SELECT review_id, rating, lang FROM reviews ORDER BY review_id LIMIT 200
+""")
+def q_row_cap(spark, sf):
+    """The 200-row preview (TakeOrderedAndProject; a cap is only ever a preview)."""
+    return tables.reviews(spark, sf).select("review_id", "rating", "lang").orderBy("review_id").limit(200)

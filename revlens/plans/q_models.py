@@ -275,3 +275,15 @@ def q_stacking(spark, sf):
     out = model.transform(m)
     return out.select(*KEY5, "y_true", F.col("prediction").cast("int").alias("y_pred"),
                       vector_to_array("probability")[1].alias("p1"))
+
+
+@query("predict_sentiment_model", oracle=None)
+def q_predict_sentiment_model(spark, sf):
+    """A1(b): the TF-IDF + logistic regression model as the sentiment scorer (through the
+    U1 interface), trained on the labelled split and applied to every document."""
+    from revlens.operators.lexicon import ModelScorer, predict_sentiment
+    d = labelled_docs(spark, sf)
+    sp = ML.stratified_split(d, "doc_id", "toxic", 0.2, 42)
+    model = ML.tfidf_classifier(sp.where(~F.col("is_test")), "toxic", "review_text", kind="logreg")
+    docs = tables.documents(spark, sf).select(F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"))
+    return predict_sentiment(docs, ModelScorer(model, labels=("POSITIVE", "NEGATIVE")))

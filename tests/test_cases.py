@@ -146,3 +146,14 @@ def test_describe_approximate_mode(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "sentiment_confidence double")
     ex, ap = one(B.confidence_describe(df)), one(B.confidence_describe(df, exact=False))
     assert ex["p50"] == 50.0 and ap["p50"] == pytest.approx(50.0, abs=1.0)
+
+
+def test_pandas_scorer_adapter(spark):
+    from revlens.operators.lexicon import PandasScorer, predict_sentiment
+
+    def load():
+        return lambda texts: (["POSITIVE" if "good" in t else "NEGATIVE" for t in texts], [0.9] * len(texts))
+
+    df = spark.createDataFrame([(1, "good stuff"), (2, "bad"), (3, None)], "review_id long, review_text string")
+    out = sorted(predict_sentiment(df, PandasScorer(load)).collect())
+    assert [(r[0], r[1]) for r in out] == [(1, "POSITIVE"), (2, "NEGATIVE"), (3, "NEGATIVE")]
