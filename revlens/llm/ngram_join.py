@@ -250,7 +250,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     heads = full.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("head"))
     head_of = cut(full.select("doc_id", "key").join(heads, "key").select("doc_id", "head", F.col("n_shingles").alias("n")).distinct(), "jaccard-heads")
     buckets = max(24, min(1 << 20, base.count() // 2000))
-    star = (_deal(rows, width, bound, buckets).groupBy("bucket").applyInPandas(_meet, "src long, dst long"))
+    # an edge comes from every bucket in which both its ends meet: once is enough
+    star = _deal(rows, width, bound, buckets).groupBy("bucket").applyInPandas(_meet, "src long, dst long").distinct()
     star = cut(star, "jaccard-stars")
     near = (star.join(head_of.select(F.col("doc_id").alias("src"), F.col("head").alias("a")), "src")
             .join(head_of.select(F.col("doc_id").alias("dst"), F.col("head").alias("b")), "dst")
