@@ -35,7 +35,7 @@ RUNS = {"letters": r"\p{L}+", "numbers": r"\p{N}+", "others": r"[^\s\p{L}\p{N}]+
 CHUNK = 1 << 16          # characters read at once
 HOLD = 3                 # characters the split pattern may look ahead
 LONG_PIECE = 1 << 15     # a held piece of this length is streamed
-KEPT_PIECES = 400_000    # bound of the cache of encoded pieces
+KEPT_PIECES = 120_000    # bound of the cache of encoded pieces, which ends with the task
 KEPT_LENGTH = 48
 MOST_SPEC_BYTES = 64 << 20
 
@@ -319,6 +319,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
                     counts.append(len(ids))
                     packed.append(np.frombuffer(ids, np.uint32).astype("<u4", copy=False).tobytes() if ids else b"")
                 yield _replace(part, names, {count_col: pa.array(counts, pa.int64()), ids_col: pa.array(packed, pa.binary())})
+        encoder.cache.clear()
 
     return df.mapInArrow(work, schema)
 

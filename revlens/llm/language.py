@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,12 +109,13 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
         raise ValueError("dictionaries too large to ship to executors")
     shipped = df.sparkSession.sparkContext.broadcast(dictionaries)
 
-    @F.pandas_udf("lang string, score double, margin double, rejected boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double, margin double, rejected boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(shipped.value)
         for texts in batches:
-            got = [model.predict(t) for t in texts]
-            yield pd.DataFrame({"lang": [g[0] for g in got], "score": [g[1] for g in got], "margin": [g[2] for g in got],
-                                "rejected": [g[0] == UND or g[2] < min_margin for g in got]})
+            got = [model.predict(t.as_py()) for t in texts]
+            columns = {"lang": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64()), "margin": pa.array([g[2] for g in got], pa.float64()),
+                       "rejected": pa.array([g[0] == UND or g[2] < min_margin for g in got], pa.bool_())}
+            yield pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 
     return run(F.col(text_col).cast("string"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm.common import U64, components, cut, mix, shingle_hashes, small_side, word_hashes
 
-ENTRIES_HELD = 1_500_000      # signature entries a task gathers before it deals them out
+ENTRIES_HELD = 800_000      # signature entries a task gathers before it deals them out
 TILE_ROWS = 256
 TILE_COLUMNS = 8192
 TILE_ENTRIES = 1_000_000

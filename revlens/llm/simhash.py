@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +45,10 @@ def fingerprint(text: str | None, width: int = WIDTH, bits: int = BITS) -> bytes
 def fingerprint_column(text: Column, width: int = WIDTH, bits: int = BITS) -> Column:
     """Hex string of the fingerprint; null texts count as empty."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([fingerprint(t, width, bits).hex() for t in texts], dtype=object)
+            yield pa.array([fingerprint(t.as_py(), width, bits).hex() for t in texts], pa.string())
 
     return run(text)
 

@@ -16,16 +16,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.llm.common import cut
+
 TRAIN_ROWS = 12_000      # documented bound: labelled texts sampled for fitting
 FEATURES = 768           # words and word beginnings kept as features
 BEGINNINGS = (4, 5)      # letters of a beginning; inflected and compound forms share it
 REJECT = 0.12            # P(grade > 0) from which a document is rejected
 GRADES = 4
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -91,11 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, feat
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(int(train_rows)))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .where("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    counted = _word_rows(rows).persist()
-    try:
-        return _fit(counted, features)
-    finally:
-        counted.unpersist()
+    return _fit(cut(_word_rows(rows), "toxic-words"), features)
 
 
 def _fit(counted: DataFrame, features: int) -> Model:
@@ -176,12 +174,14 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", reject: float =
     """
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("severity double, p_toxic double, grade int, rejected boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("severity double, p_toxic double, grade int, rejected boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shipped.value
         for texts in batches:
-            more = m.more(np.array([m.score(t) for t in texts], float))
+            more = m.more(np.array([m.score(t.as_py()) for t in texts], float))
             prob = -np.diff(np.concatenate([np.ones((len(more), 1)), more, np.zeros((len(more), 1))], axis=1), axis=1)
-            yield pd.DataFrame({"severity": more.sum(axis=1), "p_toxic": more[:, 0], "grade": prob.argmax(axis=1).astype(np.int32), "rejected": more[:, 0] >= reject})
+            columns = {"severity": more.sum(axis=1), "p_toxic": more[:, 0], "grade": prob.argmax(axis=1).astype(np.int32), "rejected": more[:, 0] >= reject}
+            yield pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+        m.seen.clear()
 
     return run(F.col(text_col).cast("string"))
