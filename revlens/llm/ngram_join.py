@@ -5,11 +5,15 @@ A A^T are overlap counts, and J >= t follows from overlap and row sums alone.
 
 Which entries can count at all: two rows of sizes n1 <= n2 with J >= t differ in at most
 ``D = (n1 + n2)(1 - t)/(1 + t)`` columns.  For each range of sizes the columns are cut by
-their hash into more than D blocks, so such a pair has a block in which both rows are
-equal and not empty.  Equal block rows (compared by digest) are joined by stars, never by
+their hash into more than D blocks, so of any D + 1 blocks such a pair has one in which
+both rows are equal.  Equal block rows (compared by digest) are joined by stars, never by
 pairs; their connected groups are the diagonal blocks of the product outside which no
 entry reaches the bound.
 
+Digests that many rows share, say those of a passage that runs through the corpus, would
+tie unlike rows into one huge block.  They are counted over all rows, and a row gives its
+rarest ones first and no more than the bound asks for (see ``signatures``).
+
 Every diagonal block is multiplied exactly, in square tiles of rows and slices of columns:
 overlaps accumulate slice by slice, and pairs whose count plus what is left cannot reach
 the size-derived bound are dropped on the way.  A tile gives out a spanning forest of the
@@ -39,6 +43,7 @@ TILE_ROWS = 256
 TILE_COLUMNS = 8192
 TILE_ENTRIES = 1_000_000
 MOST_BROADCAST_IDS = 2_000_000
+MOST_COMMON = 1_000_000       # bound of the common signatures shipped; fewer cost time, not links
 
 
 class Bound:
@@ -84,18 +89,22 @@ class Bound:
         if not d:
             return 0, 1
         least = max(1, -(-self.start(g) * self.num // self.den))
+        spare = 2 + d * 3 // 10
         k = d + 1
         for _ in range(3):
-            k = d + 1 + math.ceil(k * math.exp(-least / k)) + 1
+            k = d + 1 + spare + math.ceil(k * math.exp(-least / k))
         return d, k
 
 
-def signatures(found: np.ndarray, bound: Bound) -> np.ndarray:
-    """Digests of the block rows of one document (sorted distinct column hashes).
+def signatures(found: np.ndarray, bound: Bound, common: tuple[np.ndarray, np.ndarray] | None = None, every: bool = False) -> np.ndarray:
+    """Digests of block rows of one document (sorted distinct column hashes).
 
-    Empty blocks give none as long as more than D blocks are not empty: then any linked
-    partner shares one of those.  A row with fewer gives its empty blocks too, which only
-    rows like it can meet.
+    All digests have one global order: rare before common, full blocks before thin ones,
+    empty blocks last, then by value.  A row gives its first D + 1 (``every``: all that are
+    not empty).  Of two linked rows take the one whose last digest comes earlier: one of its
+    D + 1 blocks is the same in the other row, where it also comes early enough to be given.
+    So the pair meets whatever the order is, and ``common`` - sorted digests that many rows
+    have, with a level by how many - only decides how many unlike rows meet as well.
     """
     out = []
     with np.errstate(over="ignore"):
@@ -104,11 +113,18 @@ def signatures(found: np.ndarray, bound: Bound) -> np.ndarray:
             d, k = bound.blocks(g)
             part = ((found >> U64(32)) * U64(k)) >> U64(32)
             edges = np.searchsorted(part, np.arange(k + 1, dtype=U64))
-            here = np.flatnonzero(edges[1:] > edges[:-1])
-            if len(here) <= d:
-                here = np.arange(k)
-            tag = U64(0x2545F4914F6CDD1D) * (U64(g + 1) * U64(1 << 20) + here.astype(U64) + U64(1))
-            out.append(mix((total[edges[here + 1]] - total[edges[here]]) ^ mix(tag)))
+            tag = U64(0x2545F4914F6CDD1D) * (U64(g + 1) * U64(1 << 20) + np.arange(k, dtype=U64) + U64(1))
+            own = mix((total[edges[1:]] - total[edges[:-1]]) ^ mix(tag))
+            size = edges[1:] - edges[:-1]
+            if every:
+                out.append(own[size > 0])
+                continue
+            level = 100 + np.minimum(size, 3)
+            if common is not None and len(common[0]):
+                at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+                level = np.where(common[0][at] == own, 100 - common[1][at], level)
+            level = np.where(size == 0, 0, level)
+            out.append(own[np.lexsort((own, -level))[:d + 1]])
     return np.concatenate(out)
 
 
@@ -130,22 +146,57 @@ def _star(sig: np.ndarray, node: np.ndarray):
     return sig[head], node[head], edges
 
 
-def _base(docs: DataFrame, width: int) -> DataFrame:
-    """``(row_id, n_shingles, key)`` of every row; key is a digest of the set."""
+def _base(docs: DataFrame, width: int, bound: Bound) -> DataFrame:
+    """Rows ``(doc_id, n_shingles, key, seen)``: with ``seen`` null one for each document,
+    whose key is a digest of its set; else a signature (in doc_id) that came ``seen`` times
+    among the documents that a task held at once."""
+    names = ["doc_id", "n_shingles", "key", "seen"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, held = [], 0
+
+        def often():
+            own, times = np.unique(np.concatenate(sigs), return_counts=True)
+            many = times > 1
+            sigs.clear()
+            none = pa.nulls(int(many.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(own[many].view(np.int64)), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(times[many])], names=names)
+
         for batch in batches:
             n, key = [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), width)
                 n.append(len(found))
                 key.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary())], names=["doc_id", "n_shingles", "key"])
+                if len(found):
+                    sigs.append(signatures(found, bound, every=True))
+                    held += len(sigs[-1])
+                if held >= ENTRIES_HELD:
+                    yield from often()
+                    held = 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.nulls(len(n)).cast(pa.int64())], names=names)
+        if held:
+            yield from often()
+
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, key binary, seen long")
+
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, key binary")
+def _common(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures that came often, with their level (the binary logarithm of how often):
+    the highest levels that hold at most ``MOST_COMMON`` together."""
+    counted = cut(seen.groupBy("doc_id").agg(F.sum("seen").alias("n")).select("doc_id", F.floor(F.log2("n")).cast("int").alias("level")), "jaccard-seen")
+    least, held = 99, 0
+    for r in sorted(counted.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        if held + r["n"] > MOST_COMMON:
+            break
+        least, held = r["level"], held + r["n"]
+    rows = counted.where(F.col("level") >= least).toArrow()
+    sig, level = rows.column("doc_id").to_numpy().view(U64), rows.column("level").to_numpy()
+    order = np.argsort(sig)
+    return sig[order], level[order].astype(np.int64)
 
 
-def _deal(docs: DataFrame, width: int, bound: Bound, buckets: int) -> DataFrame:
+def _deal(docs: DataFrame, width: int, bound: Bound, buckets: int, common) -> DataFrame:
     """Signature entries dealt to buckets, and the edges already found in the task: a
     signature leaves a task once however many rows there have it."""
 
@@ -172,7 +223,7 @@ def _deal(docs: DataFrame, width: int, bound: Bound, buckets: int) -> DataFrame:
                 found = shingle_set(text.as_py(), width)
                 if i is None or not len(found):
                     continue
-                own = signatures(found, bound)
+                own = signatures(found, bound, common.value)
                 sigs.append(own)
                 nodes.append(np.full(len(own), i, np.int64))
                 held += len(own)
@@ -245,13 +296,15 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     """
     bound = Bound(num, den)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = cut(_base(rows, width), "jaccard-base")
+    both = cut(_base(rows, width, bound), "jaccard-base")
+    base = both.where("seen IS NULL").drop("seen")
+    common = docs.sparkSession.sparkContext.broadcast(_common(both.where("seen IS NOT NULL")))
     full = base.where("key IS NOT NULL AND doc_id IS NOT NULL")
     heads = full.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("head"))
     head_of = cut(full.select("doc_id", "key").join(heads, "key").select("doc_id", "head", F.col("n_shingles").alias("n")).distinct(), "jaccard-heads")
     buckets = max(24, min(1 << 20, base.count() // 2000))
     # an edge comes from every bucket in which both its ends meet: once is enough
-    star = _deal(rows, width, bound, buckets).groupBy("bucket").applyInPandas(_meet, "src long, dst long").distinct()
+    star = _deal(rows, width, bound, buckets, common).groupBy("bucket").applyInPandas(_meet, "src long, dst long").distinct()
     star = cut(star, "jaccard-stars")
     near = (star.join(head_of.select(F.col("doc_id").alias("src"), F.col("head").alias("a")), "src")
             .join(head_of.select(F.col("doc_id").alias("dst"), F.col("head").alias("b")), "dst")
