@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from revlens.llm.common import text_batches
+
 # Fixed value: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUNS = {"letters": r"\p{L}+", "numbers": r"\p{N}+", "others": r"[^\s\p{L}\p{N}]+", "spaces": r"\s+"}
@@ -276,6 +278,7 @@ def _encoder(spec: str) -> Encoder:
 
 
 def _read_spec(df: DataFrame, path: str):
+    text_batches(df)
     with open(path, encoding="utf-8") as f:
         spec = f.read()
     if len(spec) > MOST_SPEC_BYTES:

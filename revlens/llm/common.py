@@ -29,6 +29,15 @@ def small_side(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+def text_batches(df: DataFrame, rows: int = 1_000) -> None:
+    """Arrow batches of at most ``rows`` rows for this session: batches of whole texts are
+    large, and both the JVM and the Python worker hold several of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(key, str(rows))
+
+
 # ---------------------------------------------------------------- word hashes
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +50,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-BLOCK = 1 << 20        # bytes hashed at once
+BLOCK = 1 << 18        # bytes hashed at once
 LONG_WORD = 2048       # longer words are hashed one by one with BLAKE2
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.llm.common import text_batches
+
 UND = "und"
 TRAIN_DOCS = 400           # documented bound: texts sampled for each language
 TRAIN_CHARS = 2_000        # and characters taken from each of them for its dictionary
@@ -107,6 +109,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     """
     if sum(map(len, dictionaries.values())) > 256 << 20:
         raise ValueError("dictionaries too large to ship to executors")
+    text_batches(df)
     shipped = df.sparkSession.sparkContext.broadcast(dictionaries)
 
     @F.arrow_udf("lang string, score double, margin double, rejected boolean")

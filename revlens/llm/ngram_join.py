@@ -36,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import U64, components, cut, mix, shingle_hashes, small_side, word_hashes
+from revlens.llm.common import U64, components, cut, mix, shingle_hashes, small_side, text_batches, word_hashes
 
-ENTRIES_HELD = 800_000      # signature entries a task gathers before it deals them out
+ENTRIES_HELD = 400_000      # signature entries a task gathers before it deals them out
 TILE_ROWS = 256
 TILE_COLUMNS = 8192
 TILE_ENTRIES = 1_000_000
 MOST_BROADCAST_IDS = 2_000_000
-MOST_COMMON = 1_000_000       # bound of the common signatures shipped; fewer cost time, not links
+ROWS_PER_BUCKET = 20_000      # about a million signature entries
+MOST_COMMON = 500_000       # bound of the common signatures shipped; fewer cost time, not links
 
 
 class Bound:
@@ -122,7 +123,7 @@ def signatures(found: np.ndarray, bound: Bound, common: tuple[np.ndarray, np.nda
             level = 100 + np.minimum(size, 3)
             if common is not None and len(common[0]):
                 at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
-                level = np.where(common[0][at] == own, 100 - common[1][at], level)
+                level = np.where(common[0][at] == own, 100 - common[1][at].astype(np.int64), level)
             level = np.where(size == 0, 0, level)
             out.append(own[np.lexsort((own, -level))[:d + 1]])
     return np.concatenate(out)
@@ -193,7 +194,7 @@ def _common(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = counted.where(F.col("level") >= least).toArrow()
     sig, level = rows.column("doc_id").to_numpy().view(U64), rows.column("level").to_numpy()
     order = np.argsort(sig)
-    return sig[order], level[order].astype(np.int64)
+    return sig[order], level[order].astype(np.uint8)
 
 
 def _deal(docs: DataFrame, width: int, bound: Bound, buckets: int, common) -> DataFrame:
@@ -294,6 +295,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     is alone.  Rows of one id count as one document with several texts; rows with a null
     id are alone, with a null component.
     """
+    text_batches(docs)
     bound = Bound(num, den)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     both = cut(_base(rows, width, bound), "jaccard-base")
@@ -302,9 +304,12 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     full = base.where("key IS NOT NULL AND doc_id IS NOT NULL")
     heads = full.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("head"))
     head_of = cut(full.select("doc_id", "key").join(heads, "key").select("doc_id", "head", F.col("n_shingles").alias("n")).distinct(), "jaccard-heads")
-    buckets = max(24, min(1 << 20, base.count() // 2000))
+    buckets = max(24, min(1 << 20, base.count() // ROWS_PER_BUCKET))
+    # of equal sets only the representative is looked at; the others share its fate
+    copies = cut(head_of.groupBy("doc_id").agg(F.bool_or(F.expr("doc_id = head")).alias("own")).where("NOT own").select("doc_id"), "jaccard-copies")
+    alone = rows.join(small_side(copies, copies.count(), MOST_BROADCAST_IDS), "doc_id", "left_anti")
     # an edge comes from every bucket in which both its ends meet: once is enough
-    star = _deal(rows, width, bound, buckets, common).groupBy("bucket").applyInPandas(_meet, "src long, dst long").distinct()
+    star = _deal(alone, width, bound, buckets, common).groupBy("bucket").applyInPandas(_meet, "src long, dst long").distinct()
     star = cut(star, "jaccard-stars")
     near = (star.join(head_of.select(F.col("doc_id").alias("src"), F.col("head").alias("a")), "src")
             .join(head_of.select(F.col("doc_id").alias("dst"), F.col("head").alias("b")), "dst")

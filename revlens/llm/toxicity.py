@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import cut
+from revlens.llm.common import cut, text_batches
 
 TRAIN_ROWS = 12_000      # documented bound: labelled texts sampled for fitting
 FEATURES = 768           # words and word beginnings kept as features
@@ -172,6 +172,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", reject: float =
     one (ties to the lower), rejected: p_toxic >= ``reject``.  A null, empty or wordless text has
     the features of none and is judged by the cuts alone.
     """
+    text_batches(df)
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("severity double, p_toxic double, grade int, rejected boolean")
