@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from revlens.llm.common import text_batches
+from revlens.llm.common import released, text_batches
 
 # Fixed value: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -296,58 +296,75 @@ def _with(df: DataFrame, new: list[StructField]) -> StructType:
     return StructType([f for f in df.schema.fields if f.name not in names] + new)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
-    """Append ``ids`` (binary: token ids as little-endian unsigned 32-bit integers, the
-    usual packed form of token shards) and ``n_tokens``.
+def _encode_batch(encoder: Encoder, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    counts, packed = [], []
+    for text in texts:
+        ids = array("I")
+        for some in encoder.stream(text.as_py() or ""):
+            ids.extend(some)
+        counts.append(len(ids))
+        packed.append(np.frombuffer(ids, np.uint32).astype("<u4", copy=False).tobytes() if ids else b"")
+    return pa.array(counts, pa.int64()), pa.array(packed, pa.binary())
 
-    Ids equal the tokenizer's without special tokens added; the strings of added tokens
-    in a text become their ids.  A null or empty text gives no ids.  Input columns named
-    like the new ones are replaced, all others pass unchanged, rows are neither lost nor
-    merged.
-    """
+
+def _decode_batch(vocabulary: Vocabulary, ids: pa.Array, step: int = 8192) -> pa.Array:
+    texts = []
+    for packed in ids:
+        own = np.frombuffer(packed.as_py() or b"", "<u4")
+        machine = Decoder(vocabulary)
+        out = [machine.feed(own[k:k + step].tolist()) for k in range(0, len(own), step)]
+        texts.append("".join([*out, machine.close()]))
+    return pa.array(texts, pa.string())
+
+
+def _map(df: DataFrame, path: str, new: list[StructField], run) -> DataFrame:
+    """``run(encoder, batch) -> new columns`` over slices of at most 256 rows."""
     spec = _read_spec(df, path)
-    schema = _with(df, [StructField(count_col, LongType()), StructField(ids_col, BinaryType())])
+    schema = _with(df, new)
     names = schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value)
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                counts, packed = [], []
-                for text in part.column(text_col):
-                    ids = array("I")
-                    for some in encoder.stream(text.as_py() or ""):
-                        ids.extend(some)
-                    counts.append(len(ids))
-                    packed.append(np.frombuffer(ids, np.uint32).astype("<u4", copy=False).tobytes() if ids else b"")
-                yield _replace(part, names, {count_col: pa.array(counts, pa.int64()), ids_col: pa.array(packed, pa.binary())})
+                yield _replace(part, names, run(encoder, part))
         encoder.cache.clear()
 
     return df.mapInArrow(work, schema)
 
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded", step: int = 8192) -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
+    """Append ``ids`` (binary: token ids as little-endian unsigned 32-bit integers, the
+    usual packed form of token shards) and ``n_tokens``.
+
+    Ids equal the tokenizer's without special tokens added; the strings of added tokens
+    in a text become their ids.  A null or empty text gives no ids.  Input columns named
+    like the new ones are replaced, all others pass unchanged, rows are neither lost nor
+    merged.
+    """
+    def run(encoder: Encoder, part: pa.RecordBatch) -> dict[str, pa.Array]:
+        counts, ids = _encode_batch(encoder, part.column(text_col))
+        return {count_col: counts, ids_col: ids}
+
+    return _map(df, path, [StructField(count_col, LongType()), StructField(ids_col, BinaryType())], run)
+
+
+def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Append ``decoded``: the text of packed ``ids``.  Null or empty ids give the empty
     text, ids outside the vocabulary are passed over, malformed bytes become U+FFFD."""
-    spec = _read_spec(df, path)
-    schema = _with(df, [StructField(text_col, StringType())])
-    names = schema.names
+    return _map(df, path, [StructField(text_col, StringType())],
+                lambda encoder, part: {text_col: _decode_batch(encoder.v, part.column(ids_col))})
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _encoder(spec.value).v
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = []
-                for packed in part.column(ids_col):
-                    ids = np.frombuffer(packed.as_py() or b"", "<u4")
-                    machine = Decoder(vocabulary)
-                    out = [machine.feed(ids[k:k + step].tolist()) for k in range(0, len(ids), step)]
-                    texts.append("".join([*out, machine.close()]))
-                yield _replace(part, names, {text_col: pa.array(texts, pa.string())})
 
-    return df.mapInArrow(work, schema)
+def encode_and_decode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the rows: append ``n_tokens``, ``ids`` and
+    ``decoded``, with the same rules."""
+    def run(encoder: Encoder, part: pa.RecordBatch) -> dict[str, pa.Array]:
+        counts, ids = _encode_batch(encoder, part.column(text_col))
+        return {"n_tokens": counts, "ids": ids, "decoded": _decode_batch(encoder.v, ids)}
+
+    return _map(df, path, [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())], run)
 
 
 def unpack(c):

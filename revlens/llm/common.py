@@ -38,6 +38,17 @@ def text_batches(df: DataFrame, rows: int = 1_000) -> None:
         df.sparkSession.conf.set(key, str(rows))
 
 
+def released(batches):
+    """Pass Arrow batches on and give the pool's free memory back as they are done with: an
+    idle worker would keep it."""
+    import pyarrow as pa
+    for k, batch in enumerate(batches):
+        yield batch
+        if k % 8 == 7:
+            pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+
+
 # ---------------------------------------------------------------- word hashes
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import cut
+from revlens.llm.common import cut, released
 
 MIN_PAGES = 10            # pages of a host below which its repeated texts prove nothing
 MIN_SHARE = 0.8           # share of a host's pages on which a template class occurs
@@ -252,7 +252,7 @@ def classes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.int64()), *(
                         pa.array([x[c] for x in v], pa.int64()) for c in range(4))], names=["host", "token", "parent", "pages", "most", "vector"])
 
-        for batch in batches:
+        for batch in released(batches):
             ids, urls, hosts = (batch.column(k).to_pylist() for k in range(3))
             for i, url, host, source in zip(ids, urls, hosts, batch.column(3)):
                 page = Page(source.as_py())
@@ -304,7 +304,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[object, frozenset[int]] = (None, frozenset())
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = []

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import text_batches
+from revlens.llm.common import released, text_batches
 
 UND = "und"
 TRAIN_DOCS = 400           # documented bound: texts sampled for each language
@@ -115,7 +115,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     @F.arrow_udf("lang string, score double, margin double, rejected boolean")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(shipped.value)
-        for texts in batches:
+        for texts in released(batches):
             got = [model.predict(t.as_py()) for t in texts]
             columns = {"lang": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64()), "margin": pa.array([g[2] for g in got], pa.float64()),
                        "rejected": pa.array([g[0] == UND or g[2] < min_margin for g in got], pa.bool_())}

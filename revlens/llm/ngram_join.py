@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import U64, components, cut, mix, shingle_hashes, small_side, text_batches, word_hashes
+from revlens.llm.common import U64, components, cut, mix, released, shingle_hashes, small_side, text_batches, word_hashes
 
 ENTRIES_HELD = 400_000      # signature entries a task gathers before it deals them out
 TILE_ROWS = 256
@@ -163,7 +163,7 @@ def _base(docs: DataFrame, width: int, bound: Bound) -> DataFrame:
             none = pa.nulls(int(many.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(own[many].view(np.int64)), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(times[many])], names=names)
 
-        for batch in batches:
+        for batch in released(batches):
             n, key = [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), width)
@@ -219,7 +219,7 @@ def _deal(docs: DataFrame, width: int, bound: Bound, buckets: int, common) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at:at + 512]], t) for k, t in enumerate(
                     (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "sig", "node", "edges"])
 
-        for batch in batches:
+        for batch in released(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = shingle_set(text.as_py(), width)
                 if i is None or not len(found):
@@ -340,7 +340,7 @@ def _multiply(rows: DataFrame, head_of: DataFrame, group: DataFrame, width: int,
     ids = dealt.select(F.col("head").alias("doc_id"), "block", "parts", "c").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             at = batch.schema.get_field_index("text")
             blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "block", "parts", "c")), pa.array(blobs, pa.binary())],

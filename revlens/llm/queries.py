@@ -32,8 +32,7 @@ def tokenizer_path() -> str:
 @query()
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = tokenizer_path()
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.encode_and_decode(docs, tokenizer_path())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

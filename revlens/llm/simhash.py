@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import U64, components, cut, mix, shingle_hashes, word_hashes
+from revlens.llm.common import U64, components, cut, mix, released, shingle_hashes, word_hashes
 
 BITS = 128
 WIDTH = 5
@@ -47,7 +47,7 @@ def fingerprint_column(text: Column, width: int = WIDTH, bits: int = BITS) -> Co
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in released(batches):
             yield pa.array([fingerprint(t.as_py(), width, bits).hex() for t in texts], pa.string())
 
     return run(text)
@@ -150,7 +150,7 @@ def with_next(docs: DataFrame, work, schema, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None        # the row that waits for its next one: (range, id, text)
         done = None        # range whose own rows are all matched
-        for batch in batches:
+        for batch in released(batches):
             ids, texts, nexts = [], [], []
             for p, own, lead, none, t in zip(*(batch[c].tolist() for c in ("p", "own", "lead", "none", "text"))):
                 if held is not None and held[0] == p and done != p:

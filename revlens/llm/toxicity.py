@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import cut, text_batches
+from revlens.llm.common import cut, released, text_batches
 
 TRAIN_ROWS = 12_000      # documented bound: labelled texts sampled for fitting
 FEATURES = 768           # words and word beginnings kept as features
@@ -178,7 +178,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", reject: float =
     @F.arrow_udf("severity double, p_toxic double, grade int, rejected boolean")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shipped.value
-        for texts in batches:
+        for texts in released(batches):
             more = m.more(np.array([m.score(t.as_py()) for t in texts], float))
             prob = -np.diff(np.concatenate([np.ones((len(more), 1)), more, np.zeros((len(more), 1))], axis=1), axis=1)
             columns = {"severity": more.sum(axis=1), "p_toxic": more[:, 0], "grade": prob.argmax(axis=1).astype(np.int32), "rejected": more[:, 0] >= reject}
