@@ -25,7 +25,7 @@ from revlens.llm.common import cut, released, text_batches
 TRAIN_ROWS = 12_000      # documented bound: labelled texts sampled for fitting
 FEATURES = 768           # words and word beginnings kept as features
 BEGINNINGS = (4, 5)      # letters of a beginning; inflected and compound forms share it
-REJECT = 0.12            # P(grade > 0) from which a document is rejected
+CLEAN_WEIGHT = 5.0       # a clean document lost weighs as much as so many shares of toxic ones kept
 GRADES = 4
 KEPT_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -36,6 +36,7 @@ class Model:
     words: dict[str, int]
     weights: np.ndarray
     cuts: np.ndarray
+    reject: float = 0.5       # P(grade > 0) from which a document is rejected
     seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def look_up(self, word: str) -> tuple[int, ...]:
@@ -104,10 +105,13 @@ def _fit(counted: DataFrame, features: int) -> Model:
         return none
     # words whose document share differs most between the classes, by chi-squared
     by_word = counted.groupBy("w").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("a"), F.count("*").alias("d"))
+    by_word = cut(by_word.where("d >= 3"), "toxic-by-word")
+    # a tie to the label counts if it is not to be expected by chance among so many words
+    least = 2 * np.log(max(2, by_word.count()))
     a, b = F.col("a").cast("double"), (F.col("d") - F.col("a")).cast("double")
     n = float(pos + neg)
     chi = n * F.pow(a * (neg - b) - b * (pos - a), 2) / ((a + b) * (n - a - b + 1e-9) * pos * neg)
-    chosen = (by_word.where("d >= 3").withColumn("chi", chi).orderBy(F.desc("chi"), "w").limit(features)
+    chosen = (by_word.withColumn("chi", chi).where(F.col("chi") >= float(least)).orderBy(F.desc("chi"), "w").limit(features)
               .select("w", "a", "d").collect())
     words = {r["w"]: k for k, r in enumerate(chosen)}
     if not words:
@@ -132,7 +136,20 @@ def _fit(counted: DataFrame, features: int) -> Model:
     grade = np.zeros(len(toxic), int)
     held = typical[toxic == 1]
     grade[toxic == 1] = 1 + np.digitize(held, np.quantile(held, [1 / 3, 2 / 3]))
-    return Model(words, *_descend(r, c, v, np.minimum(grade, GRADES - 1), len(words)))
+    model = Model(words, *_descend(r, c, v, np.minimum(grade, GRADES - 1), len(words)))
+    p = model.more(np.bincount(r, weights=v * model.weights[c], minlength=len(toxic)))[:, 0]
+    model.reject = _threshold(p[toxic == 1], p[toxic != 1])
+    return model
+
+
+def _threshold(toxic: np.ndarray, clean: np.ndarray) -> float:
+    """Where the share of toxic training texts caught, less the weighted share of clean ones
+    lost, is largest; in the middle of the gap there."""
+    at = np.unique(np.concatenate([toxic, clean, [1.0]]))
+    caught = 1 - np.searchsorted(np.sort(toxic), at, side="left") / len(toxic)
+    lost = 1 - np.searchsorted(np.sort(clean), at, side="left") / len(clean)
+    best = int(np.argmax(caught - CLEAN_WEIGHT * lost))
+    return float((at[best] + at[best - 1]) / 2) if best else float(at[0])
 
 
 def _descend(r, c, v, grade, k, rounds: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -165,15 +182,17 @@ def _descend(r, c, v, grade, k, rounds: int = 400, penalty: float = 1e-3) -> tup
     return p[:k], p[k] + np.concatenate([[0.0], np.cumsum(np.exp(p[k + 1:]))])
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> Column:
+def predict(df: DataFrame, model: Model, text_col: str = "text", reject: float | None = None) -> Column:
     """Column ``struct(severity, p_toxic, grade, rejected)`` for the whole text.
 
     severity is the expected grade (0..3), p_toxic = P(grade > 0), grade the most probable
-    one (ties to the lower), rejected: p_toxic >= ``reject``.  A null, empty or wordless text has
+    one (ties to the lower), rejected: p_toxic >= ``reject`` (the
+    model's own threshold unless given).  A null, empty or wordless text has
     the features of none and is judged by the cuts alone.
     """
     text_batches(df)
     shipped = df.sparkSession.sparkContext.broadcast(model)
+    bar = model.reject if reject is None else reject
 
     @F.arrow_udf("severity double, p_toxic double, grade int, rejected boolean")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -181,7 +200,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", reject: float =
         for texts in released(batches):
             more = m.more(np.array([m.score(t.as_py()) for t in texts], float))
             prob = -np.diff(np.concatenate([np.ones((len(more), 1)), more, np.zeros((len(more), 1))], axis=1), axis=1)
-            columns = {"severity": more.sum(axis=1), "p_toxic": more[:, 0], "grade": prob.argmax(axis=1).astype(np.int32), "rejected": more[:, 0] >= reject}
+            columns = {"severity": more.sum(axis=1), "p_toxic": more[:, 0], "grade": prob.argmax(axis=1).astype(np.int32), "rejected": more[:, 0] >= bar}
             yield pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
         m.seen.clear()
 
