@@ -20,11 +20,16 @@ from pyspark.sql.window import Window
 from revlens.functions import text as T
 from revlens.operators.lexicon import bounded_broadcast
 
-MAX_CANDIDATES = 3
-MAX_SENTENCES = 2
+# optional limits of the scored candidates per aspect and sentences per candidate; None: all
+MAX_CANDIDATES: int | None = None
+MAX_SENTENCES: int | None = None
 MAX_BROADCAST_SEEDS = 100_000
 
 
+def _first(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
 # --- F13 ---------------------------------------------------------------------
 def candidates_long(df: DataFrame, stop_words: Sequence[str], id_col: str = "review_id",
                     text_col: str = "review_text") -> DataFrame:
@@ -58,7 +63,7 @@ def unmapped_candidates(cands: DataFrame, lexicon: DataFrame, lexicon_rows: int
 
 # --- sentence units + scoring (shared by A2 and A3) ---------------------------
 def _with_units(df: DataFrame, id_col: str, text_col: str, aspect_cands: Column,
-                max_sents: int = MAX_SENTENCES) -> DataFrame:
+                max_sents: int | None = MAX_SENTENCES) -> DataFrame:
     """One row per (id, distinct selected sentence index s_idx; 0 = whole text) with
     the sentence text and the aspect units that use it (multiplicity kept).
 
@@ -75,7 +80,7 @@ def _with_units(df: DataFrame, id_col: str, text_col: str, aspect_cands: Column,
         def with_lower(w: Column) -> Column:
             def idx_for(c: Column) -> Column:
                 hit = F.filter(w["si"], lambda i: F.element_at(w["sl"], i).contains(c))
-                return T.let(hit, lambda h: F.when(F.size(h) > 0, F.slice(h, 1, max_sents))
+                return T.let(hit, lambda h: F.when(F.size(h) > 0, _first(h, max_sents))
                              .otherwise(F.array(F.lit(0))))
 
             units = F.flatten(F.transform(ac, lambda a: F.flatten(F.transform(
@@ -110,9 +115,10 @@ def _score_units(grouped: DataFrame, scorer, id_col: str) -> DataFrame:
 
 # --- A2 ----------------------------------------------------------------------
 def aspect_sentiment(mapped: DataFrame, texts: DataFrame, scorer, id_col: str = "review_id",
-                     text_col: str = "review_text", max_cands: int = MAX_CANDIDATES) -> DataFrame:
+                     text_col: str = "review_text", max_cands: int | None = MAX_CANDIDATES) -> DataFrame:
     """A2: given mapped candidates (id, cand_pos, candidate, aspect, aspect_ord) and the
-    texts, score <= 3 candidates x <= 2 sentences per aspect.
+    texts, score every candidate in every sentence that holds it (``max_cands`` limits the
+    candidates of an aspect).
 
     The mapping is folded to one array per review (bounded by the review's
     candidates), joined to the text on the id, then the same row-local unit
@@ -125,7 +131,7 @@ def aspect_sentiment(mapped: DataFrame, texts: DataFrame, scorer, id_col: str =
         return F.transform(aspects, lambda a: T.let(
             F.transform(F.filter(m, lambda x: x["aspect_ord"] == a["aspect_ord"]), lambda x: x["candidate"]),
             lambda cs: F.struct(a["aspect"].alias("aspect"), a["aspect_ord"].alias("aspect_ord"),
-                                F.slice(cs, 1, max_cands).alias("cands"), F.array_join(cs, "|").alias("mapped"))))
+                                _first(cs, max_cands).alias("cands"), F.array_join(cs, "|").alias("mapped"))))
     ac = T.let(F.col("_m"), per)
     j = texts.select(id_col, text_col).join(per_review, id_col)
     return _score_units(_with_units(j, id_col, text_col, ac), scorer, id_col)
@@ -147,7 +153,7 @@ def _seed_match(c: Column, s: Column, whole_word: bool) -> Column:
     return F.concat(F.lit(" "), c, F.lit(" ")).contains(F.concat(F.lit(" "), s, F.lit(" ")))
 
 
-def aspect_candidates(cands: Column, aspects: dict[str, list[str]], max_cands: int = MAX_CANDIDATES,
+def aspect_candidates(cands: Column, aspects: dict[str, list[str]], max_cands: int | None = MAX_CANDIDATES,
                       whole_word: bool = False) -> Column:
     """Row-local J1: array<struct<aspect, aspect_ord, cands (first n), mapped (all, '|'-joined)>>,
     aspects without candidates pruned.  ``cands`` is bound once (``let``)."""
@@ -158,7 +164,7 @@ def aspect_candidates(cands: Column, aspects: dict[str, list[str]], max_cands: i
         hits = F.filter(hits, lambda x: F.size(x["all"]) > 0)
         return F.transform(hits, lambda x: F.struct(
             x["aspect"].alias("aspect"), x["aspect_ord"].alias("aspect_ord"),
-            F.slice(x["all"], 1, max_cands).alias("cands"), F.array_join(x["all"], "|").alias("mapped")))
+            _first(x["all"], max_cands).alias("cands"), F.array_join(x["all"], "|").alias("mapped")))
     return T.let(cands, per)
 
 

@@ -25,6 +25,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.functions import text as T
+
 from revlens.functions.text import word_tokens
 from revlens.sources.lexicons import (
     BOOSTER_DAMPING, COMPOUND_ALPHA, FX_BOOSTER, FX_NEGATION, NEGATION_SCALAR, POLARITY_NEGATION,
@@ -167,7 +169,7 @@ class ModelScorer:
     def score(self, df: DataFrame, key_cols: Sequence[str], text_col: str,
               carry_cols: Sequence[str] = ()) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
-        x = df.select(*key_cols, *carry_cols, F.col(text_col).alias(self.text_input))
+        x = df.select(*key_cols, *carry_cols, T.as_text(text_col).alias(self.text_input))
         p = self.model.transform(x)
         lab = F.element_at(F.array(*[F.lit(v) for v in self.labels]), F.col("prediction").cast("int") + 1)
         prob = F.element_at(vector_to_array("probability"), F.col("prediction").cast("int") + 1)

@@ -34,7 +34,8 @@ def confusion_matrix(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pre
     cells = confusion_cells(df, y_true, y_pred)
     labels = cells.select(F.array_distinct(F.flatten(F.collect_set(F.array("y_true", "y_pred")))).alias("l"))
     grid = labels.select(F.explode("l").alias("y_true"), F.col("l")).select("y_true", F.explode("l").alias("y_pred"))
-    return grid.join(cells, ["y_true", "y_pred"], "left").select(
+    cells = cells.select(F.col("y_true").alias("_t"), F.col("y_pred").alias("_p"), "n")
+    return grid.join(cells, F.col("y_true").eqNullSafe(F.col("_t")) & F.col("y_pred").eqNullSafe(F.col("_p")), "left").select(
         "y_true", "y_pred", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 
 

@@ -141,7 +141,8 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: floa
     decided = cum.select(label_col, "_b", "_before", "_k",
                          F.when(F.col("_before") + F.col("_n") <= F.col("_k"), F.lit("test"))
                          .when(F.col("_before") >= F.col("_k"), F.lit("train")).otherwise(F.lit("edge")).alias("_d"))
-    j = d.join(F.broadcast(decided), [label_col, "_b"])
+    decided = decided.withColumnsRenamed({label_col: "_label", "_b": "_bucket"})
+    j = d.join(F.broadcast(decided), d[label_col].eqNullSafe(decided["_label"]) & (d["_b"] == decided["_bucket"]))   # a null label is a class
     plain = j.where(F.col("_d") != "edge").select(*df.columns, (F.col("_d") == "test").alias("is_test"))
     edge = j.where(F.col("_d") == "edge")
     rn = F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h", id_col))

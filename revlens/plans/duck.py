@@ -148,15 +148,13 @@ cands AS (SELECT id, cand AS candidate, CAST(row_number() OVER (PARTITION BY id
 mapped AS (SELECT DISTINCT c.id, c.cand_pos, c.candidate, a.aspect, a.aspect_ord
            FROM cands c JOIN fx_aspects a ON contains(c.candidate, a.seed)),
 mapped_all AS (SELECT id, aspect, string_agg(candidate, '|' ORDER BY cand_pos) AS candidates FROM mapped GROUP BY id, aspect),
-top3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, aspect ORDER BY cand_pos) AS r FROM mapped) t WHERE r <= 3),
 sents AS (SELECT id, unnest(sl) AS s, unnest(generate_series(1, len(sl))) AS s_idx
           FROM (SELECT id, {sentences_list('text')} AS sl FROM base) t),
-hits AS (SELECT t.id, t.aspect, t.aspect_ord, t.cand_pos, s.s_idx,
-                row_number() OVER (PARTITION BY t.id, t.aspect, t.cand_pos ORDER BY s.s_idx) AS k
-         FROM top3 t JOIN sents s ON t.id = s.id AND contains(lower(s.s), t.candidate)),
-units AS (SELECT id, aspect, aspect_ord, cand_pos, s_idx FROM hits WHERE k <= 2
+hits AS (SELECT t.id, t.aspect, t.aspect_ord, t.cand_pos, s.s_idx
+         FROM mapped t JOIN sents s ON t.id = s.id AND contains(lower(s.s), t.candidate)),
+units AS (SELECT id, aspect, aspect_ord, cand_pos, s_idx FROM hits
           UNION ALL
-          SELECT t.id, t.aspect, t.aspect_ord, t.cand_pos, 0 AS s_idx FROM top3 t
+          SELECT t.id, t.aspect, t.aspect_ord, t.cand_pos, 0 AS s_idx FROM mapped t
           WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.id = t.id AND h.aspect = t.aspect AND h.cand_pos = t.cand_pos)),
 utext AS (SELECT u.id, u.s_idx, CASE WHEN u.s_idx = 0 THEN b.text ELSE s.s END AS stext
           FROM (SELECT DISTINCT id, s_idx FROM units) u JOIN base b ON b.id = u.id

@@ -59,7 +59,7 @@ def q_aspect_lexicon_join(spark, sf):
 @query("unmapped_candidates", views=ABSA_VIEWS, oracle=f"""
 WITH {BASE}, {ABSA}
 SELECT c.id AS review_id, c.cand_pos, c.candidate FROM cands c
-WHERE NOT EXISTS (SELECT 1 FROM mapped m WHERE m.id = c.id AND m.cand_pos = c.cand_pos)
+WHERE NOT EXISTS (SELECT 1 FROM fx_aspects a WHERE contains(c.candidate, a.seed))
 """)
 def q_unmapped_candidates(spark, sf):
     u = A.unmapped_candidates(_cands(spark, sf), aspects_df(spark), lexicon_rows=sum(map(len, FX_ASPECTS.values())))

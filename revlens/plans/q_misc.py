@@ -192,8 +192,9 @@ def q_language_detect(spark, sf):
 def q_english_gate(spark, sf):
     """F17 + T3: the translation gate -- all of 5 repeatably sampled documents English?"""
     d = tables.documents(spark, sf)
-    det = AU.detect_language(d, "doc_id", "text", AU.language_profiles(d, "text", "lang", 300), "lang")
-    return AU.english_gate_df(det, 5, "doc_id")
+    profiles = AU.language_profiles(d, "text", "lang", 300)
+    some = M.sample_rows(d.where(F.trim("text") != "").select("doc_id", "text"), "doc_id", k=5)
+    return AU.english_gate_df(AU.detect_language(some, "doc_id", "text", profiles, "lang"), 5, "doc_id")
 
 
 _W = {"value": 0.5, "hour": -0.2, "props_len": 0.01}

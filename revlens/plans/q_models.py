@@ -237,9 +237,9 @@ def _vec_data(spark, sf):
 
 @query("random_forest", oracle=None)
 def q_random_forest(spark, sf):
-    """ML7: class-balanced forest (20 trees for the query; 400 is the library default)."""
+    """ML7: class-balanced forest of 400 trees (the library's default)."""
     sp = ML.stratified_split(_vec_data(spark, sf), "vec_id", "y", 0.2, 42)
-    rf = ML.random_forest(sp.where(~F.col("is_test")), "features", "y", num_trees=20)
+    rf = ML.random_forest(sp.where(~F.col("is_test")), "features", "y")
     p = rf.transform(sp.where("is_test"))
     return p.select("vec_id", F.col("y").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"),
                     vector_to_array("probability")[1].alias("p1"))
@@ -252,10 +252,10 @@ def _oversample(df):
 
 @query("platt_calibration", oracle=None)
 def q_platt_calibration(spark, sf):
-    """ML8: 3-fold sigmoid calibration with SMOTE inside each fold (20 trees)."""
+    """ML8: 3-fold sigmoid calibration with SMOTE inside each fold (400 trees)."""
     sp = ML.stratified_split(_vec_data(spark, sf), "vec_id", "y", 0.2, 42)
     p = ML.platt_calibrated_proba(sp.where(~F.col("is_test")).drop("is_test"), sp.where("is_test"), "features", "y",
-                                  "vec_id", oversample=_oversample, num_trees=20)
+                                  "vec_id", oversample=_oversample, num_trees=400)
     return p.join(sp.where("is_test").select("vec_id", F.col("y").alias("y_true")), "vec_id")
 
 

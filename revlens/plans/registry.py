@@ -38,5 +38,5 @@ def r6(c) -> Column:
 def load_all() -> None:
     """Import every query module (registration happens at import)."""
     from revlens.plans import (  # noqa: F401
-        q_quality, q_text, q_absa, q_business, q_metrics, q_models, q_misc,
+        q_quality, q_text, q_absa, q_metrics, q_models, q_misc,
     )

@@ -7,6 +7,7 @@ driver.
 
 from __future__ import annotations
 
+import csv
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,13 +84,17 @@ def _split_lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return rows.select(*[na_to_null(F.get(F.col("_p"), i)).alias(n) for i, n in enumerate(names)])
 
 
+_EXTRA = "_past_the_last"
+
+
 def _quoted(spark: SparkSession, path: str, sep: str) -> DataFrame:
     header = _header(spark, path)
-    names = [h.strip().strip('"') for h in header.split(sep)]
-    schema = StructType([StructField(n, StringType()) for n in names])
+    names = [h.strip() for h in next(csv.reader([header], delimiter=sep))]
+    schema = StructType([StructField(n, StringType()) for n in [*names, _EXTRA]])
     df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
-          .option("escape", '"').option("multiLine", True).option("mode", "DROPMALFORMED").csv(path))
-    return df.select(*[na_to_null(F.col(f"`{n}`")).alias(n) for n in names])
+          .option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+    # a field past the header's last one marks a row that is too long; short rows are padded
+    return df.where(F.col(_EXTRA).isNull()).select(*[na_to_null(F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def read_reviews(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
@@ -101,7 +106,7 @@ def read_reviews(spark: SparkSession, path: str, sep: str | None = None) -> Data
     else:
         df = normalize_columns(_split_lines(spark, path, ","))
         if "review_text" not in df.columns:
-            df = normalize_columns(_split_lines(spark, path, "\t"))
+            df = normalize_columns(_quoted(spark, path, "\t"))
     from revlens.operators.features import require_text
     return require_text(df)
 
@@ -115,9 +120,9 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
     df = normalize_columns(_quoted(spark, path, sep))
     id_col = "review_id" if "review_id" in df.columns else None
     if id_col is None:
-        df = df.withColumn("review_id", F.monotonically_increasing_id())
+        df = df.withColumn("review_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     else:
-        df = df.withColumn("review_id", F.col("review_id").cast("bigint"))
+        df = df.withColumn("review_id", F.col("review_id").try_cast("bigint"))
     return prepare_reviews(df)
 
 

@@ -35,9 +35,9 @@ def score_stream(spark: SparkSession, src: str, schema: StructType, out: str, ch
         a = absa_extract(rows.select("review_id", "review_text"), aspects, stop_words, scorer)
         res = s.join(a, "review_id", "left").select(
             "review_id", *keep_cols, F.col("label").alias("sentiment_label"),
-            F.col("score").alias("sentiment_confidence"), "aspect", "aspect_sentiment", "aspect_confidence",
-            F.lit(epoch).alias("epoch"))
-        res.write.mode("append").parquet(out)
+            F.col("score").alias("sentiment_confidence"), "aspect", "aspect_sentiment", "aspect_confidence")
+        # a batch that is replayed after a failure replaces its own partition
+        res.write.mode("overwrite").parquet(f"{out.rstrip('/')}/epoch={epoch}")
 
     q = (_stream(spark, src, schema).writeStream.foreachBatch(batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
