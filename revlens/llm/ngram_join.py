@@ -40,8 +40,8 @@ from revlens.llm.common import U64, components, cut, mix, released, shingle_hash
 
 ENTRIES_HELD = 400_000      # signature entries a task gathers before it deals them out
 TILE_ROWS = 256
-TILE_COLUMNS = 8192
-TILE_ENTRIES = 1_000_000
+TILE_COLUMNS = 2048
+TILE_ENTRIES = 200_000
 MOST_BROADCAST_IDS = 2_000_000
 ROWS_PER_BUCKET = 20_000      # about a million signature entries
 MOST_COMMON = 500_000       # bound of the common signatures shipped; fewer cost time, not links
