@@ -2,10 +2,10 @@
 
 X3 re-aims tree/deep SHAP as model-agnostic sampled Shapley values
 (Strumbelj & Kononenko 2014): every row is expanded into permutations x
-background rows x (d + 1) coalition points inside its own task (the background
-is a bounded sample entering as a scalar array), all points are scored in one
-pass, marginal contributions come from a window over each (row, permutation,
-background) chain of d + 1 points, and values are averaged per (row, feature).
+background rows x d steps inside its own task (the background is a bounded sample
+entering as a scalar array).  A step holds the point before and after its feature
+joins, so the marginal contribution is a difference on one row; only partial
+averages per (row, feature) are shuffled.
 
 X5(a) re-aims LIME for tables of texts as leave-one-word-out: for every
 distinct word of a text the text is rescored without that word (all
@@ -41,14 +41,14 @@ def shapley_values(df: DataFrame, id_col: str, feature_cols: Sequence[str], scor
     ranks = [sum((F.when(keys[i] < keys[j], 1).when((keys[i] == keys[j]) & (F.lit(i) < F.lit(j)), 1).otherwise(0)
                   for i in range(d)), F.lit(0)) for j in range(d)]
     ex = ex.select("*", *[r.alias(f"_r{j}") for j, r in enumerate(ranks)])
-    ex = ex.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
-    point = {c: F.when(F.col(f"_r{j}") < F.col("_k"), F.col(c)).otherwise(F.col("_b")[c])
-             for j, c in enumerate(feature_cols)}
+    ex = ex.select("*", F.explode(F.sequence(F.lit(1), F.lit(d))).alias("_k"))
+
+    def point(joined: Column) -> dict:
+        return {c: F.when(F.col(f"_r{j}") < joined, F.col(c)).otherwise(F.col("_b")[c]) for j, c in enumerate(feature_cols)}
+
     # the feature added at step k is the one with rank k - 1
     added = sum((F.when(F.col(f"_r{j}") == F.col("_k") - 1, F.lit(j)).otherwise(0) for j in range(d)), F.lit(0))
-    scored = ex.select(id_col, "_perm", "_bi", "_k", added.alias("_j"), score(point).alias("_f"))
-    w = Window.partitionBy(id_col, "_perm", "_bi").orderBy("_k")
-    contrib = scored.select(id_col, "_k", "_j", (F.col("_f") - F.lag("_f").over(w)).alias("_c")).where(F.col("_k") > 0)
+    contrib = ex.select(id_col, added.alias("_j"), (score(point(F.col("_k"))) - score(point(F.col("_k") - 1))).alias("_c"))
     names = F.array(*[F.lit(c) for c in feature_cols])
     return contrib.groupBy(id_col, "_j").agg(F.avg("_c").alias("shapley")).select(
         id_col, F.element_at(names, F.col("_j") + 1).alias("feature"), "shapley")

@@ -228,10 +228,16 @@ def classification_report(df: DataFrame, y_true: str = "y_true", y_pred: str = "
 
 
 # --- G14 / T1-T3 --------------------------------------------------------------
-def accuracy_by_length(df: DataFrame, y_true: str, y_pred: str, text_col: str = "review_text", q: int = 5) -> DataFrame:
+def _length(text_col: str, len_col: str | None) -> Column:
+    return F.col(len_col) if len_col else F.length(T.as_text(text_col))
+
+
+def accuracy_by_length(df: DataFrame, y_true: str, y_pred: str, text_col: str = "review_text", q: int = 5,
+                       len_col: str | None = None) -> DataFrame:
     """``qcut(len, q, duplicates='drop')`` bins (lo, hi], lowest edge inclusive;
-    accuracy and size per bin.  Edges are exact linear quantiles (scalar subquery)."""
-    d = df.select(F.length(T.as_text(text_col)).alias("len"), (F.col(y_true) == F.col(y_pred)).cast("double").alias("ok"))
+    accuracy and size per bin.  Edges are exact linear quantiles (scalar subquery).
+    ``len_col`` names a column that already holds the text length."""
+    d = df.select(_length(text_col, len_col).alias("len"), (F.col(y_true) == F.col(y_pred)).cast("double").alias("ok"))
     probs = F.array(*[F.lit(i / q) for i in range(q + 1)])
     edges = d.select(F.array_distinct(F.percentile(F.col("len"), probs))).scalar()
     b = d.select("len", "ok", edges.alias("_e"))
@@ -243,13 +249,18 @@ def accuracy_by_length(df: DataFrame, y_true: str, y_pred: str, text_col: str =
 
 
 def misclassified_examples(df: DataFrame, y_true: str, y_pred: str, id_col: str, text_col: str = "review_text",
-                           k: int = 25) -> DataFrame:
-    """Rows with y_true != y_pred (both null counts as an error), longest text first, top k."""
-    err = df.where(~F.col(y_true).eqNullSafe(F.col(y_pred)) | (F.col(y_true).isNull() & F.col(y_pred).isNull()))
-    return err.withColumn("text_len", F.length(T.as_text(text_col)).cast("bigint")) \
+                           k: int = 25, len_col: str | None = None) -> DataFrame:
+    """Rows with y_true != y_pred (both null counts as an error), longest text first, top k.
+    With ``len_col`` the frame needs no text; join it to the k rows afterwards."""
+    return misclassified(df, y_true, y_pred).withColumn("text_len", _length(text_col, len_col).cast("bigint")) \
         .orderBy(F.desc("text_len"), id_col).limit(k)
 
 
+def misclassified(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+    """P5: rows whose prediction differs from the label (both null counts as an error)."""
+    return df.where(~F.col(y_true).eqNullSafe(F.col(y_pred)) | (F.col(y_true).isNull() & F.col(y_pred).isNull()))
+
+
 def lowest_confidence(df: DataFrame, conf_col: str, id_col: str, k: int = 5) -> DataFrame:
     """The k least confident predictions (TakeOrderedAndProject, no global sort)."""
     return df.orderBy(F.asc(conf_col), id_col).limit(k)

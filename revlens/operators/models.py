@@ -52,11 +52,11 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 50_000,
     ``max_features`` most frequent in the corpus (ties by term).  Long output
     (id, term, tf, weight).
 
-    Plan: explode n-grams -> (id, term) counts (map-side combined) -> per-term
-    df / total (combined) -> top-k vocabulary (bounded by max_features, broadcast)
-    -> weights -> per-document norm (window partitioned by id)."""
+    Plan: texts are clustered by id once, so that the (id, term) counts and the
+    per-document norm need no further shuffle; only partial per-term df / totals are
+    shuffled -> top-k vocabulary (bounded by max_features, broadcast) -> weights."""
     n_docs = df.select(F.count(F.lit(1)).cast("double")).scalar()
-    grams = df.select(id_col, F.explode(ngrams(text_col)).alias("term"))
+    grams = df.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(ngrams(text_col)).alias("term"))
     tf = grams.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     vocab = stats.orderBy(F.desc("total"), "term").limit(max_features)

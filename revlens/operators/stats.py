@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,6 +41,26 @@ def mcnemar_test(df: DataFrame, y_true: str = "y_true", pred_a: str = "pred_a",
             "n10": float(r["n10"])}
 
 
+def chi2_tail(x: Column, dof: Column, terms: int = 1500) -> Column:
+    """Upper tail of chi-square as a column, dof >= 1: 1 minus the power series of the lower
+    incomplete gamma function, each term from the one before; 0 beyond 1400, where the
+    tail is below any double that matters; null and NaN give null."""
+    a, z = dof / F.lit(2.0), x / F.lit(2.0)
+    odd = F.when(F.pmod(dof.cast("int"), F.lit(2)) == 1, F.lit(math.sqrt(math.pi))).otherwise(F.lit(1.0))
+    gamma = F.aggregate(F.sequence(F.lit(0), F.ceil(a).cast("int") - 1), odd, lambda acc, j: acc * (a - j))   # of a + 1
+    first = F.exp(a * F.log(z) - z) / gamma
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(first.alias("term"), first.alias("total")),
+                         lambda acc, n: F.struct((acc["term"] * z / (a + n)).alias("term"),
+                                                 (acc["total"] + acc["term"] * z / (a + n)).alias("total")))["total"]
+    tail = F.when(x <= 0, F.lit(1.0)).when(x > 1400, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - series))
+    return F.when(x.isNotNull() & ~F.isnan(x), tail)
+
+
+def with_p_value(tests: DataFrame, stat_col: str, dof: Column) -> DataFrame:
+    """Add ``p_value`` to a frame of test statistics (M12: dof 1, M14: column ``df``)."""
+    return tests.withColumn("p_value", chi2_tail(F.col(stat_col).cast("double"), dof))
+
+
 # --- M13 --------------------------------------------------------------------
 def accuracy_from_cells(y_true: np.ndarray, y_pred: np.ndarray, counts: np.ndarray) -> float:
     n = counts.sum()

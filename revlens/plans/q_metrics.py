@@ -197,6 +197,22 @@ def q_mcnemar(spark, sf):
     return S.mcnemar(_pred(spark, sf)).select("n01", "n10", r6("chi2").alias("chi2"))
 
 
+# upper tail of chi-square: 1 minus the power series of the lower incomplete gamma function
+_TAIL = """CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 1400 THEN 0.0 ELSE round(1 - (SELECT sum(exp(({a} + n) * ln({x} / 2) - {x} / 2 - lgamma({a} + n + 1)))
+                     FROM range(0, 1500) t(n)), 6) END"""
+
+
+@query("mcnemar_p_value", views=("predictions",), oracle=f"""
+WITH g AS (SELECT count(*) FILTER (WHERE pred_b = y_true AND pred_c <> y_true) AS n01,
+                  count(*) FILTER (WHERE pred_b <> y_true AND pred_c = y_true) AS n10 FROM predictions),
+c AS (SELECT ((abs(n01 - n10) - 1) * (abs(n01 - n10) - 1))::DOUBLE / greatest(1, n01 + n10) AS chi2 FROM g)
+SELECT round(chi2, 6) AS chi2, {_TAIL.format(x="chi2", a="0.5")} AS p_value FROM c
+""")
+def q_mcnemar_p_value(spark, sf):
+    m = S.mcnemar(_pred(spark, sf), pred_a="pred_b", pred_b="pred_c")
+    return S.with_p_value(m, "chi2", F.lit(1)).select(r6("chi2").alias("chi2"), r6("p_value").alias("p_value"))
+
+
 @query("friedman", views=("fold_scores",), oracle="""
 WITH r AS (SELECT fold, model, rank() OVER (PARTITION BY fold ORDER BY score)
                   + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0 AS rk,
@@ -212,6 +228,21 @@ def q_friedman(spark, sf):
     return f.select(r6("statistic").alias("statistic"), "df", "n_blocks", "k_models")
 
 
+@query("friedman_p_value", views=("fold_scores",), oracle=f"""
+WITH r AS (SELECT fold, model, rank() OVER (PARTITION BY fold ORDER BY score)
+                  + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0 AS rk,
+                  count(*) OVER (PARTITION BY fold, score) AS t FROM fold_scores),
+k AS (SELECT count(DISTINCT fold)::DOUBLE AS n, count(DISTINCT model)::DOUBLE AS k,
+             sum(t * t - 1)::DOUBLE AS ties FROM r),
+s AS (SELECT sum(R * R) AS ssbn FROM (SELECT model, sum(rk) AS R FROM r GROUP BY model) x),
+f AS (SELECT (12.0 / (k * n * (k + 1)) * ssbn - 3 * n * (k + 1)) / (1 - ties / (k * (k * k - 1) * n)) AS statistic, k - 1 AS dof FROM s, k)
+SELECT round(statistic, 6) AS statistic, {_TAIL.format(x="statistic", a="dof / 2")} AS p_value FROM f
+""")
+def q_friedman_p_value(spark, sf):
+    f = S.with_p_value(S.friedman(tables.fold_scores(spark, sf)), "statistic", F.col("df"))
+    return f.select(r6("statistic").alias("statistic"), r6("p_value").alias("p_value"))
+
+
 @query("bootstrap_ci", oracle=None)
 def q_bootstrap_ci(spark, sf):
     """M13 (rows check; pytest compares with the analytic interval)."""
@@ -228,8 +259,9 @@ def scored_reviews(spark, sf):
     """Prepared reviews + lexicon sentiment + proxy label and a prediction from the sentiment."""
     from revlens.plans.q_absa import prepared
     p = prepared(spark, sf)
-    s = LexiconScorer.fixture(spark).score(p, ["review_id"], "review_text", carry_cols=["review_text", "rating"])
-    return s.select("review_id", "review_text", "rating", F.col("label").alias("sentiment_label"),
+    p = p.withColumn("text_len", F.length("review_text"))      # texts stay out of the aggregate; reports need the length
+    s = LexiconScorer.fixture(spark).score(p, ["review_id"], "review_text", carry_cols=["text_len", "rating"])
+    return s.select("review_id", "text_len", "rating", F.col("label").alias("sentiment_label"),
                     F.col("score").alias("sentiment_confidence"),
                     T.proxy_label("rating").alias("y_true"),
                     (F.col("label") == "POSITIVE").cast("int").alias("y_pred"))
@@ -293,7 +325,7 @@ b AS (SELECT greatest(1, len(list_filter(e, lambda x: x < d.len))) AS bin, ok, e
 SELECT bin, e[bin] AS bin_lo, e[bin + 1] AS bin_hi, round(avg(ok), 6) AS accuracy, count(*) AS n FROM b GROUP BY bin, e
 """)
 def q_accuracy_by_length(spark, sf):
-    a = M.accuracy_by_length(scored_reviews(spark, sf), "y_true", "y_pred")
+    a = M.accuracy_by_length(scored_reviews(spark, sf), "y_true", "y_pred", len_col="text_len")
     return a.select("bin", "bin_lo", "bin_hi", r6("accuracy").alias("accuracy"), "n")
 
 
@@ -303,7 +335,8 @@ WHERE y_true IS DISTINCT FROM y_pred OR (y_true IS NULL AND y_pred IS NULL)
 ORDER BY text_len DESC, review_id LIMIT 25
 """)
 def q_misclassified_examples(spark, sf):
-    m = M.misclassified_examples(scored_reviews(spark, sf), "y_true", "y_pred", "review_id", k=25)
+    m = M.misclassified_examples(scored_reviews(spark, sf), "y_true", "y_pred", "review_id", k=25,
+                                 len_col="text_len")
     return m.select("review_id", "y_true", "y_pred", "text_len")
 
 
@@ -345,9 +378,7 @@ WHERE y_true IS DISTINCT FROM y_pred OR (y_true IS NULL AND y_pred IS NULL)
 """)
 def q_misclassified_filter(spark, sf):
     """P5: every row whose prediction differs from the label (both null counts as an error)."""
-    s = scored_reviews(spark, sf)
-    err = ~F.col("y_true").eqNullSafe(F.col("y_pred")) | (F.col("y_true").isNull() & F.col("y_pred").isNull())
-    return s.where(err).select("review_id", "y_true", "y_pred")
+    return M.misclassified(scored_reviews(spark, sf)).select("review_id", "y_true", "y_pred")
 
 
 @query("row_cap", views=("reviews",), oracle="""

@@ -22,6 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+FEW_SPLITS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of few splits (a small file is one row group, thus one task) over the
+    cores.  A table of ``FEW_SPLITS`` splits or more, as any large one, is left as it is."""
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df if splits >= min(cores, FEW_SPLITS) else df.repartition(min(cores, FEW_SPLITS))
+
+
 def _mod(c: Column, m: int) -> Column:
     return F.pmod(c, F.lit(m))
 
@@ -29,7 +39,7 @@ def _mod(c: Column, m: int) -> Column:
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review per document, with nulls, blanks, HTML/URL/emoji text,
     out-of-range and non-numeric ratings mixed in (FIXTURES.md §3)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = d.join(lab, "doc_id", "left")
     i = F.col("doc_id")
@@ -150,7 +160,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "SparkSession", "F", "Window")]
