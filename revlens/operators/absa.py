@@ -1,12 +1,11 @@
 """Aspect-based sentiment.
 
 The fused pipeline (``absa_extract``) keeps every per-review step row-local:
-candidates, aspect mapping against the (small, literal) seed lexicon, the first
-three candidates per aspect and the first two matching sentences are array
-expressions on the review row.  Only the selected sentences leave the row: they
-are exploded once per distinct sentence, scored by the scorer (token explode +
-broadcast lexicon join + partial aggregate), and folded back per
-(review, aspect).  The review text is never shuffled.
+candidates, aspect mapping against the (small, literal) seed lexicon and the
+sentences that hold a candidate are array expressions on the review row.  Only
+those sentences leave the row, each once: they are scored by the scorer (token
+explode + broadcast lexicon join + partial aggregate) and folded back per
+(review, aspect) with the number of candidates that they count for.
 """
 
 from __future__ import annotations
@@ -20,9 +19,8 @@ from pyspark.sql.window import Window
 from revlens.functions import text as T
 from revlens.operators.lexicon import bounded_broadcast
 
-# optional limits of the scored candidates per aspect and sentences per candidate; None: all
+# optional limit of the scored candidates per aspect; None: all
 MAX_CANDIDATES: int | None = None
-MAX_SENTENCES: int | None = None
 MAX_BROADCAST_SEEDS = 100_000
 
 
@@ -62,43 +60,33 @@ def unmapped_candidates(cands: DataFrame, lexicon: DataFrame, lexicon_rows: int
 
 
 # --- sentence units + scoring (shared by A2 and A3) ---------------------------
-def _with_units(df: DataFrame, id_col: str, text_col: str, aspect_cands: Column,
-                max_sents: int | None = MAX_SENTENCES) -> DataFrame:
-    """One row per (id, distinct selected sentence index s_idx; 0 = whole text) with
-    the sentence text and the aspect units that use it (multiplicity kept).
-
-    Everything is evaluated on the review row; ``let`` binds the sentence split
-    and the unit list once, so nothing is recomputed per candidate or aspect."""
-    sents = T.sentences(text_col)
-    v = F.struct(T.as_text(text_col).alias("txt"), sents.alias("s"), aspect_cands.alias("ac"))
+def _with_units(df: DataFrame, id_col: str, text_col: str, aspect_cands: Column) -> DataFrame:
+    """One row per (id, s_idx) that some candidate needs, with the text to score and, per
+    aspect, how many of its candidates that text counts for (``n``): s_idx 1.. are the
+    sentences, 0 is the whole text for candidates that no sentence holds.  Row -1 has no
+    text and carries the aspect's mapped candidates once, so that they are not repeated
+    for every sentence and token.
+
+    Everything is evaluated on the review row; ``let`` binds the sentence split once."""
+    def unit(a: Column, n: Column, mapped: Column) -> Column:
+        return F.struct(a["aspect"].alias("aspect"), a["aspect_ord"].alias("aspect_ord"), n.alias("n"), mapped.alias("mapped"))
+
+    def counted(ac: Column, wanted) -> Column:
+        """Per aspect the candidates that ``wanted`` accepts, aspects with none left out."""
+        return F.filter(F.transform(ac, lambda a: unit(a, F.size(F.filter(a["cands"], wanted)), F.lit(None).cast("string"))),
+                        lambda u: u["n"] > 0)
+
+    def row(s_idx: Column, text: Column, units: Column) -> Column:
+        return F.struct(s_idx.cast("int").alias("s_idx"), text.alias("stext"), units.alias("units"))
 
     def per_review(r: Column) -> Column:
-        s, ac = r["s"], r["ac"]
-        sl = F.transform(s, lambda x: F.lower(x))
-        si = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s))).otherwise(F.array().cast("array<int>"))
-
-        def with_lower(w: Column) -> Column:
-            def idx_for(c: Column) -> Column:
-                hit = F.filter(w["si"], lambda i: F.element_at(w["sl"], i).contains(c))
-                return T.let(hit, lambda h: F.when(F.size(h) > 0, _first(h, max_sents))
-                             .otherwise(F.array(F.lit(0))))
-
-            units = F.flatten(F.transform(ac, lambda a: F.flatten(F.transform(
-                a["cands"], lambda c: F.transform(idx_for(c), lambda i: F.struct(
-                    a["aspect"].alias("aspect"), a["aspect_ord"].alias("aspect_ord"), a["mapped"].alias("mapped"),
-                    i.alias("s_idx")))))))
-            return T.let(units, lambda u: F.transform(
-                F.array_distinct(F.transform(u, lambda x: x["s_idx"])),
-                lambda i: F.struct(
-                    i.alias("s_idx"),
-                    F.when(i == 0, r["txt"]).otherwise(F.element_at(s, F.greatest(i, F.lit(1)))).alias("stext"),
-                    F.transform(F.filter(u, lambda x: x["s_idx"] == i),
-                                lambda x: F.struct(x["aspect"].alias("aspect"), x["aspect_ord"].alias("aspect_ord"),
-                                                   x["mapped"].alias("mapped"))).alias("units"),
-                )))
-
-        return T.let(F.struct(sl.alias("sl"), si.alias("si")), with_lower)
+        names = row(F.lit(-1), F.lit(""), F.transform(r["ac"], lambda a: unit(a, F.lit(0), a["mapped"])))
+        whole = row(F.lit(0), r["txt"], counted(r["ac"], lambda c: ~F.exists(r["s"], lambda x: x["low"].contains(c))))
+        held = F.transform(r["s"], lambda x, i: row(i + 1, x["raw"], counted(r["ac"], lambda c: x["low"].contains(c))))
+        return F.filter(F.concat(F.array(names, whole), held), lambda x: F.size(x["units"]) > 0)
 
+    sents = F.transform(T.sentences(text_col), lambda x: F.struct(x.alias("raw"), F.lower(x).alias("low")))
+    v = F.struct(T.as_text(text_col).alias("txt"), sents.alias("s"), aspect_cands.alias("ac"))
     return df.select(id_col, F.inline(T.let(v, per_review)))
 
 
@@ -106,11 +94,13 @@ def _score_units(grouped: DataFrame, scorer, id_col: str) -> DataFrame:
     scored = scorer.score(grouped, [id_col, "s_idx"], "stext", carry_cols=["units"])
     signed = T.signed_score("label", "score")
     per_unit = scored.select(id_col, F.inline("units"), signed.alias("_sg"), F.col("score").alias("_cf"))
-    return per_unit.groupBy(id_col, "aspect", "aspect_ord", F.col("mapped").alias("candidates")).agg(
-        F.avg("_sg").alias("aspect_sentiment"),
-        F.avg("_cf").alias("aspect_confidence"),
-        F.count(F.lit(1)).alias("n_units"),
-    )
+    n = F.sum("n")
+    return per_unit.groupBy(id_col, "aspect", "aspect_ord").agg(
+        F.collect_list("mapped")[0].alias("candidates"),     # one per aspect: the others are null
+        (F.sum(F.col("n") * F.col("_sg")) / n).alias("aspect_sentiment"),
+        (F.sum(F.col("n") * F.col("_cf")) / n).alias("aspect_confidence"),
+        n.alias("n_units"),
+    ).select(id_col, "aspect", "aspect_ord", "candidates", "aspect_sentiment", "aspect_confidence", "n_units")
 
 
 # --- A2 ----------------------------------------------------------------------
