@@ -269,10 +269,12 @@ def q_behavior_model(spark, sf):
 
 @query("stacking", oracle=None)
 def q_stacking(spark, sf):
-    """ML11: logistic regression on the stacked probabilities of three models."""
-    m = _model_probs(spark, sf)
-    model = ML.stacking_fit(m, ["prob_a", "prob_b", "prob_c"], "y_true")
-    out = model.transform(m)
+    """ML11: logistic regression on the stacked probabilities of three models, fitted on the
+    training rows of ML5 and applied to its held-out rows."""
+    m = _model_probs(spark, sf).withColumn("row", F.concat_ws("-", *KEY5))
+    sp = ML.stratified_split(m, "row", "y_true", 0.2, 42)
+    model = ML.stacking_fit(sp.where(~F.col("is_test")), ["prob_a", "prob_b", "prob_c"], "y_true")
+    out = model.transform(sp.where("is_test"))
     return out.select(*KEY5, "y_true", F.col("prediction").cast("int").alias("y_pred"),
                       vector_to_array("probability")[1].alias("p1"))
 
