@@ -3,10 +3,12 @@
 A page is a sequence of tokens: element paths (tags with class and id names) and texts at
 a path.  Tokens of one host that share an occurrence vector - the same count on every page
 - form an equivalence class.  Vectors are compared by a digest that is combined page by
-page (exclusive or of hashed page and count), so no vector is ever held.  A class is valid
-if it occurs on most pages of its host and its tokens come once a page; a class nests in
-the class that holds the path its tokens stand under.  Valid classes are the host's
-template; what they do not cover are the slots.
+page (exclusive or of hashed page and count), so no vector is ever held.  Pages of one host
+with the same html are one page.  A class is valid if it occurs on most pages of its host,
+its tokens come once a page, and it holds structure (a path, or the page itself) and not
+only text; it nests in the class that holds the paths its tokens stand under, which must be
+one.  Valid classes that reach outside of the article are the host's template; what they do
+not cover are the slots.  A text in an article or main part is always a slot.
 
 The text slots of the article region are the result.  Which slots hold menus, notices,
 adverts, forms or comments is told by the element they stand in.
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import cut, released
+from revlens.llm.common import cut, released, small_side
 
 MIN_PAGES = 10            # pages of a host below which its repeated texts prove nothing
 MIN_SHARE = 0.8           # share of a host's pages on which a template class occurs
@@ -86,6 +88,7 @@ class Page:
         self.blocks: list[tuple[int, str, int, bool]] = []
         self.paths: dict[int, int] = {}          # path digest -> how often it opens
         self.parent: dict[int, int] = {}         # path digest -> digest of the path around it
+        self.within: dict[int, int] = {}         # path digest -> region around it
         self._read(source or "")
 
     def _read(self, s: str) -> None:
@@ -159,6 +162,7 @@ class Page:
             here = xxhash.xxh64_intdigest(f"{path} {tag} {' '.join(sorted(words))}") >> 1
             self.paths[here] = self.paths.get(here, 0) + 1
             self.parent[here] = path
+            self.within[here] = max(region, self.within.get(here, 0))
             if not dropped:
                 dropped = self._drops(tag, words, role, hidden, region)
                 if not dropped:
@@ -206,18 +210,20 @@ class Page:
             return bool(words & {"comment", "comments", "teaser", "related", "recommended", "promo", "sponsored", "ad", "advert"})
         return bool(words & DROP_WORDS)
 
-    def tokens(self) -> dict[int, int]:
-        """Token digest -> count: paths, and texts at a path."""
-        out = dict(self.paths)
-        for path, text, _, _ in self.blocks:
+    def tokens(self) -> dict[int, tuple[int, int, bool, bool]]:
+        """Token digest -> (count, path around it, is a path, in an article or main part):
+        paths, and texts at a path."""
+        out = {p: (n, self.parent[p], True, self.within[p] > 0) for p, n in self.paths.items()}
+        for path, text, region, _ in self.blocks:
             t = text_token(path, text)
-            out[t] = out.get(t, 0) + 1
+            n, _, _, inside = out.get(t, (0, path, False, False))
+            out[t] = (n + 1, path, False, inside or region > 0)
         return out
 
     def main_text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         """Slots of the article region, joined; without an article those of the main part,
-        without that those of the page."""
-        slots = [(region, text) for path, text, region, dropped in self.blocks if not dropped and text_token(path, text) not in template]
+        without that those of the page.  Only text outside of both can be template."""
+        slots = [(region, text) for path, text, region, dropped in self.blocks if not dropped and (region or text_token(path, text) not in template)]
         best = max((r for r, _ in slots), default=0)
         return "\n\n".join(t for r, t in slots if r == best)
 
@@ -235,10 +241,26 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
                         host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
 
+def _different(rows: DataFrame) -> DataFrame:
+    """``(host, html)``: every html of a host once.  Only pages that have a copy are shuffled."""
+    marked = rows.select("host", "html", F.md5("html").alias("digest"))
+    copied = cut(marked.groupBy("host", "digest").agg(F.count("*").alias("n")).where("n > 1").select("host", "digest"), "html-copies")
+    n = copied.count()
+    if not n:
+        return marked.select("host", "html")
+    copied = small_side(copied, n, MOST_BROADCAST_ROWS)
+    once = marked.join(copied, ["host", "digest"], "left_anti")
+    again = marked.join(copied, ["host", "digest"], "left_semi").dropDuplicates(["host", "digest"])
+    return once.select("host", "html").unionAll(again.select("host", "html"))
+
+
 def classes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, token, parent, pages, once, vector)`` of every token that occurs on at least
-    ``MIN_PAGES`` pages; ``vector`` names the equivalence class.  Counts are combined in
-    the tasks before the one shuffle; token 0 stands for the page itself."""
+    """``(host, token, parent, path, inside, pages, most, vector)`` of every token that
+    occurs on at least ``MIN_PAGES`` different pages; ``vector`` names the equivalence class,
+    ``path`` tells paths from texts, ``inside`` whether it stands in an article or main part
+    on some page.  Counts are combined in the tasks before the one shuffle; token 0 stands
+    for the page itself."""
+    names = ["host", "token", "parent", "path", "inside", "pages", "most", "vector"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[int]] = {}
@@ -250,42 +272,46 @@ def classes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 k, v = keys[at:at + 20_000], values[at:at + 20_000]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.int64()), *(
-                        pa.array([x[c] for x in v], pa.int64()) for c in range(4))], names=["host", "token", "parent", "pages", "most", "vector"])
+                        pa.array([x[c] for x in v], pa.int64()) for c in range(6))], names=names)
 
         for batch in released(batches):
-            ids, urls, hosts = (batch.column(k).to_pylist() for k in range(3))
-            for i, url, host, source in zip(ids, urls, hosts, batch.column(3)):
-                page = Page(source.as_py())
-                name = xxhash.xxh64_intdigest(f"{i} {url}")
-                for token, count in [(0, 1), *page.tokens().items()]:
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
+                source = source.as_py()
+                name = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass"))
+                for token, (count, parent, path, inside) in [(0, (1, 0, True, False)), *Page(source).tokens().items()]:
                     bit = xxhash.xxh64_intdigest(f"{name} {count}") >> 1
                     old = held.get((host, token))
                     if old is None:
-                        held[host, token] = [page.parent.get(token, 0), 1, count, bit]
+                        held[host, token] = [parent, int(path), int(inside), 1, count, bit]
                     else:
-                        old[1] += 1
-                        old[2] = max(old[2], count)
-                        old[3] ^= bit
+                        old[2] |= inside
+                        old[3] += 1
+                        old[4] = max(old[4], count)
+                        old[5] ^= bit
                 if len(held) >= HELD_TOKENS:
                     yield from flush()
         if held:
             yield from flush()
 
-    found = _rows(pages, id_col, url_col, html_col).mapInArrow(work, "host string, token long, parent long, pages long, most long, vector long")
-    return (found.groupBy("host", "token").agg(F.max("parent").alias("parent"), F.sum("pages").alias("pages"), F.max("most").alias("most"),
-                                               F.bit_xor("vector").alias("vector"))
+    found = _different(_rows(pages, id_col, url_col, html_col)).mapInArrow(work, ", ".join(f"{n} {'string' if n == 'host' else 'long'}" for n in names))
+    return (found.groupBy("host", "token").agg(F.max("parent").alias("parent"), F.max("path").alias("path"), F.max("inside").alias("inside"),
+                                               F.sum("pages").alias("pages"), F.max("most").alias("most"), F.bit_xor("vector").alias("vector"))
             .where(F.col("pages") >= MIN_PAGES))
 
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, token, vector, outer)``: the tokens of the valid classes and the class each
-    one nests in."""
+    """``(host, token, vector, outer)``: the texts of the template, their class and the one
+    it nests in (null for the class of the page itself, or under a path that repeats)."""
     every = cut(classes(pages, id_col, url_col, html_col), "html-classes")
     sizes = every.where("token = 0").select("host", F.col("pages").alias("size"))
-    valid = every.where("token <> 0 AND most = 1").join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("size"))
-    outer = valid.select(F.col("host").alias("h"), F.col("token").alias("t"), F.col("vector").alias("outer"))
-    return (valid.join(outer, (F.col("host") == F.col("h")) & (F.col("parent") == F.col("t")), "left")
-            .select("host", "token", "vector", "outer"))
+    valid = every.where("most = 1").join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("size"))
+    around = valid.where("path = 1").select(F.col("host").alias("h"), F.col("token").alias("t"), F.col("vector").alias("around"))
+    placed = valid.join(around, (F.col("host") == F.col("h")) & (F.col("parent") == F.col("t")), "left")
+    outer = F.when(F.col("around") != F.col("vector"), F.col("around"))
+    grouped = (placed.groupBy("host", "vector").agg(F.max("path").alias("paths"), F.min("inside").alias("enclosed"),
+                                                    F.min(outer).alias("outer"), F.max(outer).alias("last"))
+               .where("paths = 1 AND enclosed = 0 AND (outer IS NULL OR outer = last)"))
+    return valid.where("path = 0 AND inside = 0").join(grouped, ["host", "vector"]).select("host", "token", "vector", "outer")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -294,7 +320,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Blocks are joined by an empty line, white space inside a block becomes one space.  A
     null or empty page, and a page without text outside of menus and the like, give the
     empty text.  Pages without a host share the empty one.  Rows are neither lost nor
-    merged; repeated pages count as often as they come.
+    merged; pages of one html count once for the template.
     """
     template = cut(templates(pages, id_col, url_col, html_col), "html-template")
     by_host = template.groupBy("host").agg(F.collect_set("token").alias("known"))

@@ -134,6 +134,23 @@ def test_html_template_is_deduced(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_copies_and_articles_are_no_template(spark):
+    page = "<body><div>Menu words</div><div><p>The one story</p></div></body>"
+    rows = [(k, f"http://copies.example/{k}", page) for k in range(20)] + [(100 + k, None, page) for k in range(20)]
+    # the same paragraphs in every article, a menu around it that is template
+    rows += [(200 + k, f"http://art.example/{k}", f"<body><div class=top>Top words</div><article><p>Shared story</p></article><div>Line {k}</div></body>") for k in range(20)]
+    rows += [(300 + k, f"http://main.example/{k}", f"<body><div>Top words</div><main><p>Shared story</p></main><i>{k}</i></body>") for k in range(20)]
+    # a text that recurs by itself, without structure of its own, is content; with an element of its own it is template
+    rows += [(400 + k, f"http://plain.example/{k}", "<body>" + ("<p>A saying</p>" if k % 10 else "<p>No saying</p>")
+              + ("<div class=box>Boxed</div>" if k % 10 != 1 else "") + f"<p>Own {k}</p></body>") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == got[100 + k] == "Menu words\n\nThe one story" for k in range(20))
+    assert all(got[200 + k] == got[300 + k] == "Shared story" for k in range(20))
+    assert all(got[400 + k] == ("A saying" if k % 10 else "No saying") + f"\n\nOwn {k}" for k in range(20))
+
+
 def test_html_query(spark):
     import html
     got = {r["page_id"]: r["text"] for r in queries.op3_html_text(spark, SF_SMALL).collect()}
