@@ -1,6 +1,8 @@
 """The pipeline's stages on documents with odd rows, each against its own input."""
 
 import corpus_pipeline as P
+from revlens.llm import mixing
+from revlens.llm.common import cut
 from revlens.sources.tables import read_table
 from tests.conftest import SF_SMALL
 from tests.llm.test_operators import brute_groups
@@ -31,3 +33,14 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     labels = read_table(spark, sf, "labels").collect()
     toxic, clean = [r["doc_id"] for r in labels if r["toxic"]], [r["doc_id"] for r in labels if not r["toxic"]]
     assert sum(i in kept for i in toxic) <= 0.05 * len(toxic) and sum(i in kept for i in clean) >= 0.99 * len(clean)
+
+
+def test_mix_outlives_the_reread(spark):
+    docs = read_table(spark, SF_SMALL, "documents")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10_000, "", "en", "src1", 0)], docs.schema)
+    docs = docs.unionAll(odd).repartition(7)
+    mixed = cut(P.mix_sources(spark, docs, SF_SMALL).repartition(5), "test-mix")
+    last = cut(P.to_tokens(spark, mixed, SF_SMALL), "test-tokens").repartition(3)
+    stream = [r["doc_id"] for r in last.orderBy("mix_slot", "mix_place").collect()]
+    assert stream == [r["doc_id"] for r in mixing.mix(docs).orderBy("mix_slot", "mix_place").collect()]
+    assert last.select("mix_slot", "mix_place").distinct().count() == docs.count() == len(stream)
