@@ -8,6 +8,10 @@ Codebooks and budget come from a bounded sample (``SAMPLE`` vectors, taken by a
 their id); every vector is indexed.  The budget is the smallest share of all vectors with
 which ``RECALL`` of the sample's true neighbours are met, so clustered data needs little
 and structureless data much.
+
+The codebooks grow with the counted vectors.  Both sides of a row of cells are dealt by a
+hash of the id into blocks of bounded size, and every block of its queries meets every
+block of its vectors in a group of its own.
 """
 
 from __future__ import annotations
@@ -27,8 +31,12 @@ from revlens.llm.common import cut
 SAMPLE = 8_000
 PROBES = 200
 RECALL = 0.97
-CELLS_PER_HALF = 32
+CELLS_PER_HALF = 32           # at least
+MOST_PER_HALF = 256           # bounds the driver's table of cells and the sample
+ROWS_PER_CELL = 1_000
+SAMPLE_PER_CENTROID = 64
 BLOCK_ROWS = 4_096
+QUERY_ROWS = 4_096
 
 
 @dataclass
@@ -80,9 +88,20 @@ def walk(d_left: np.ndarray, d_right: np.ndarray, counts: np.ndarray, budget: in
     return out
 
 
+def cells_for(n: int) -> int:
+    """Centroids of a half for ``n`` vectors."""
+    return max(CELLS_PER_HALF, min(MOST_PER_HALF, int(np.sqrt(n / ROWS_PER_CELL))))
+
+
+def common_length(vectors: DataFrame) -> tuple[int, int]:
+    """The most frequent length (ties: the smaller) and the number of vectors that have it."""
+    row = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    return (row["n"], row["c"]) if row else (0, 0)
+
+
 def fit(vectors: DataFrame, neighbours: int = 10, cells: int = CELLS_PER_HALF) -> Index | None:
-    """Codebooks and budget from the sample; None without vectors."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    """Codebooks and budget from the sample; None without vectors.  All have one length."""
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, cells * SAMPLE_PER_CENTROID)).collect()
     if not rows:
         return None
     x = np.array([r["v"] for r in rows])
@@ -118,18 +137,19 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
     nearest first, ties to the smaller id.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor
-    do vectors of another length than the first sampled one.  Rows with one id and one
+    do vectors of another length than the most frequent one.  Rows with one id and one
     vector count once.  An empty side gives no row.
     """
     spark = df.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
     # rows of one id and vector are one candidate
     base = usable(df, id_col, vec_col)
-    index = fit(base, neighbours)
+    length, n = common_length(base)
+    base = base.where(F.size("v") == length)
+    index = fit(base, neighbours, cells_for(n)) if n else None
     if index is None:
         return spark.createDataFrame([], out_schema)
-    half, length = index.left.shape[1], index.left.shape[1] + index.right.shape[1]
-    base = base.where(F.size("v") == length)
+    half = index.left.shape[1]
 
     @F.pandas_udf("struct<i:int,j:int>")
     def cell(vectors: pd.Series) -> pd.DataFrame:
@@ -144,9 +164,12 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
         counts[r["i"], r["j"]] = r["n"]
     budget = int(np.ceil(index.share * counts.sum()))
     blocks = np.maximum(1, -(-counts.sum(axis=1) // BLOCK_ROWS)).astype(np.int32)   # a crowded row of cells is split
-    dealt_blocks = F.lit(blocks.tolist()).cast("array<int>")
-    data = (placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.element_at(dealt_blocks, F.col("i") + 1)).cast("int"))
-            .select("i", "block", "j", "id", "v"))
+
+    def dealt(df: DataFrame, own: np.ndarray, seed: int, name: str, other: np.ndarray, each: str) -> DataFrame:
+        """A row goes to one block of its own side, and to every block of the other side."""
+        at = [F.element_at(F.lit(k.tolist()).cast("array<int>"), F.col("i") + 1) for k in (own, other)]
+        return (df.withColumn(name, F.pmod(F.xxhash64("id", F.lit(seed)), at[0]).cast("int"))
+                .withColumn(each, F.explode(F.sequence(F.lit(0), at[1] - 1))))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A query goes to every row of cells that it visits, with the columns it wants there."""
@@ -158,11 +181,17 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
                     wanted: dict[int, list[int]] = {}
                     for a, b in walk(((index.left - v[:half]) ** 2).sum(axis=1), ((index.right - v[half:]) ** 2).sum(axis=1), counts, budget):
                         wanted.setdefault(a, []).append(b)
-                    rows += [(a, k, q, v, js) for a, js in wanted.items() for k in range(blocks[a])]
-                yield pd.DataFrame(rows, columns=["i", "block", "id", "v", "js"])
-
-    asked = (usable(queries, id_col, vec_col).where(F.size("v") == length).dropDuplicates(["id", "v"])
-             .mapInPandas(route, "i int, block int, id long, v array<double>, js array<int>"))
+                    rows += [(a, q, v, js) for a, js in wanted.items()]
+                yield pd.DataFrame(rows, columns=["i", "id", "v", "js"])
+
+    asked = cut(usable(queries, id_col, vec_col).where(F.size("v") == length).dropDuplicates(["id", "v"])
+                .mapInPandas(route, "i int, id long, v array<double>, js array<int>"), "asked")
+    visits = np.zeros(len(index.left), np.int64)
+    for r in asked.groupBy("i").agg(F.count("*").alias("n")).collect():            # k rows at most
+        visits[r["i"]] = r["n"]
+    parts = np.maximum(1, -(-visits // QUERY_ROWS)).astype(np.int32)                # so are the queries that visit it
+    asked = dealt(asked, parts, 5, "part", blocks, "block")
+    data = dealt(placed.where(F.element_at(F.lit((visits > 0).tolist()), F.col("i") + 1)), blocks, 3, "block", parts, "part")
 
     def rank(key, q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -184,7 +213,7 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
                     found += [(qid, i, s) for i, s in pairs]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    near = asked.groupBy("i", "block").cogroup(data.groupBy("i", "block")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    near = asked.groupBy("i", "block", "part").cogroup(data.groupBy("i", "block", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= neighbours)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -184,6 +184,37 @@ def test_vectors_recall_and_edges(spark):
     assert multi_index.search(odd.limit(0), odd).count() == 0 and multi_index.search(odd, odd.limit(0)).count() == 0
 
 
+def test_vectors_of_other_lengths_take_no_part(spark):
+    rows = [(k, [float(k), 1.0, 2.0, 3.0]) for k in range(30)] + [(100 + k, [float(k), 1.0]) for k in range(9)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = multi_index.search(docs, docs.where("vec_id in (3, 100)"), neighbours=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found) == [(3, 1, 2), (3, 2, 4)]
+
+
+def test_vectors_groups_are_bounded_on_both_sides(spark, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(300, 4))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(multi_index, "CELLS_PER_HALF", 2)
+    want = {(r["query_id"], r["rank"], r["vec_id"]) for r in multi_index.search(table, table, neighbours=4).collect()}
+    monkeypatch.setattr(multi_index, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(multi_index, "QUERY_ROWS", 25)
+    sizes = spark.sparkContext.accumulator(0)
+    plain = PandasCogroupedOps.applyInPandas
+
+    def apply(self, func, schema):
+        def sized(key, q, rows):
+            sizes.add(1 if len(q) > 60 or len(rows) > 90 else 0)
+            return func(key, q, rows)
+        return plain(self, sized, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", apply)
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in multi_index.search(table, table, neighbours=4).collect()}
+    assert got == want and len(got) == 1200 and sizes.value == 0
+    assert multi_index.cells_for(1_000) == 2 and multi_index.cells_for(40_000_000) == 200
+
+
 # ---------------------------------------------------------------- 5 n-grams
 
 def brute_groups(rows, width, num, den):
