@@ -94,7 +94,7 @@ def near_groups(fingerprints: DataFrame, id_col: str = "doc_id", fp_col: str = "
                .select("t", "k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "head", "fp"), "simhash-tiles")
 
     def link(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.drop_duplicates("head")
+        tile = tile.drop_duplicates(["head", "fp"])      # an id may head several fingerprints
         ids = tile["head"].to_numpy()
         raw = np.frombuffer(bytes.fromhex("".join(tile["fp"])), np.uint8).reshape(len(tile), bits // 8)
         src, dst, root = [], [], np.arange(len(ids))

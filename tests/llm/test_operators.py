@@ -367,6 +367,14 @@ def test_simhash_groups(spark):
     assert got == dict(enumerate(group))
 
 
+def test_simhash_groups_keep_both_texts_of_an_id(spark):
+    a, b = (1 << 100) - 1, ((1 << 64) - 1) << 64
+    rows = [(5, a), (5, b), (7, a ^ 1), (9, b ^ 1), (11, 0)]
+    marks = spark.createDataFrame([(i, f"{m:032x}") for i, m in rows], "doc_id long, fingerprint string")
+    got = {(r["doc_id"], r["group_id"]) for r in simhash.near_groups(marks, radius=3).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11)}
+
+
 # ---------------------------------------------------------------- 9 licences, 10 lines
 
 def test_license_edges(spark, odd, none):
