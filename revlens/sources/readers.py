@@ -87,37 +87,38 @@ def _split_lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
 _EXTRA = "_past_the_last"
 
 
-def _quoted(spark: SparkSession, path: str, sep: str) -> DataFrame:
+def _quoted(spark: SparkSession, path: str, sep: str, multi_line: bool = True) -> DataFrame:
     header = _header(spark, path)
     names = [h.strip() for h in next(csv.reader([header], delimiter=sep))]
     schema = StructType([StructField(n, StringType()) for n in [*names, _EXTRA]])
     df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
-          .option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+          .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
     # a field past the header's last one marks a row that is too long; short rows are padded
     return df.where(F.col(_EXTRA).isNull()).select(*[na_to_null(F.col(f"`{n}`")).alias(n) for n in names])
 
 
-def read_reviews(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_reviews(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> DataFrame:
     """S1 + S3 + S4: given ``sep`` -> quoted parse; none -> comma with quoting off,
     and tab when the text column cannot be resolved that way.  Then columns are
-    normalised, null text dropped and text stripped."""
+    normalised, null text dropped and text stripped.  ``multi_line=False`` lets large files
+    be split; it is right only where no quoted field holds a line feed."""
     if sep is not None:
-        df = normalize_columns(_quoted(spark, path, sep))
+        df = normalize_columns(_quoted(spark, path, sep, multi_line))
     else:
         df = normalize_columns(_split_lines(spark, path, ","))
         if "review_text" not in df.columns:
-            df = normalize_columns(_quoted(spark, path, "\t"))
+            df = normalize_columns(_quoted(spark, path, "\t", multi_line))
     from revlens.operators.features import require_text
     return require_text(df)
 
 
 # --- S2 ---------------------------------------------------------------------
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
+def read_upload(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Separator from the extension (.tsv -> tab), standard quoting, column
     normalisation, then dedup (D1) and cleaning (P4)."""
     from revlens.operators.absa import prepare_reviews
     sep = "\t" if path.lower().rstrip("/").endswith(".tsv") else ","
-    df = normalize_columns(_quoted(spark, path, sep))
+    df = normalize_columns(_quoted(spark, path, sep, multi_line))
     id_col = "review_id" if "review_id" in df.columns else None
     if id_col is None:
         df = df.withColumn("review_id", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
@@ -126,11 +127,15 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
     return prepare_reviews(df)
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Single-header CSV/TSV (quoted where needed; whitespace kept)."""
-    (df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"')
-     .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .option("emptyValue", "").csv(path))
+ROWS_PER_FILE = 20_000        # a quoted file with line feeds is read by one task
+_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",", one_file: bool = False) -> None:
+    """CSV/TSV files (quoted where needed; whitespace kept) of at most ``ROWS_PER_FILE`` rows,
+    each with the header; ``one_file`` writes a single one, in one task."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("maxRecordsPerFile", 0 if one_file else ROWS_PER_FILE) \
+        .options(**_CSV).option("sep", sep).csv(path)
 
 
 # --- S5 ---------------------------------------------------------------------

@@ -58,3 +58,18 @@ def test_misclassified_needs_no_text(spark):
 def test_spread_leaves_many_splits(spark):
     many = spark.range(100).repartition(64)
     assert spread(many) is many and spread(spark.range(100).coalesce(1)).count() == 100
+
+
+def test_csv_is_written_and_read_in_parts(spark, tmp_path, monkeypatch):
+    from revlens.sources import readers as RD
+    rows = [(str(k), f'line {k}\n"quoted", second {k}', "5") for k in range(40)]
+    df = spark.createDataFrame(rows, "review_id string, review_text string, rating string").repartition(4)
+    monkeypatch.setattr(RD, "ROWS_PER_FILE", 6)
+    for sep, one in ((",", False), ("\t", False), (",", True)):
+        path = tmp_path / f"{len(sep.strip())}{one}"
+        RD.write_csv(df, str(path), sep, **({"one_file": True} if one else {}))
+        files = list(path.glob("part-*"))
+        assert len(files) == 1 if one else len(files) >= 7
+        back = RD.read_reviews(spark, str(path), sep=sep)
+        assert one or back.rdd.getNumPartitions() > 1
+        assert sorted(map(tuple, back.select("review_id", "review_text", "rating").collect())) == sorted(rows)
