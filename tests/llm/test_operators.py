@@ -368,8 +368,9 @@ def test_simhash_groups(spark):
 
 
 def test_simhash_groups_keep_both_texts_of_an_id(spark):
-    a, b = (1 << 100) - 1, ((1 << 64) - 1) << 64
-    rows = [(5, a), (5, b), (7, a ^ 1), (9, b ^ 1), (11, 0)]
+    # both pairs agree on the first two of five blocks alone, so they meet in one bucket only
+    a, b, three = (1 << 77) - 1, 0, (1 << 70) | (1 << 40) | (1 << 10)
+    rows = [(5, a), (5, b), (7, a ^ three), (9, b ^ three), (11, ((1 << 51) - 1) << 77)]
     marks = spark.createDataFrame([(i, f"{m:032x}") for i, m in rows], "doc_id long, fingerprint string")
     got = {(r["doc_id"], r["group_id"]) for r in simhash.near_groups(marks, radius=3).collect()}
     assert got == {(5, 5), (7, 5), (9, 5), (11, 11)}
