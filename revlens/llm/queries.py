@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import bpe, html_extract, language, licenses, line_dedup, mixing, multi_index, ngram_join, simhash, toxicity
+from revlens.llm import bpe, html_extract, language, licenses, line_dedup, mixing, multi_index, ngram_join, ranked_search, simhash, toxicity, url_filter
 from revlens.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,17 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(line_dedup.oracle())
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_lines(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_removed")
+
+
+@query(ranked_search.oracle())
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+# The entries of the contract.
+URL_RULES = url_filter.parse(["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"])
+
+
+@query(url_filter.oracle(URL_RULES))
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
