@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import bpe, html_extract, language, licenses, line_dedup, mixing, multi_index, ngram_join, ranked_search, simhash, toxicity, url_filter
+from revlens.llm import bpe, html_extract, language, licenses, line_dedup, mixing, multi_index, ngram_join, phrases, ranked_search, simhash, toxicity, url_filter
 from revlens.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ URL_RULES = url_filter.parse(["allow org/", "block example.org/es/", "block exam
 @query(url_filter.oracle(URL_RULES))
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+@query(phrases.oracle())
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
