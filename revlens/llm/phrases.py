@@ -31,9 +31,10 @@ from revlens.sources.tables import spread
 
 LEAST = 100                  # occurrences of a candidate
 LONGEST = 5                  # words of a phrase
-SHARD_BYTES = 48 << 20       # text of a shard (a single longer text is a shard of its own)
-SHARDS = 24                  # shards at least, as far as the table has splits
-SLICE = 1 << 20              # bytes split into words at once
+SHARD_BYTES = 64 << 20       # text of a shard (a single longer text is a shard of its own)
+SHARDS = 12                  # shards at least, as far as the table has splits
+SLICE = 1 << 20              # bytes split into words, or places looked at, at once
+CLASS_KEYS = 2 << 20         # keys sorted at once
 MOST_BITS = 29               # the bitmap has at most 2^29 bits (64 MiB)
 _BUCKET_BITS = 15            # bits of a row of the bitmap aggregate
 
@@ -72,12 +73,15 @@ class Shard:
         self.words[lang] = self.words.get(lang, 0) + count
 
     def languages(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        """Language, word numbers of its texts, and the 64-bit hash of every number."""
+        """Language, word numbers of its texts, and the 64-bit hash of every number.  The texts
+        are given up one by one: a shard is read once."""
         import xxhash
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), U64, len(self.numbers))
-        for lang, parts in self.parts.items():
-            seed = U64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1))
-            yield lang, np.concatenate(parts), mix(hashes ^ seed)
+        while self.parts:
+            lang, parts = self.parts.popitem()
+            ids = np.concatenate(parts)
+            del parts
+            yield lang, ids, mix(hashes ^ U64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1)))
 
 
 def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -91,39 +95,63 @@ def _has(bitmap: tuple[int, np.ndarray], h: np.ndarray) -> np.ndarray:
     return (held[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _levels(ids: np.ndarray, hashes: np.ndarray, low: int, high: int, pairs, keep):
-    """Walk up the levels: of each phrase length the places whose two shorter phrases
-    were kept; ``keep(words, places, hashes, codes)`` gives the new code of each place (0: not
-    kept).  ``pairs``: bitmap of the pairs that may be part of longer phrases."""
-    own = hashes[ids]
-    code, h = ids, own
-    for words in range(1, high + 1):
-        if words == 1:
-            at = np.flatnonzero(ids)
-            key = ids[at].astype(np.int64)
-        else:
-            at = np.flatnonzero((code[:-1] > 0) & (code[1:] > 0))
-            at = at[at + words <= len(ids)]
-            key = code[at].astype(np.int64) * len(hashes) + ids[at + words - 1]
-            grown = _longer(h[at], own[at + words - 1])
-            h = np.zeros(len(ids), U64)
-            h[at] = grown
-        if words == 2 and low > 2:
-            new = _has(pairs, h[at]).astype(np.int32)
-            if new.any():        # a code that tells pairs apart
-                new[new > 0] = _codes(key[new > 0])
-        elif words < low:
-            new = ids[at]
-        else:
-            new = keep(words, at, h[at], key)
-        code = np.zeros(len(ids), np.int32)
-        code[at] = new
-        if not new.any():
-            return
-
-
-def _codes(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1].astype(np.int32) + 1
+def _chain(ids: np.ndarray, at: np.ndarray, words: int, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases at ``at``."""
+    h = hashes[ids[at]]
+    for k in range(1, words):
+        h = _longer(h, hashes[ids[at + k]])
+    return h
+
+
+def _grow(kept: np.ndarray, low: int, high: int, words: int) -> np.ndarray:
+    """Places from ``low`` to ``high`` at which both phrases shorter by one word were kept."""
+    high = min(high, len(kept) - words + 1)
+    return np.flatnonzero((kept[low:high] > 0) & (kept[low + 1:high + 1] > 0)) + low if high > low else np.empty(0, np.int64)
+
+
+def _allowed(ids: np.ndarray, hashes: np.ndarray, pairs) -> np.ndarray:
+    """Where a pair of words begins that has its bit in ``pairs``."""
+    kept = np.zeros(len(ids), bool)
+    for low in range(0, len(ids), SLICE):
+        at = _grow(ids, low, low + SLICE, 2)
+        kept[at] = _has(pairs, _chain(ids, at, 2, hashes))
+    return kept
+
+
+def _frequent(ids: np.ndarray, shorter: np.ndarray, places_in, words: int, vocabulary: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every phrase of ``words`` words that comes ``least`` times a place, and the code of
+    the frequent phrase at every place (0: none).  ``shorter`` tells the phrases of the first
+    words apart, ``places_in(low, high)`` are the places to look at.  Keys are worked out slice
+    by slice and sorted class by class, so that about ``CLASS_KEYS`` of them are held at once."""
+    classes = max(1, -(-sum(len(places_in(low, low + SLICE)) for low in range(0, len(ids), SLICE)) // CLASS_KEYS))
+    code, owners, known = np.zeros(len(ids), np.int32), [], 0
+    for c in range(classes):
+        keys, places = [], []
+        for low in range(0, len(ids), SLICE):
+            at = places_in(low, low + SLICE)
+            key = shorter[at].astype(np.int64) * vocabulary + ids[at + (words - 1)]
+            if classes > 1:
+                hit = mix(key.view(U64)) % U64(classes) == c
+                at, key = at[hit], key[hit]
+            keys.append(key)
+            places.append(at.astype(np.int32))
+        key, place = np.concatenate(keys), np.concatenate(places)
+        del keys, places
+        ranked = np.sort(key)
+        edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]])) if len(ranked) else np.zeros(1, np.int64)
+        good = ranked[edges[:-1][np.diff(edges) >= least]]
+        del ranked, edges
+        own = np.zeros(len(good), np.int32)
+        for k in range(0, len(key) if len(good) else 0, SLICE):
+            some = key[k:k + SLICE]
+            found = np.minimum(np.searchsorted(good, some), len(good) - 1)
+            hit = good[found] == some
+            found, where = found[hit], place[k:k + SLICE][hit]
+            code[where] = found + (known + 1)
+            own[found] = where
+        known += len(good)
+        owners.append(own)
+    return np.concatenate(owners), code
 
 
 _MINED = "lang string, h long, words int, phrase string, n long"
@@ -131,41 +159,71 @@ _MINED = "lang string, h long, words int, phrase string, n long"
 
 def mine(shard: Shard, least: int, low: int, high: int, pairs=None) -> Iterator[tuple[str, np.ndarray, int, list[str]]]:
     """``(lang, hashes, words, phrases)`` of all phrases of ``low`` to ``high`` words that
-    come ``least`` times or more in the shard."""
+    come ``least`` times or more in the shard; longer than two words only those all of whose
+    pairs are in ``pairs``."""
     spelt = list(shard.numbers)
     for lang, ids, hashes in shard.languages():
-        out = []
-
-        def keep(words, at, h, key):
-            order = np.argsort(key)
-            ranked = key[order]
-            starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
-            counts = np.diff(np.append(starts, len(ranked)))
-            good = counts >= least
-            first = order[starts[good]]
-            own = at[first]
-            out.append((h[first], words, [b" ".join([spelt[k] for k in ids[p:p + words].tolist()]).decode("utf-8", "replace") for p in own.tolist()]))
-            new = np.zeros(len(key), np.int32)
-            new[order] = np.repeat(np.where(good, np.cumsum(good), 0), counts)
-            return new
-
-        _levels(ids, hashes, low, high, pairs, keep)
-        for h, words, phrases in out:
-            yield lang, h, words, phrases
+        times = np.bincount(ids, minlength=len(spelt))
+        times[0] = 0
+        some = np.flatnonzero(times >= least)
+        if low == 1:
+            yield lang, hashes[some], 1, [spelt[k].decode("utf-8", "replace") for k in some.tolist()]
+            kept = (times >= least)[ids]
+        else:
+            kept = _allowed(ids, hashes, pairs)
+        shorter = ids
+        for words in range(2, high + 1):
+            if words == 2 and low > 2:       # every allowed pair has a code, however rare it is here
+                own, shorter = _frequent(ids, ids, lambda low, high: np.flatnonzero(kept[low:high]) + low, 2, len(spelt), 1)
+            else:
+                own, shorter = _frequent(ids, shorter, lambda low, high: _grow(kept, low, high, words), words, len(spelt), least)
+            kept = shorter
+            if not len(own):
+                break
+            if words >= low:
+                yield lang, _chain(ids, own, words, hashes), words, [b" ".join([spelt[k] for k in ids[p:p + words].tolist()]).decode("utf-8", "replace") for p in own.tolist()]
+
+
+def _merged(h: np.ndarray, c: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts ``c`` of the hashes ``h`` with those of ``more`` added."""
+    new, times = np.unique(np.concatenate(more), return_counts=True)
+    both, where = np.unique(np.concatenate([h, new]), return_inverse=True)
+    out = np.zeros(len(both), np.int64)
+    np.add.at(out, where[:len(h)], c)
+    np.add.at(out, where[len(h):], times)
+    return both, out
 
 
 def count(shard: Shard, wanted, low: int, high: int, pairs=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(hashes, occurrences)`` of the phrases whose bits are set in ``wanted``."""
     for _, ids, hashes in shard.languages():
-        out = []
-
-        def keep(words, at, h, key):
-            hit = _has(wanted, h)
-            out.append(np.unique(h[hit], return_counts=True))
-            return hit.astype(np.int32)
-
-        _levels(ids, hashes, low, high, pairs, keep)
-        yield from out
+        times = np.bincount(ids, minlength=len(hashes))
+        times[0] = 0
+        if low == 1:
+            some = np.flatnonzero((times > 0) & _has(wanted, hashes))
+            yield hashes[some], times[some]
+            may = np.zeros(len(hashes), bool)
+            may[some] = True
+            kept = may[ids]
+        else:
+            kept = _allowed(ids, hashes, pairs)
+        for words in range(max(low, 2), high + 1):
+            new, held, n = np.zeros(len(ids), bool), [], 0
+            h, c = np.empty(0, U64), np.empty(0, np.int64)
+            for start in range(0, len(ids), SLICE):
+                at = _grow(kept, start, start + SLICE, words)
+                own = _chain(ids, at, words, hashes)
+                hit = _has(wanted, own)
+                new[at[hit]] = True
+                held.append(own[hit])
+                n += len(held[-1])
+                if n >= CLASS_KEYS or (held and start + SLICE >= len(ids)):
+                    h, c = _merged(h, c, held)
+                    held, n = [], 0
+            yield h, c
+            kept = new
+            if not kept.any():
+                break
 
 
 # ---------------------------------------------------------------- Spark
@@ -176,15 +234,15 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[Sha
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             shard.add(lang, text.as_py())
             if shard.size >= shard_bytes:
-                yield shard
-                shard = Shard()
+                full, shard = [shard], Shard()
+                yield full.pop()         # nothing here holds it any longer
     if shard.size:
         yield shard
 
 
 def _bitmap(hashes: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """Bitmap over the leading bits of ``h``: 16 bits for each of ``n`` hashes as far as the
-    bound allows.  At most ``2^MOST_BITS`` bits reach the driver."""
+    """Bitmap over the leading bits of ``h``: 16 bits for each of about ``n`` hashes as far as
+    the bound allows.  At most ``2^MOST_BITS`` bits reach the driver."""
     bits = min(MOST_BITS, max(_BUCKET_BITS + 1, math.ceil(math.log2(16 * max(n, 1)))))
     place = F.shiftrightunsigned(F.col("h"), 64 - bits)
     rows = (hashes.groupBy(F.shiftright(place, _BUCKET_BITS).alias("b"))
@@ -202,31 +260,36 @@ def _son(rows: DataFrame, total: int, least: int, low: int, high: int, pairs, sh
     sc = rows.sparkSession.sparkContext
     known = sc.broadcast(pairs)
 
+    names = ["lang", "h", "words", "phrase", "n"]
+
     def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "h", "words", "phrase", "n"]
         for shard in _shards(batches, shard_bytes):
             local = max(1, -(-least * shard.size // total))
+            langs = list(shard.words)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.nulls(len(langs), pa.int64()), pa.nulls(len(langs), pa.int32()),
+                                              pa.nulls(len(langs), pa.string()), pa.array(list(shard.words.values()), pa.int64())], names=names)
             for lang, h, words, phrases in mine(shard, local, low, high, known.value):
                 for k in range(0, len(phrases), 10_000):
-                    own, m = phrases[k:k + 10_000], len(phrases[k:k + 10_000])
+                    own = phrases[k:k + 10_000]
+                    m = len(own)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(h[k:k + m].view(np.int64)), pa.array(np.full(m, words, np.int32)),
                                                       pa.array(own, pa.string()), pa.nulls(m, pa.int64())], names=names)
-            langs = list(shard.words)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.nulls(len(langs), pa.int64()), pa.nulls(len(langs), pa.int32()),
-                                              pa.nulls(len(langs), pa.string()), pa.array(list(shard.words.values()), pa.int64())], names=names)
+            del shard        # before the next one is read
 
     local = cut(rows.mapInArrow(mined, _MINED), "phrases-local")
-    union = cut(local.where("phrase IS NOT NULL").select("lang", "h", "words", "phrase").distinct(), "phrases-union")
-    wanted = sc.broadcast(_bitmap(union, union.count()))
+    union = local.where("phrase IS NOT NULL").select("lang", "h", "words", "phrase")
+    wanted = sc.broadcast(_bitmap(union, union.agg(F.approx_count_distinct("h")).first()[0]))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, shard_bytes):
             for h, c in count(shard, wanted.value, low, high, known.value):
                 for k in range(0, len(h), 65_536):
                     yield pa.RecordBatch.from_arrays([pa.array(h[k:k + 65_536].view(np.int64)), pa.array(c[k:k + 65_536])], names=["h", "c"])
+            del shard
 
-    total_of = rows.mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    exact = cut(union.join(total_of, "h"), "phrases-exact")
+    total_of = cut(rows.mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("f")).where(F.col("f") >= least), "phrases-counts")
+    # most candidates end here: only the frequent ones need their words, once
+    exact = cut(union.join(total_of, "h", "left_semi").distinct().join(total_of, "h"), "phrases-exact")
     return exact, local.where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
@@ -249,11 +312,8 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_c
     return short.unionByName(long), n
 
 
-def _cuts(phrase: Column, words: Column) -> Column:
-    """Both parts of every cut of a phrase, as (k, first, rest)."""
-    own = F.split(phrase, " ")
-    return F.transform(F.sequence(F.lit(1), words - 1), lambda k: F.struct(
-        k.alias("k"), F.array_join(F.slice(own, F.lit(1), k), " ").alias("first"), F.array_join(F.slice(own, k + 1, words - k), " ").alias("rest")))
+def _id(lang: Column, words: Column, start, length) -> Column:
+    return F.xxhash64(lang, F.array_join(F.slice(words, start, length), " "))
 
 
 def collocations(docs: DataFrame, top: int = 2_000, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang",
@@ -272,27 +332,22 @@ def collocations(docs: DataFrame, top: int = 2_000, least: int = LEAST, longest:
     38 digits).  An empty table gives an empty result.
     """
     found, n = frequent(docs, least, longest, text_col, lang_col, shard_bytes)
-    known = found.select("lang", "phrase", F.col("f").alias("a"), "words")
-    parts = known.select(F.col("lang").alias("p_lang"), F.col("phrase").alias("p_phrase"), F.col("a").alias("p_f"))
-    candidates = known.where("words > 1")
-    cuts = candidates.withColumn("c", F.explode(_cuts(F.col("phrase"), F.col("words")))).select("lang", "phrase", "a", "words", "c.*")
+    known = found.select(F.xxhash64("lang", "phrase").alias("id"), "lang", "phrase", "words", F.col("f").alias("a"))
+    lang, size, own = F.col("lang"), F.col("words"), F.split("phrase", " ")
+    cuts = known.where("words > 1").select("id", "lang", "a", F.explode(F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.struct(
+        k.alias("k"), _id(lang, own, F.lit(1), k).alias("first"), _id(lang, own, k + 1, size - k).alias("rest")))).alias("c")).select("id", "lang", "a", "c.*")
     for side, name in (("first", "l"), ("rest", "r")):
-        cuts = (cuts.join(parts, (F.col("lang") == F.col("p_lang")) & (F.col(side) == F.col("p_phrase")))
-                .drop("p_lang", "p_phrase", side).withColumnRenamed("p_f", name))
-    wide = [F.col(c).cast("decimal(18,0)") for c in ("a", "n", "l", "r")]
-    cuts = cuts.join(n, "lang").withColumn("score", F.call_function("div", F.lit(1000).cast("decimal(4,0)") * wide[0] * wide[1], wide[2] * wide[3]))
-    lowest = cuts.groupBy("lang", "phrase", "a", "words", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("x"))
+        cuts = cuts.join(known.select(F.col("id").alias(side), F.col("a").alias(name)), side).drop(side)
+    a, m, l, r = (F.col(c).cast("decimal(18,0)") for c in ("a", "n", "l", "r"))
+    cuts = cuts.join(n, "lang").withColumn("score", F.call_function("div", F.lit(1000).cast("decimal(4,0)") * a * m, l * r))
+    lowest = cuts.groupBy("id").agg(F.min(F.struct("score", "k", "l", "r", "n")).alias("x"))
     # the phrase without its first and without its last word lies inside it; if a much longer
     # phrase comes as often, so does the one that is longer by one word
-    last = F.col("words") - 1
-    own = F.split("phrase", " ")
-    inside = (candidates.where("words > 2")
-              .select(F.col("lang").alias("i_lang"), F.col("a").alias("i_a"),
-                      F.explode(F.array(F.array_join(F.slice(own, F.lit(1), last), " "), F.array_join(F.slice(own, F.lit(2), last), " "))).alias("i_phrase"))
-              .distinct())
-    kept = lowest.join(inside, (F.col("lang") == F.col("i_lang")) & (F.col("phrase") == F.col("i_phrase")) & (F.col("a") <= F.col("i_a")), "left_anti")
+    inside = (known.where("words > 2").select(F.explode(F.array(_id(lang, own, F.lit(1), size - 1), _id(lang, own, F.lit(2), size - 1))).alias("id"), F.col("a").alias("most"))
+              .groupBy("id").agg(F.max("most").alias("most")))
+    kept = known.where("words > 1").join(inside, "id", "left").where("most IS NULL OR a > most").join(lowest, "id")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
-    return (kept.select("lang", "phrase", "a", "x.l", "x.r", "n", "x.score")
+    return (kept.select("lang", "phrase", "a", "x.l", "x.r", "x.n", "x.score")
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
             .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
 

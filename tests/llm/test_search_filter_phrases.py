@@ -166,7 +166,7 @@ def prose():
     return rows + [(None, "en"), ("", "fr"), (" ,.", None)] + [("a a a a a a", "de")] * 9 + [("un deux " * 60_000, "fr")]
 
 
-@pytest.mark.parametrize("shard_bytes", [1_500, 20_000, 48 << 20])
+@pytest.mark.parametrize("shard_bytes", [1_500, 64 << 20])
 def test_phrases_equal_brute_force(spark, prose, shard_bytes):
     df = spark.createDataFrame([(t, x, 1, 2, "h") for t, x in prose], "text string, lang string, n int, h int, phrase string").repartition(5)
     got = sorted(tuple(r) for r in phrases.collocations(df, top=60, least=12, shard_bytes=shard_bytes).collect())
@@ -182,6 +182,19 @@ def test_pairs_only_and_empty_table(spark, prose):
     assert phrases.collocations(spark.createDataFrame([(None, None)], "text string, lang string")).count() == 0
 
 
+def test_keys_are_sorted_in_classes(monkeypatch, prose):
+    """The same phrases however few keys are held at once."""
+    def all_of():
+        shard = phrases.Shard()
+        for t, lang in prose:
+            shard.add(lang or "und", (t or "").encode())
+        return sorted((lang, k, int(h), p) for lang, hs, k, ps in phrases.mine(shard, 5, 1, 5) for h, p in zip(hs, ps))
+    want = all_of()
+    monkeypatch.setattr(phrases, "SLICE", 777)
+    monkeypatch.setattr(phrases, "CLASS_KEYS", 5_000)
+    assert len(want) > 500 and all_of() == want
+
+
 def test_a_word_may_pass_a_slice(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SLICE", 16)
     rows = [("one two three four five six seven " * 6 + "x" * 90, "en")] * 4
