@@ -12,16 +12,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlens.functions import text as T
-from revlens.operators.lexicon import bounded_broadcast
+from revlens.operators.neighbors import embedding_assign
+from revlens.session import materialize
 
 # optional limit of the scored candidates per aspect; None: all
 MAX_CANDIDATES: int | None = None
-MAX_BROADCAST_SEEDS = 100_000
+GRAM = 3      # characters of a seed's key
 
 
 def _first(items: Column, most: int | None) -> Column:
@@ -35,28 +37,75 @@ def candidates_long(df: DataFrame, stop_words: Sequence[str], id_col: str = "rev
     return df.select(id_col, F.posexplode(T.mine_candidates(text_col, list(stop_words))).alias("cand_pos", "candidate"))
 
 
-# --- J1 / J2 -----------------------------------------------------------------
-def _seed_sets(lexicon: DataFrame) -> DataFrame:
-    """(aspect, aspect_ord, seeds array): one row per aspect."""
-    return lexicon.groupBy("aspect", "aspect_ord").agg(F.collect_list("seed").alias("seeds"))
-
-
-def map_to_aspects(cands: DataFrame, lexicon: DataFrame, lexicon_rows: int | None = None) -> DataFrame:
-    """Candidate -> aspect when any seed of the aspect is a substring of it.
+def phrase_scores(cands: DataFrame) -> DataFrame:
+    """F13 scores (Rose et al. 2010): (candidate, n, score) per distinct candidate of a long
+    table.  A word scores its degree (words of all candidates it stands in, itself included)
+    over its frequency; a candidate scores the sum over its words.
 
-    Broadcast nested-loop join against one row per aspect (``exists`` over its
-    seeds), so each (candidate, aspect) pair appears once without a distinct and
-    the candidate side is never shuffled."""
-    seeds = bounded_broadcast(_seed_sets(lexicon), MAX_BROADCAST_SEEDS, lexicon_rows)
-    cond = F.exists(F.col("seeds"), lambda s: F.col("candidate").contains(s))
-    return cands.join(seeds, cond, "inner").drop("seeds")
+    Words are counted by an aggregate that is combined before the shuffle; their scores are
+    joined back to the words of the distinct candidates only.  Null candidates do not count."""
+    rows = cands.where(F.col("candidate").isNotNull()).select("candidate", F.split("candidate", " ").alias("w"))
+    words = rows.select(F.explode("w").alias("word"), F.size("w").alias("n")).groupBy("word").agg((F.sum("n") / F.count(F.lit(1))).alias("ws"))
+    distinct = rows.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"))
+    spread = distinct.select("candidate", "n", F.explode(F.split("candidate", " ")).alias("word"))
+    return spread.join(words, "word").groupBy("candidate", "n").agg(F.sum("ws").alias("score"))
 
 
-def unmapped_candidates(cands: DataFrame, lexicon: DataFrame, lexicon_rows: int | None = None) -> DataFrame:
-    """Candidates that match no aspect (broadcast left-anti join)."""
-    seeds = bounded_broadcast(_seed_sets(lexicon), MAX_BROADCAST_SEEDS, lexicon_rows)
-    cond = F.exists(F.col("seeds"), lambda s: F.col("candidate").contains(s))
-    return cands.join(seeds, cond, "left_anti")
+# --- J1 / J2 -----------------------------------------------------------------
+def _grams(c: Column, n: int) -> Column:
+    """All substrings of ``n`` characters."""
+    if n == 0:
+        return F.array(F.lit(""))
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def keyed_seeds(lexicon: DataFrame) -> DataFrame:
+    """Seeds with the substring of at most ``GRAM`` characters that fewest seeds share: a
+    candidate that holds the seed holds its key."""
+    seeds = lexicon.where(F.col("seed").isNotNull()).select("aspect", "aspect_ord", "seed").distinct()
+    by_length = F.when(F.length("seed") >= GRAM, _grams(F.col("seed"), GRAM)).otherwise(F.array("seed"))
+    grams = seeds.select("aspect", "aspect_ord", "seed", F.explode(F.array_distinct(by_length)).alias("key"))
+    shared = grams.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return grams.join(shared, "key").groupBy("aspect", "aspect_ord", "seed").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+
+
+def map_terms(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """J1 on distinct candidates: (candidate, aspect, aspect_ord) when a seed of the aspect is a
+    substring.  Inverted index: the candidate's short substrings meet the seeds' keys in an
+    equi-join, then the whole seed is verified; no candidate is held against every seed."""
+    keyed = materialize(keyed_seeds(lexicon))
+    lengths = [r[0] for r in keyed.select(F.length("key")).distinct().collect()]        # 0 to GRAM
+    grams = F.array_distinct(F.concat(*[_grams(F.col("candidate"), n) for n in sorted(lengths)])) if lengths else F.array().cast("array<string>")
+    parts = terms.where(F.col("candidate").isNotNull()).select("candidate", F.explode(grams).alias("key"))
+    return parts.join(keyed, "key").where(F.col("candidate").contains(F.col("seed"))).select("candidate", "aspect", "aspect_ord").distinct()
+
+
+def map_to_aspects(cands: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Every candidate row with each aspect of which a seed is a substring, once.  Distinct
+    candidates are mapped (``map_terms``) and joined back to the rows."""
+    pairs = map_terms(cands.select("candidate").distinct(), lexicon)
+    return cands.join(pairs, "candidate").select(*cands.columns, "aspect", "aspect_ord")
+
+
+def unmapped_candidates(cands: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Candidate rows that match no aspect, nulls among them."""
+    pairs = map_terms(cands.select("candidate").distinct(), lexicon)
+    return cands.join(pairs.select("candidate").distinct(), "candidate", "left_anti").select(*cands.columns)
+
+
+def terms_with_vectors(terms: DataFrame, lexicon: DataFrame, vectors: DataFrame, prototypes: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """J1, then J2 -> J3: distinct candidates that no seed maps go to the aspect whose prototype
+    is nearest (cosine of normalised vectors) when it reaches ``threshold``.
+
+    ``vectors (candidate, embedding)`` is joined once, to unmapped strings only; a candidate
+    without a vector stays unmapped.  ``prototypes (aspect, aspect_ord, embedding)`` has one
+    row per aspect and enters as a scalar."""
+    seeded = materialize(map_terms(terms, lexicon))
+    rest = terms.join(seeded.select("candidate").distinct(), "candidate", "left_anti").join(vectors.select("candidate", "embedding"), "candidate")
+    near = embedding_assign(rest, prototypes, "candidate", "embedding", threshold)
+    near = near.join(prototypes.select("aspect", "aspect_ord"), "aspect").select("candidate", "aspect", "aspect_ord")
+    return seeded.unionByName(near)
 
 
 # --- sentence units + scoring (shared by A2 and A3) ---------------------------
@@ -166,6 +215,58 @@ def absa_extract(df: DataFrame, aspects: dict[str, list[str]], stop_words: Seque
     return _score_units(_with_units(df, id_col, text_col, ac), scorer, id_col)
 
 
+def absa_extract_with_vectors(df: DataFrame, lexicon: DataFrame, stop_words: Sequence[str], scorer, vectors: DataFrame, prototypes: DataFrame,
+                              threshold: float = 0.55, id_col: str = "review_id", text_col: str = "review_text") -> DataFrame:
+    """A3 with the embedding fallback: mine -> distinct strings -> seeds, else nearest prototype
+    -> back to the reviews -> score.  ``lexicon`` is the table (aspect, aspect_ord, seed) and may
+    be large.  Same columns as ``absa_extract``; the candidates of an aspect are in text order."""
+    long = materialize(candidates_long(df, stop_words, id_col, text_col))
+    terms = materialize(terms_with_vectors(long.select("candidate").distinct(), lexicon, vectors, prototypes, threshold))
+    mapped = long.join(terms, "candidate").select(id_col, "cand_pos", "candidate", "aspect", "aspect_ord")
+    return aspect_sentiment(mapped, df, scorer, id_col, text_col)
+
+
+# --- weak token labels ----------------------------------------------------------
+def token_labels(df: DataFrame, mapped: DataFrame, id_col: str = "review_id", text_col: str = "review_text") -> DataFrame:
+    """Weak begin/inside labels for aspect tagging: (id, token_pos, token, start, label) for every
+    token (maximal runs of characters other than space), label ``B-<aspect>``, ``I-<aspect>`` or ``O``.
+
+    A token belongs to a candidate when it lies within an occurrence of it, case aside; a
+    token in several spans takes the longest, then the smallest ``aspect_ord``.  Spans are
+    joined to the tokens of their own review only and by the stretch of text they cover
+    (``start`` counts from 1).  Occurrences of one candidate do not overlap."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def cut(batches):
+        import re
+        for pdf in batches:
+            rows = [(i, k, m.group(), m.start() + 1) for i, t in zip(pdf[id_col], pdf["low"]) for k, m in enumerate(re.finditer("[^ ]+", t))]
+            yield pd.DataFrame(rows, columns=[id_col, "token_pos", "token", "start"])
+
+    def occurrences(batches):
+        for pdf in batches:
+            rows = []
+            for i, a, o, c, t in zip(pdf[id_col], pdf["aspect"], pdf["aspect_ord"], pdf["candidate"], pdf["low"]):
+                at = t.find(c) if c else -1
+                while at >= 0:
+                    rows.append((i, a, o, len(c), at + 1))
+                    at = t.find(c, at + len(c))
+            yield pd.DataFrame(rows, columns=[id_col, "aspect", "aspect_ord", "len", "span"])
+
+    low = df.select(id_col, F.lower(T.as_text(text_col)).alias("low"))
+    tokens = low.mapInPandas(cut, f"`{id_col}` {id_type}, token_pos int, token string, start int")
+    found = mapped.select(id_col, F.col("aspect"), F.col("aspect_ord").cast("int").alias("aspect_ord"), "candidate").distinct().join(low, id_col)
+    spans = found.mapInPandas(occurrences, f"`{id_col}` {id_type}, aspect string, aspect_ord int, len int, span int")
+    # a span covers few stretches of 64 characters: tokens meet only the spans of their own stretch
+    stretch = lambda c: F.floor(c / 64)
+    spans = spans.withColumn("_s", F.explode(F.sequence(stretch(F.col("span")), stretch(F.col("span") + F.col("len") - 1))))
+    tokens = tokens.withColumn("_s", stretch(F.col("start")))
+    hit = (tokens.join(spans, [id_col, "_s"]).where((F.col("start") >= F.col("span")) & (F.col("start") + F.length("token") <= F.col("span") + F.col("len")))
+           .groupBy(id_col, "token_pos").agg(F.min(F.struct((-F.col("len")).alias("l"), "aspect_ord", "span", "start", "aspect")).alias("b")))
+    label = F.when(F.col("b").isNull(), F.lit("O")).otherwise(F.concat(F.when(F.col("b.start") == F.col("b.span"), F.lit("B-")).otherwise(F.lit("I-")), F.col("b.aspect")))
+    return tokens.join(hit, [id_col, "token_pos"], "left").select(id_col, "token_pos", "token", "start", label.alias("label"))
+
+
 # --- G15 / G16 -----------------------------------------------------------------
 def observed_aspects(long_aspects: DataFrame) -> DataFrame:
     """Sorted distinct aspects seen in any review."""

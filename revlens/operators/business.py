@@ -84,18 +84,19 @@ def confidence_describe(scored: DataFrame, col: str = "sentiment_confidence", ex
                         accuracy: int = 100_000) -> DataFrame:
     """Count, mean, std (ddof 1), min, quartiles, max.
 
-    ``exact=True`` matches pandas (linear interpolation) but the exact percentile
-    keeps one counter per distinct value, merged in one final task -- fine for
-    bounded value sets, not for a continuous column at very large n.  There use
+    ``exact=True`` matches pandas (linear interpolation): the quartiles are selected by
+    counting passes over the scores (``quantiles.py``), so no task holds the distinct values.
     ``exact=False``: ``percentile_approx`` with a fixed-size sketch per partition."""
-    c = F.col(col)
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile(c, probs) if exact else F.percentile_approx(c, probs, accuracy)
-    return scored.agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        q.alias("_q"), F.max(c).alias("max"),
-    ).select("count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-             F.col("_q")[2].alias("p75"), "max")
+    c, probs = F.col(col), (0.25, 0.5, 0.75)
+    stats = [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+    if exact:
+        from revlens.operators.quantiles import exact_quantiles
+        from revlens.session import materialize
+        values = materialize(scored.select(c))
+        q = exact_quantiles(values, col, probs)
+        return values.agg(*stats).select("count", "mean", "std", "min", *(F.lit(v).cast("double").alias(n) for n, v in zip(("p25", "p50", "p75"), q)), "max")
+    return scored.agg(*stats, F.percentile_approx(c, F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q")).select(
+        "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
 
 
 def confidence_histogram(scored: DataFrame, col: str = "sentiment_confidence", bins: int = 10) -> DataFrame:

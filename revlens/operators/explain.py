@@ -16,13 +16,19 @@ a weighted ridge per text.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from revlens.functions import text as T
+from revlens.operators.lexicon import MAX_BROADCAST_LEXICON_ROWS
+from revlens.sources.lexicons import BOOSTER_DAMPING, COMPOUND_ALPHA, NEGATION_SCALAR
 
 
 def shapley_values(df: DataFrame, id_col: str, feature_cols: Sequence[str], score: Callable[[dict], Column],
@@ -59,10 +65,72 @@ def global_importance(values: DataFrame) -> DataFrame:
     return values.groupBy("feature").agg(F.avg(F.abs("shapley")).alias("importance"))
 
 
+def compound_changes(tokens: list[str], valence: dict[str, float], negation: frozenset, booster: dict[str, float]) -> dict[str, float]:
+    """How the compound changes when all occurrences of a word are taken out.
+
+    Only hits of the lexicon add to the sum, each with the three words before it: taking out a
+    word drops its own hits and gives the hits just after it other words before them.  So the
+    sum is worked out once and every word changes it by what it touches."""
+    def value(v: float, before: list[str]) -> float:
+        v += math.copysign(1.0, v) * sum(booster.get(w, 0.0) * d for w, d in zip(before, BOOSTER_DAMPING)) if v else 0.0
+        return v * NEGATION_SCALAR if any(w in negation for w in before) else v
+
+    def compound(s: float) -> float:
+        return s / math.sqrt(s * s + COMPOUND_ALPHA)
+
+    total, change = 0.0, dict.fromkeys(tokens, 0.0)
+    for i, word in enumerate(tokens):
+        v = valence.get(word)
+        if v is None:
+            continue
+        before = tokens[max(0, i - 3):i][::-1]
+        own = value(v, before)
+        total += own
+        change[word] -= own
+        for gone in set(before) - {word}:
+            left, k = [], i - 1
+            while k >= 0 and len(left) < 3:
+                if tokens[k] != gone:
+                    left.append(tokens[k])
+                k -= 1
+            change[gone] += value(v, left) - own
+    base = compound(total)
+    return {w: compound(total + c) - base if c else 0.0 for w, c in change.items()}
+
+
 def leave_one_word_out(df: DataFrame, id_col: str, text_col: str, scorer, top: int = 10) -> DataFrame:
     """X5(a): (id, word, delta, rank): compound(text without word) - compound(text),
-    top ``top`` words per text by |delta| (ties by word).  Words are the scorer's
-    lower-cased word tokens; the perturbed texts are scored in one distributed pass."""
+    top ``top`` words per text by |delta| (rounded to 12 digits; ties by word).  Words are the
+    scorer's lower-cased word tokens.
+
+    With a lexicon that may be broadcast, each text is worked out in its own task, in a time
+    that grows with its length (``compound_changes``); only the top words leave it.  With a
+    larger one the perturbed texts are scored by ``scorer`` in one distributed pass."""
+    lexicon = getattr(scorer, "lexicon", None)
+    if lexicon is None or (scorer.lexicon_rows or lexicon.limit(MAX_BROADCAST_LEXICON_ROWS + 1).count()) > MAX_BROADCAST_LEXICON_ROWS:
+        return _rescored(df, id_col, text_col, scorer, top)
+    known = {r[0]: float(r[1]) for r in lexicon.select("token", "valence").collect() if r[1] is not None}
+    held = df.sparkSession.sparkContext.broadcast((known, frozenset(scorer.negation), dict(scorer.booster)))
+    rows = df.select(F.col(id_col), T.word_tokens(text_col).alias("_t"))
+    schema = StructType([rows.schema[id_col], StructField("word", StringType()), StructField("delta", DoubleType()), StructField("rank", IntegerType())])
+
+    def work(batches):
+        for batch in batches:
+            take, out = [], ([], [], [])
+            for k, tokens in enumerate(batch.column(1).to_pylist()):
+                changes = compound_changes(tokens or [], *held.value)
+                best = heapq.nsmallest(top, changes.items(), key=lambda x: (-abs(round(x[1], 12)), x[0]))
+                take.extend([k] * len(best))
+                for rank, (word, delta) in enumerate(best, 1):
+                    for held_in, x in zip(out, (word, delta, rank)):
+                        held_in.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int32())],
+                                             names=[id_col, "word", "delta", "rank"])
+
+    return rows.mapInArrow(work, schema)
+
+
+def _rescored(df: DataFrame, id_col: str, text_col: str, scorer, top: int) -> DataFrame:
     toks = df.select(id_col, T.word_tokens(text_col).alias("_t"))
     words = toks.select(id_col, "_t", F.explode(F.array_distinct("_t")).alias("word"))
     pert = words.select(id_col, "word", F.array_join(F.filter("_t", lambda x: x != F.col("word")), " ").alias("_txt"))
@@ -72,7 +140,7 @@ def leave_one_word_out(df: DataFrame, id_col: str, text_col: str, scorer, top: i
     b = s.where(F.col("word") == "").select(id_col, F.col("vader_compound").alias("_base"))
     dl = s.where(F.col("word") != "").join(b, id_col).select(
         id_col, "word", (F.col("vader_compound") - F.col("_base")).alias("delta"))
-    w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("delta")), "word")
+    w = Window.partitionBy(id_col).orderBy(F.desc(F.round(F.abs("delta"), 12)), "word")
     return dl.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top)
 
 
@@ -81,7 +149,7 @@ def lime_text(df: DataFrame, id_cols: Sequence[str], text_col: str, scorer, num_
     """X5(b) (Ribeiro et al. 2016): per text, ``num_samples`` hash-seeded word masks
     (sample 0 keeps everything), one distributed scoring pass over the perturbed
     texts, then a weighted ridge fit per text in ``applyInPandas`` -- a group is one
-    text, bounded by num_samples x its distinct words.  Output (ids..., word, weight, rank)."""
+    text, bounded by num_samples x its distinct words; the system solved has num_samples rows.  Output (ids..., word, weight, rank)."""
     import numpy as np
     import pandas as pd
 
@@ -109,11 +177,10 @@ def lime_text(df: DataFrame, id_cols: Sequence[str], text_col: str, scorer, num_
         frac = X.mean(axis=1)
         dist = (1.0 - np.sqrt(np.clip(frac, 0.0, 1.0))) * 100.0       # cosine distance to the full text, x100
         w = np.sqrt(np.exp(-(dist ** 2) / kernel_width ** 2))
-        Xc = np.hstack([X, np.ones((len(X), 1))])
-        W = np.diag(w)
-        reg = alpha * np.eye(Xc.shape[1])
-        reg[-1, -1] = 0.0
-        coef = np.linalg.solve(Xc.T @ W @ Xc + reg, Xc.T @ W @ y)[:-1]
+        # weighted ridge with a free intercept, solved in the dual: samples x samples
+        r = np.sqrt(w)[:, None]
+        A, t = r * (X - (w @ X) / w.sum()), r[:, 0] * (y - (w @ y) / w.sum())
+        coef = A.T @ np.linalg.solve(A @ A.T + alpha * np.eye(len(A)), t)
         order = sorted(range(len(vocab)), key=lambda i: (-abs(coef[i]), vocab[i]))[:top]
         return pd.DataFrame({**{c: pdf[c].iloc[0] for c in ids}, "word": [vocab[i] for i in order],
                              "weight": [float(coef[i]) for i in order], "rank": list(range(1, len(order) + 1))})

@@ -29,7 +29,7 @@ from revlens.functions import text as T
 
 from revlens.functions.text import word_tokens
 from revlens.sources.lexicons import (
-    BOOSTER_DAMPING, COMPOUND_ALPHA, FX_BOOSTER, FX_NEGATION, NEGATION_SCALAR, POLARITY_NEGATION,
+    BOOSTER_DAMPING, COMPOUND_ALPHA, NEGATION_SCALAR, POLARITY_NEGATION,
     POSITIVE_THRESHOLD, sentiment_df,
 )
 
@@ -64,14 +64,15 @@ class LexiconScorer:
     """
 
     lexicon: DataFrame
-    negation: Sequence[str] = field(default_factory=lambda: list(FX_NEGATION))
-    booster: dict[str, float] = field(default_factory=lambda: dict(FX_BOOSTER))
+    negation: Sequence[str] = ()
+    booster: dict[str, float] = field(default_factory=dict)
     lexicon_rows: int | None = None
 
     @classmethod
     def fixture(cls, spark: SparkSession) -> "LexiconScorer":
-        from revlens.sources.lexicons import FX_SENTIMENT
-        return cls(sentiment_df(spark), lexicon_rows=len(FX_SENTIMENT))
+        """The lexicon, negations and boosters made for the invented words of the test corpus."""
+        from revlens.sources.lexicons import FX_BOOSTER, FX_NEGATION, FX_SENTIMENT
+        return cls(sentiment_df(spark), list(FX_NEGATION), dict(FX_BOOSTER), lexicon_rows=len(FX_SENTIMENT))
 
     # -- F5 + F6 -------------------------------------------------------------
     def intensity(self, df: DataFrame, key_cols: Sequence[str], text_col: str,

@@ -122,7 +122,7 @@ def prefix_below(sc: DataFrame, group_cols: Sequence[str] = (), buckets: int = P
     bounds = sc.groupBy(*g).agg(F.percentile_approx("score", probs, 10000).alias("_b")) if g else \
         sc.agg(F.percentile_approx("score", probs, 10000).alias("_b"))
     if g:
-        b = sc.join(F.broadcast(bounds), g)
+        b = sc.join(bounds, g)          # the planner broadcasts few groups, shuffles many
     else:
         b = sc.withColumn("_b", bounds.select("_b").scalar())
     # non-nullable bucket: otherwise an inferred isnotnull(_bucket) is pushed below the
@@ -132,7 +132,7 @@ def prefix_below(sc: DataFrame, group_cols: Sequence[str] = (), buckets: int = P
     wb = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*g, "_bucket", F.coalesce(F.sum("_bp").over(wb), F.lit(0.0)).alias("_op"),
                      F.coalesce(F.sum("_bn").over(wb), F.lit(0.0)).alias("_on"))
-    j = b.join(F.broadcast(tot), [*g, "_bucket"])
+    j = b.join(tot if g else F.broadcast(tot), [*g, "_bucket"])      # without groups: at most `buckets` rows
     wi = Window.partitionBy(*g, "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return j.select(*g, "score", "pos", "neg",
                     (F.col("_op") + F.coalesce(F.sum("pos").over(wi), F.lit(0.0))).alias("pos_below"),
@@ -141,7 +141,12 @@ def prefix_below(sc: DataFrame, group_cols: Sequence[str] = (), buckets: int = P
 
 def roc_auc(df: DataFrame, y: str = "y_true", score: str = "p_a", group_cols: Sequence[str] = ()) -> DataFrame:
     """M6: AUC = sum pos_s * (neg below s + neg_s / 2) / (P * N), ties count one half."""
-    pb = prefix_below(score_counts(df, y, score, group_cols), group_cols)
+    return auc_of_counts(score_counts(df, y, score, group_cols), group_cols)
+
+
+def auc_of_counts(counts: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """M6 from (group..., score, pos, neg); the counts may be weights."""
+    pb = prefix_below(counts, group_cols)
     g = pb.groupBy(*group_cols).agg(
         F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("_a"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -168,6 +173,16 @@ def average_precision(df: DataFrame, y: str = "y_true", score: str = "p_a") -> D
     return pb.agg((F.sum(F.col("pos") * tp / (tp + fp)) / F.sum("pos")).alias("average_precision"))
 
 
+def ap_of_counts(counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """M7 per group from (group..., score, pos, neg); the counts may be weights."""
+    g = list(group_cols)
+    tot = counts.groupBy(*g).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    pb = prefix_below(counts, g).join(tot, g)
+    tp, fp = F.col("_P") - F.col("pos_below"), F.col("_N") - F.col("neg_below")
+    part = F.when(F.col("pos") > 0, F.col("pos") * tp / (tp + fp)).otherwise(F.lit(0.0))
+    return pb.groupBy(*g).agg((F.sum(part) / F.sum("pos")).alias("average_precision"))
+
+
 def brier(df: DataFrame, y: str = "y_true", p: str = "p_a") -> DataFrame:
     """M8: mean squared difference of probability and outcome."""
     return df.agg(F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"))

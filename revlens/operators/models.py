@@ -14,14 +14,16 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer,
                                 SQLTransformer, VectorAssembler)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlens.functions import text as T
+from revlens.operators.lexicon import bounded_broadcast
 
+MAX_BROADCAST_BUCKETS = 1_000_000
 TOKEN = r"[\p{L}\p{N}_]{2,}"   # fixed value: tokens of two or more word characters
 
 
@@ -96,7 +98,7 @@ def tfidf_classifier(train: DataFrame, label_col: str, text_col: str = "review_t
     """ML3 (kind='logreg': C = 1 -> regParam = 1/n, no standardisation, 300 iterations) or
     ML4 (kind='svm': linear SVM, one-vs-rest when there are more than two classes)."""
     from revlens.session import materialize
-    train = materialize(train)
+    train = materialize(train.withColumn(text_col, T.as_text(text_col)))
     feat = fit_tfidf(train, text_col, max_features)
     x = materialize(feat.transform(train))
     n, k = x.select(F.count(F.lit(1)), F.count_distinct(label_col)).first()
@@ -142,7 +144,7 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: floa
                          F.when(F.col("_before") + F.col("_n") <= F.col("_k"), F.lit("test"))
                          .when(F.col("_before") >= F.col("_k"), F.lit("train")).otherwise(F.lit("edge")).alias("_d"))
     decided = decided.withColumnsRenamed({label_col: "_label", "_b": "_bucket"})
-    j = d.join(F.broadcast(decided), d[label_col].eqNullSafe(decided["_label"]) & (d["_b"] == decided["_bucket"]))   # a null label is a class
+    j = d.join(bounded_broadcast(decided, MAX_BROADCAST_BUCKETS), d[label_col].eqNullSafe(decided["_label"]) & (d["_b"] == decided["_bucket"]))   # a null label is a class
     plain = j.where(F.col("_d") != "edge").select(*df.columns, (F.col("_d") == "test").alias("is_test"))
     edge = j.where(F.col("_d") == "edge")
     rn = F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h", id_col))
@@ -150,6 +152,19 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: floa
     return plain.unionByName(edge)
 
 
+def temporal_split(df: DataFrame, time_col: str, test_size: float = 0.2) -> DataFrame:
+    """Split by time: ``is_test`` marks the rows of the newest ``test_size`` of the table.  The
+    cut-off is an exact quantile of the times (counting passes, no sort); rows of one time are on
+    one side, the test's, so no test row is older than a training row.  Rows without a time
+    train."""
+    from revlens.operators.quantiles import finite, order_statistics
+    n = finite(df, time_col).count()
+    first = n - int(test_size * n + 0.5)
+    cut = order_statistics(df, time_col, [first]).get(first) if n else None
+    test = F.lit(False) if cut is None else F.coalesce(F.col(time_col).cast("double") >= cut, F.lit(False))
+    return df.withColumn("is_test", test)
+
+
 # --- ML10 / ML11 -------------------------------------------------------------------
 def weighted_voting(df: DataFrame, prob_cols: Sequence[str], weights: Sequence[float]) -> Column:
     """ML10: weighted average of aligned probability arrays (weights normalised)."""
@@ -255,3 +270,31 @@ def platt_calibrated_proba(train: DataFrame, test: DataFrame, features_col: str,
     for p in parts[1:]:
         allp = allp.unionByName(p)
     return allp.groupBy(id_col).agg(F.avg("p_cal").alias("p_calibrated"), F.avg("p_raw").alias("p_uncalibrated"))
+
+
+def behavior_model(features: DataFrame, feature_cols: Sequence[str], label_col: str, id_col: str, test_size: float = 0.2, num_trees: int = 400,
+                   folds: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """ML9: stratified split, then (SMOTE -> forest -> sigmoid) by ``folds`` on the training part:
+    ``(report, predictions)`` of the held-out part.
+
+    ``features`` has one row per id with numeric columns (the engineered features, aspect
+    scores); missing values count as 0.  Rows without a label are left out."""
+    from revlens.operators.metrics import classification_report
+    from revlens.operators.neighbors import smote
+    from revlens.session import materialize
+    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols])
+    rows = features.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("y"), vec.alias("embedding"))
+    rows = materialize(rows.withColumn("features", array_to_vector("embedding")))
+    sp = stratified_split(rows, id_col, "y", test_size, seed)
+
+    def oversample(part: DataFrame) -> DataFrame:
+        # the rarer class is filled up
+        counts = {r["y"]: r["n"] for r in part.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        s = smote(part.select(id_col, "embedding", "y"), "y", id_col, minority=min(counts, key=counts.get)) if len(counts) > 1 else part
+        return s.select(id_col, "embedding", "y", array_to_vector("embedding").alias("features"))
+
+    test = sp.where("is_test").drop("is_test")
+    p = platt_calibrated_proba(sp.where(~F.col("is_test")).drop("is_test"), test, "features", "y", id_col, oversample=oversample, num_trees=num_trees, folds=folds, seed=seed)
+    pred = p.join(test.select(id_col, F.col("y").alias("y_true")), id_col).withColumn("y_pred", (F.col("p_calibrated") >= 0.5).cast("int"))
+    pred = materialize(pred.select(id_col, "y_true", "y_pred", "p_calibrated"))
+    return classification_report(pred), pred

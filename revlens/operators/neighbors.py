@@ -1,5 +1,8 @@
-"""Vector operators: prototype assignment (J3), exact k-nearest neighbours (J5),
-nearest unlike neighbour (J6), SMOTE (ML6) and counterfactuals (X4).
+"""Vector operators: prototype assignment (J3), k-nearest neighbours (J5), nearest unlike
+neighbour (J6), SMOTE (ML6) and counterfactuals (X4).
+
+J6, SMOTE and X4 search by locality-sensitive hashing (``lsh.py``) unless ``method="exact"``
+asks for the exact search below.
 
 Exact kNN without an all-pairs join:
   1. pivots = the ``n_pivots`` right-side rows with the smallest hash (a bounded
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlens.functions.text import let
+from revlens.operators.lsh import lsh_knn
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -104,22 +108,31 @@ def knn(left: DataFrame, right: DataFrame, k: int, id_col: str = "vec_id", vec_c
 
 
 # --- J6 / X4 -----------------------------------------------------------------
+def _search(left: DataFrame, right: DataFrame, k: int, id_col: str, vec_col: str, method: str, exclude_self: bool = True,
+            class_col: str | None = None) -> DataFrame:
+    if method == "lsh":
+        return lsh_knn(left, right, k, id_col, vec_col, exclude_self, class_col)
+    if method != "exact":
+        raise ValueError("method is lsh or exact")
+    unlike = None if class_col is None else lambda lc, rc: lc(class_col) != rc(class_col)
+    return knn(left, right, k, id_col, vec_col, exclude_self=exclude_self, pair_filter=unlike)
+
+
 def nearest_unlike_neighbor(df: DataFrame, class_col: str, id_col: str = "vec_id", vec_col: str = "embedding",
-                            candidates: DataFrame | None = None) -> DataFrame:
-    """Nearest row of a different class (exact, see ``knn``)."""
+                            candidates: DataFrame | None = None, method: str = "lsh") -> DataFrame:
+    """Nearest row of a different class (``method``: see the module's text)."""
     right = candidates if candidates is not None else df
-    return knn(df.select(id_col, vec_col, class_col), right.select(id_col, vec_col, class_col), 1, id_col, vec_col,
-               pair_filter=lambda lc, rc: lc(class_col) != rc(class_col))
+    return _search(df.select(id_col, vec_col, class_col), right.select(id_col, vec_col, class_col), 1, id_col, vec_col, method, class_col=class_col)
 
 
 def counterfactual(df: DataFrame, prob_col: str, id_col: str = "vec_id", vec_col: str = "embedding",
-                   target_threshold: float = 0.51) -> DataFrame:
+                   target_threshold: float = 0.51, method: str = "lsh") -> DataFrame:
     """X4 (nearest unlike neighbour): for each row below the target probability, the
     nearest row that reaches it, with distance and number of changed coordinates."""
     d = df.select(id_col, vec_col, prob_col, (F.col(prob_col) >= target_threshold).cast("int").alias("_reach"))
     q = d.where(F.col("_reach") == 0)
     c = d.where(F.col("_reach") == 1)
-    nn = knn(q.select(id_col, vec_col), c.select(id_col, vec_col), 1, id_col, vec_col, exclude_self=False)
+    nn = _search(q.select(id_col, vec_col), c.select(id_col, vec_col), 1, id_col, vec_col, method, exclude_self=False)
     v = df.select(F.col(id_col).alias("nbr_id"), F.col(vec_col).alias("_nv"))
     j = nn.join(df.select(id_col, vec_col), id_col).join(v, "nbr_id")
     changed = F.size(F.filter(F.zip_with(vec_col, "_nv", lambda a, b: F.abs(a - b) > 1e-12), lambda x: x))
@@ -128,7 +141,7 @@ def counterfactual(df: DataFrame, prob_col: str, id_col: str = "vec_id", vec_col
 
 # --- ML6 ----------------------------------------------------------------------
 def smote(df: DataFrame, label_col: str = "y", id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5,
-          seed: int = 42, minority: int = 1) -> DataFrame:
+          seed: int = 42, minority: int = 1, method: str = "lsh") -> DataFrame:
     """ML6: oversample the minority class up to the majority count.
 
     Every minority row spawns ceil(deficit / n_min) candidates; exactly ``deficit``
@@ -141,7 +154,7 @@ def smote(df: DataFrame, label_col: str = "y", id_col: str = "vec_id", vec_col:
                  F.count_if(F.col(label_col) != minority).alias("n_maj")).first()
     deficit = F.lit(max(int(cnt["n_maj"]) - int(cnt["n_min"]), 0))
     per = F.lit(-(-max(int(cnt["n_maj"]) - int(cnt["n_min"]), 0) // max(int(cnt["n_min"]), 1)))
-    nbrs = knn(mino.select(id_col, vec_col), mino.select(id_col, vec_col), k, id_col, vec_col)
+    nbrs = _search(mino.select(id_col, vec_col), mino.select(id_col, vec_col), k, id_col, vec_col, method)
     n_nbrs = nbrs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_kk"))
     cand = mino.select(id_col, vec_col).join(n_nbrs, id_col).select(
         id_col, vec_col, "_kk", F.explode(F.sequence(F.lit(0), F.greatest((per - 1).cast("int"), F.lit(0))))

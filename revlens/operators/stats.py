@@ -100,6 +100,91 @@ def bootstrap_ci(df: DataFrame, metric: Callable[[np.ndarray, np.ndarray, np.nda
                     F.avg("value").alias("mean"))
 
 
+# one replicate's weight of a row is Poisson(1): the limit of how often a row is drawn in a
+# sample with replacement, and independent from row to row, so nothing is collected
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
+
+
+def hash_uniform(key: Column, replicate: Column, seed: int) -> Column:
+    """Repeatable uniform number in [0, 1) of a row and a replicate."""
+    return F.shiftrightunsigned(F.xxhash64(key, replicate, F.lit(seed)), 11).cast("double") / float(1 << 53)
+
+
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) number of a uniform one, by the inverse of its distribution."""
+    return sum(((u >= p).cast("int") for p in _POISSON), F.lit(0)).cast("double")
+
+
+def _reweighted(df: DataFrame, key: Column, replicates: range, seed: int, uniform) -> DataFrame:
+    """Every row once for each replicate in which it has a weight, with ``_b`` and ``_w``."""
+    rows = df.select("*", key.alias("_key"), F.explode(F.sequence(F.lit(replicates[0]), F.lit(replicates[-1]))).alias("_b"))
+    return rows.withColumn("_w", poisson_weight(uniform(F.col("_key"), F.col("_b"), seed))).where(F.col("_w") > 0)
+
+
+def weighted_accuracy(y: str, pred: str) -> Callable[[Column], Column]:
+    return lambda w: F.sum(w * (F.col(y) == F.col(pred)).cast("double")) / F.sum(w)
+
+
+def weighted_brier(y: str, p: str) -> Callable[[Column], Column]:
+    return lambda w: F.sum(w * (F.col(p) - F.col(y)) ** 2) / F.sum(w)
+
+
+def weighted_ece(y: str, p: str, n_bins: int = 10) -> Callable[[Column], Column]:
+    """M9: the gap of a bin weighs as much as its rows, so it is the absolute sum of
+    (correct - confidence) over its rows."""
+    gap = (F.when(F.col(p) >= 0.5, 1).otherwise(0) == F.col(y)).cast("double") - F.col(p)
+    bins = F.floor(F.col(p) * n_bins)
+    return lambda w: sum((F.abs(F.coalesce(F.sum(F.when(bins == b, w * gap)), F.lit(0.0))) for b in range(n_bins)), F.lit(0.0)) / F.sum(w)
+
+
+def replicate_values(df: DataFrame, key: Column, metrics: dict[str, Callable[[Column], Column]], n: int = 200, seed: int = 42,
+                     uniform: Callable[[Column, Column, int], Column] = hash_uniform) -> DataFrame:
+    """(replicate, metric, value): every metric, a function from a weight column to an
+    aggregate expression, under ``n`` reweightings of the rows.
+
+    One pass: a row is repeated inside its task and summed up there, ``n`` small partial rows a
+    task are shuffled."""
+    g = _reweighted(df, key, range(n), seed, uniform).groupBy(F.col("_b").alias("replicate")).agg(*[m(F.col("_w")).cast("double").alias(name) for name, m in metrics.items()])
+    return g.unpivot("replicate", list(metrics), "metric", "value")
+
+
+def ranked_replicate_values(df: DataFrame, key: Column, y: str, score: str, n: int = 200, seed: int = 42, block: int = 25,
+                            uniform: Callable[[Column, Column, int], Column] = hash_uniform) -> DataFrame:
+    """(replicate, metric, value) of AUC and average precision: weights are summed per replicate
+    and distinct score, then the prefix sums run per replicate.  ``block`` replicates at a time
+    bound what a pass shuffles."""
+    from revlens.operators.metrics import ap_of_counts, auc_of_counts
+    from revlens.session import materialize
+    rows, out = df.select(F.col(score).alias("score"), (F.col(y) == 1).alias("_y"), key.alias("_k")), None
+    for start in range(0, n, block):
+        w = _reweighted(rows, F.col("_k"), range(start, min(start + block, n)), seed, uniform)
+        cells = materialize(w.groupBy(F.col("_b").alias("replicate"), "score").agg(F.sum(F.when(F.col("_y"), F.col("_w")).otherwise(0.0)).alias("pos"),
+                                                                                  F.sum(F.when(F.col("_y"), 0.0).otherwise(F.col("_w"))).alias("neg")))
+        for values, name in ((auc_of_counts(cells, ["replicate"]), "roc_auc"), (ap_of_counts(cells, ["replicate"]), "average_precision")):
+            part = values.select("replicate", F.lit(name).alias("metric"), F.col(name).alias("value"))
+            out = part if out is None else out.unionAll(part)
+    return out
+
+
+def intervals(values: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(metric, low, high, mean) of replicate values: n values a metric, so an exact percentile."""
+    return values.groupBy("metric").agg(F.percentile("value", alpha / 2).alias("low"), F.percentile("value", 1 - alpha / 2).alias("high"), F.avg("value").alias("mean"))
+
+
+def bootstrap_rows(df: DataFrame, key_cols, metrics: dict[str, Callable[[Column], Column]], n: int = 200, alpha: float = 0.05, seed: int = 42,
+                   ranked: tuple[str, str] | None = None, block: int = 25, uniform: Callable[[Column, Column, int], Column] = hash_uniform) -> DataFrame:
+    """M13 on rows: (metric, low, high, mean) of any metric that can be written as an aggregate
+    with a weight column, and with ``ranked=(y, score)`` of AUC and average precision.
+
+    ``key_cols`` name the rows: equal keys get equal weights in every replicate."""
+    key = F.concat_ws("-", *key_cols)
+    values = replicate_values(df, key, metrics, n, seed, uniform) if metrics else None
+    if ranked:
+        more = ranked_replicate_values(df, key, *ranked, n=n, seed=seed, block=block, uniform=uniform)
+        values = more if values is None else values.unionByName(more)
+    return intervals(values, alpha)
+
+
 # --- M14 --------------------------------------------------------------------
 def friedman(scores: DataFrame, block: str = "fold", model: str = "model", score: str = "score") -> DataFrame:
     """Friedman chi-square with tie correction.  Ranks are averaged over ties
@@ -157,3 +242,47 @@ def chi2_sf(x: float, dof: float) -> float:
 def friedman_test(scores: DataFrame, block: str = "fold", model: str = "model", score: str = "score") -> dict:
     r = friedman(scores, block, model, score).first()
     return {"statistic": float(r["statistic"]), "p_value": chi2_sf(float(r["statistic"]), float(r["df"]))}
+
+
+def studentized_range_tail(q: float, k: int, steps: int = 2_000) -> float:
+    """Upper tail of the studentised range of ``k`` normal values (infinite degrees of
+    freedom): 1 - k * integral of phi(z) (Phi(z) - Phi(z - q))^(k - 1), by Simpson's rule."""
+    if q <= 0:
+        return 1.0
+    z = np.linspace(-8.5, 8.5 + q, steps + 1)
+    cdf = lambda x: 0.5 * (1 + np.array([math.erf(v / math.sqrt(2)) for v in x]))
+    f = k * np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (cdf(z) - cdf(z - q)) ** (k - 1)
+    w = np.ones(steps + 1)
+    w[1:-1:2], w[2:-1:2] = 4, 2
+    return float(min(1.0, max(0.0, 1 - (f * w).sum() * (z[1] - z[0]) / 3)))
+
+
+def studentized_range_quantile(alpha: float, k: int) -> float:
+    """``q`` with ``studentized_range_tail(q, k) == alpha``, by bisection."""
+    low, high = 0.0, 20.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if studentized_range_tail(mid, k) > alpha else (low, mid)
+    return (low + high) / 2
+
+
+def nemenyi(scores: DataFrame, block: str = "fold", model: str = "model", score: str = "score", alpha: float = 0.05) -> DataFrame:
+    """Post-hoc test after M14: (model_a, model_b, rank_diff, critical, significant, p_value) for
+    every pair of models.  Mean ranks differ if they are further apart than
+    ``q(alpha, k) / sqrt(2) * sqrt(k (k + 1) / (6 n))``.
+
+    Ranks are taken within each block (ties share their mean rank); what follows has one row
+    per model.  Blocks that lack a model make the test undefined and raise an error."""
+    w, ties = Window.partitionBy(block).orderBy(score), Window.partitionBy(block, score)
+    ranks = scores.select(block, model, (F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0).alias("r"))
+    mean = ranks.groupBy(F.col(model).alias("m")).agg(F.avg("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    rows = mean.orderBy("m").collect()
+    k, blocks = len(rows), scores.select(block).distinct().count()
+    if any(r["n"] != blocks for r in rows):
+        raise ValueError("every block needs one score of every model")
+    unit = math.sqrt(k * (k + 1) / (6.0 * blocks)) if blocks else float("nan")
+    critical = studentized_range_quantile(alpha, k) / math.sqrt(2) * unit if k > 1 else float("nan")
+    out = [(a["m"], b["m"], abs(a["r"] - b["r"]), critical, abs(a["r"] - b["r"]) > critical, studentized_range_tail(abs(a["r"] - b["r"]) / unit * math.sqrt(2), k))
+           for i, a in enumerate(rows) for b in rows[i + 1:]]
+    return scores.sparkSession.createDataFrame(out, f"model_a {scores.schema[model].dataType.simpleString()}, model_b {scores.schema[model].dataType.simpleString()}, "
+                                                    "rank_diff double, critical double, significant boolean, p_value double")

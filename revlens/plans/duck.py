@@ -136,8 +136,10 @@ def prepared_base(name: str = "base") -> str:
   WHERE rn = 1)"""
 
 
-def absa_ctes() -> str:
-    """CTEs from ``base(id, text)`` to ``absa_long(id, aspect, aspect_ord, candidates,
+def absa_ctes(fallback: str = "") -> str:
+    """``fallback``: CTEs that end in ``fb(candidate, aspect, aspect_ord)`` for strings without a seed.
+
+    CTEs from ``base(id, text)`` to ``absa_long(id, aspect, aspect_ord, candidates,
     aspect_sentiment, aspect_confidence, n_units)``, plus ``cands`` and ``mapped``."""
     return f"""
 cand_raw AS (SELECT id, unnest(cl) AS cand, unnest(generate_series(1, len(cl))) AS pos
@@ -145,8 +147,10 @@ cand_raw AS (SELECT id, unnest(cl) AS cand, unnest(generate_series(1, len(cl)))
 cand_first AS (SELECT id, cand, min(pos) AS p FROM cand_raw GROUP BY id, cand),
 cands AS (SELECT id, cand AS candidate, CAST(row_number() OVER (PARTITION BY id ORDER BY p) - 1 AS INTEGER) AS cand_pos
           FROM cand_first),
+{fallback}
 mapped AS (SELECT DISTINCT c.id, c.cand_pos, c.candidate, a.aspect, a.aspect_ord
-           FROM cands c JOIN fx_aspects a ON contains(c.candidate, a.seed)),
+           FROM cands c JOIN fx_aspects a ON contains(c.candidate, a.seed)
+           {"UNION ALL SELECT c.id, c.cand_pos, c.candidate, f.aspect, f.aspect_ord FROM cands c JOIN fb f ON f.candidate = c.candidate" if fallback else ""}),
 mapped_all AS (SELECT id, aspect, string_agg(candidate, '|' ORDER BY cand_pos) AS candidates FROM mapped GROUP BY id, aspect),
 sents AS (SELECT id, unnest(sl) AS s, unnest(generate_series(1, len(sl))) AS s_idx
           FROM (SELECT id, {sentences_list('text')} AS sl FROM base) t),

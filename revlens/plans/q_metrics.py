@@ -250,6 +250,48 @@ def q_bootstrap_ci(spark, sf):
     return r.select(r6("low").alias("low"), r6("high").alias("high"), r6("mean").alias("mean"))
 
 
+BOOTSTRAP_REPLICATES = 40
+_CDF = "[" + ", ".join(repr(p) for p in S._POISSON) + "]"
+
+
+def md5_uniform(key, replicate, seed):
+    """Uniform number that SQL can repeat; the library's default hash is cheaper."""
+    h = F.md5(F.concat_ws("-", key, replicate.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+@query("bootstrap_rows", views=("predictions",), oracle=f"""
+WITH u AS (SELECT b, y_true, p_a, pred_a, ('0x' || substr(md5(concat_ws('-', id, b, 42)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+           FROM predictions, (SELECT range AS b FROM range({BOOTSTRAP_REPLICATES})) r),
+w AS (SELECT *, len(list_filter({_CDF}, lambda p: p <= u))::DOUBLE AS w FROM u),
+t AS (SELECT b, sum(w) AS t, sum(w * (y_true = pred_a)::INT) / sum(w) AS accuracy, sum(w * (p_a - y_true) * (p_a - y_true)) / sum(w) AS brier FROM w GROUP BY b),
+e AS (SELECT b, sum(abs(g)) AS g FROM (SELECT b, floor(p_a * 10) AS bin, sum(w * (((p_a >= 0.5)::INT = y_true)::INT - p_a)) AS g FROM w
+      WHERE floor(p_a * 10) BETWEEN 0 AND 9 GROUP BY ALL) x GROUP BY b),
+c AS (SELECT b, p_a AS s, sum(w * y_true) AS pos, sum(w * (1 - y_true)) AS neg FROM w GROUP BY ALL),
+k AS (SELECT *, sum(pos) OVER (PARTITION BY b) AS pp, sum(neg) OVER (PARTITION BY b) AS nn,
+             coalesce(sum(pos) OVER x, 0) AS pb, coalesce(sum(neg) OVER x, 0) AS nb FROM c
+      WINDOW x AS (PARTITION BY b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT 'accuracy' AS metric, accuracy AS value FROM t UNION ALL SELECT 'brier', brier FROM t
+      UNION ALL SELECT 'ece', g / t FROM e JOIN t USING (b)
+      UNION ALL SELECT 'roc_auc', sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg)) FROM k GROUP BY b
+      UNION ALL SELECT 'average_precision', sum(CASE WHEN pos > 0 THEN pos * (pp - pb) / (pp - pb + nn - nb) ELSE 0 END) / sum(pos) FROM k GROUP BY b)
+SELECT metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(avg(value), 6) AS mean FROM v GROUP BY metric
+""")
+def q_bootstrap_rows(spark, sf):
+    """M13 on rows: intervals of accuracy, Brier score, ECE, AUC and average precision."""
+    p = tables.predictions(spark, sf).select("id", "y_true", "p_a", "pred_a")
+    r = S.bootstrap_rows(p, ["id"], {"accuracy": S.weighted_accuracy("y_true", "pred_a"), "brier": S.weighted_brier("y_true", "p_a"), "ece": S.weighted_ece("y_true", "p_a")},
+                         n=BOOTSTRAP_REPLICATES, ranked=("y_true", "p_a"), block=20, uniform=md5_uniform)
+    return r.select("metric", *[r6(c).alias(c) for c in ("low", "high", "mean")])
+
+
+@query("nemenyi", oracle=None)
+def q_nemenyi(spark, sf):
+    """Post-hoc pairs after M14 (pytest checks the quantiles against the published table)."""
+    n = S.nemenyi(tables.fold_scores(spark, sf))
+    return n.select("model_a", "model_b", *[r6(c).alias(c) for c in ("rank_diff", "critical", "p_value")], "significant")
+
+
 # --- report views over the scored reviews --------------------------------------
 _SC = D.lexicon_ctes("sc", "base", ["id"], D.txt("text"))
 _REV_VIEWS = ("reviews", "fx_sentiment", "fx_booster")

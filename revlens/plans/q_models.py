@@ -168,6 +168,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr_id) AS
 SELECT vec_id, nbr_id, round(dist, 6) AS dist FROM r WHERE rn = 1
 """)
 def q_nearest_unlike_neighbor(spark, sf):
+    n = N.nearest_unlike_neighbor(tables.embeddings(spark, sf), "label", method="exact")
+    return n.select("vec_id", "nbr_id", r6("dist").alias("dist"))
+
+
+@query("smote_neighbors_lsh", oracle=None)
+def q_smote_neighbors_lsh(spark, sf):
+    """J5 by hashing: the neighbours found (pytest measures the recall against the exact query)."""
+    m = tables.minority(spark, sf).where(F.col("y") == 1).select("vec_id", "embedding")
+    return N.lsh_knn(m, m, 5).select("vec_id", "nbr_id", r6("dist").alias("dist"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("nearest_unlike_neighbor_lsh", oracle=None)
+def q_nearest_unlike_neighbor_lsh(spark, sf):
+    """J6 by hashing (pytest measures the recall against the exact query)."""
     n = N.nearest_unlike_neighbor(tables.embeddings(spark, sf), "label")
     return n.select("vec_id", "nbr_id", r6("dist").alias("dist"))
 
@@ -187,7 +201,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cid) AS rn
 SELECT vec_id, cid AS counterfactual_id, round(dist, 6) AS dist, n_changed FROM r WHERE rn = 1
 """)
 def q_counterfactual(spark, sf):
-    c = N.counterfactual(_scored_embeddings(spark, sf), "p_target")
+    c = N.counterfactual(_scored_embeddings(spark, sf), "p_target", method="exact")
     return c.select("vec_id", "counterfactual_id", r6("dist").alias("dist"),
                     F.col("n_changed").cast("bigint").alias("n_changed"))
 
@@ -259,12 +273,52 @@ def q_platt_calibration(spark, sf):
     return p.join(sp.where("is_test").select("vec_id", F.col("y").alias("y_true")), "vec_id")
 
 
+def behavior_features(spark, sf):
+    """F12 features and aspect scores per review, with the proxy label (P2) as target; the two
+    features made from the rating, as the label is, are left out."""
+    from revlens.functions import text as T
+    from revlens.operators import absa as A
+    from revlens.operators import features as FE
+    from revlens.operators.lexicon import LexiconScorer
+    from revlens.plans.q_absa import ASPECT_NAMES, prepared_once
+    from revlens.sources.lexicons import FX_ASPECTS, FX_STOP
+    p = prepared_once(spark, sf).where(T.to_number("rating").isNotNull())
+    scorer = LexiconScorer.fixture(spark)
+    wide = A.aspect_wide(p, A.absa_extract(p, FX_ASPECTS, FX_STOP, scorer), ASPECT_NAMES)
+    x = FE.feature_table(p, scorer).drop("rating", "rating_sentiment_discordance").join(wide, "review_id")
+    return x.join(p.select("review_id", T.proxy_label("rating").alias("recommends")), "review_id")
+
+
 @query("behavior_model", oracle=None)
 def q_behavior_model(spark, sf):
-    """ML9: split -> (SMOTE -> forest -> sigmoid) x 3 folds -> report on held-out rows."""
-    p = q_platt_calibration(spark, sf)
-    pred = p.select("y_true", (F.col("p_calibrated") >= 0.5).cast("int").alias("y_pred"))
-    return M.classification_report(pred)
+    """ML9 on the engineered features: split -> (SMOTE -> forest -> sigmoid) x 3 folds -> report
+    on held-out rows."""
+    x = behavior_features(spark, sf)
+    report, _ = ML.behavior_model(x, [c for c in x.columns if c not in ("review_id", "recommends")], "recommends", "review_id")
+    return report
+
+
+@query("forest_shapley", oracle=None)
+def q_forest_shapley(spark, sf):
+    """X3 for a fitted forest: Shapley values of every row (pytest: they add up to the
+    probability and equal brute force)."""
+    from revlens.operators.tree_shap import forest_shap
+    d = _vec_data(spark, sf)
+    forest = ML.random_forest(d, "features", "y", num_trees=20, max_depth=6)
+    values, _ = forest_shap(forest, d, "vec_id")
+    return values.select("vec_id", "feature", r6("shapley").alias("shapley"))
+
+
+@query("temporal_split", views=("reviews",), oracle="""
+WITH r AS (SELECT review_id, floor(ts_epoch / 86400) AS day FROM reviews),
+o AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM r),
+c AS (SELECT min(day) AS cut FROM o WHERE k > n - floor(0.2 * n + 0.5))
+SELECT review_id, CAST(day AS BIGINT) AS day, day >= cut AS is_test FROM r, c
+""")
+def q_temporal_split(spark, sf):
+    """Split by day: the newest fifth of the reviews, days kept whole."""
+    r = tables.reviews(spark, sf).select("review_id", F.floor(F.col("ts_epoch") / 86400).alias("day"))
+    return ML.temporal_split(r, "day", 0.2)
 
 
 @query("stacking", oracle=None)
@@ -281,11 +335,14 @@ def q_stacking(spark, sf):
 
 @query("predict_sentiment_model", oracle=None)
 def q_predict_sentiment_model(spark, sf):
-    """A1(b): the TF-IDF + logistic regression model as the sentiment scorer (through the
-    U1 interface), trained on the labelled split and applied to every document."""
+    """A1(b): TF-IDF + logistic regression as the sentiment scorer (through the U1 interface),
+    trained on the proxy label (P2) of the training part of the rated reviews and applied to
+    all other reviews."""
+    from revlens.functions import text as T
     from revlens.operators.lexicon import ModelScorer, predict_sentiment
-    d = labelled_docs(spark, sf)
-    sp = ML.stratified_split(d, "doc_id", "toxic", 0.2, 42)
-    model = ML.tfidf_classifier(sp.where(~F.col("is_test")), "toxic", "review_text", kind="logreg")
-    docs = tables.documents(spark, sf).select(F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"))
-    return predict_sentiment(docs, ModelScorer(model, labels=("POSITIVE", "NEGATIVE")))
+    r = tables.reviews(spark, sf).select("review_id", "review_text", "rating")
+    rated = r.where(T.to_number("rating").isNotNull()).select("review_id", "review_text", T.proxy_label("rating").alias("recommends"))
+    train = ML.stratified_split(rated, "review_id", "recommends", 0.2, 42).where(~F.col("is_test"))
+    model = ML.tfidf_classifier(train, "recommends", "review_text", kind="logreg")
+    rest = r.join(train.select("review_id"), "review_id", "left_anti")
+    return predict_sentiment(rest, ModelScorer(model, labels=("NEGATIVE", "POSITIVE")))

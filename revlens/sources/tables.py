@@ -141,6 +141,15 @@ def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def candidate_vectors(terms: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Stand-in for an embedder's output: (candidate, embedding), a vector of the table for
+    every string."""
+    n = vectors.count()
+    key = F.pmod(F.conv(F.substring(F.md5("candidate"), 1, 6), 16, 10).cast("bigint"), F.lit(n))
+    v = vectors.select(F.col("vec_id").alias("_v"), "embedding")
+    return terms.select("candidate", key.alias("_v")).join(v, "_v").select("candidate", "embedding")
+
+
 def minority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings with a binary target: y = 1 where label = 0."""
     return embeddings(spark, sf_dir).select(

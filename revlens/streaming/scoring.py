@@ -45,9 +45,10 @@ def score_stream(spark: SparkSession, src: str, schema: StructType, out: str, ch
 
 
 def dedup_stream(spark: SparkSession, src: str, schema: StructType, out: str, checkpoint: str, text_col: str,
-                 ts_expr, watermark: str = "3650 days") -> None:
+                 ts_expr, watermark: str = "7 days") -> None:
     """L2: first occurrence per normalised text within the watermark
-    (``dropDuplicatesWithinWatermark`` on the text hash); append to Parquet."""
+    (``dropDuplicatesWithinWatermark`` on the text hash); append to Parquet.  State holds the
+    keys of the watermark only: a text that comes again later counts as new."""
     s = _stream(spark, src, schema).select("*", ts_expr.alias("_ts"),
                                            F.sha2(normalized_text(text_col), 256).alias("text_key"))
     d = s.withWatermark("_ts", watermark).dropDuplicatesWithinWatermark(["text_key"])
