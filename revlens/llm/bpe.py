@@ -19,9 +19,9 @@ import codecs
 import hashlib
 import heapq
 import json
-from array import array
+import os
+import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,9 @@ RUNS = {"letters": r"\p{L}+", "numbers": r"\p{N}+", "others": r"[^\s\p{L}\p{N}]+
 CHUNK = 1 << 16          # characters read at once
 HOLD = 3                 # characters the split pattern may look ahead
 LONG_PIECE = 1 << 15     # a held piece of this length is streamed
-KEPT_PIECES = 120_000    # bound of the cache of encoded pieces, which ends with the task
+KEPT_PIECES = 300_000    # encoded pieces of a generation of the cache; two are held
 KEPT_LENGTH = 48
+SHORT_PIECE = 256        # bytes of a piece that is merged at once
 MOST_SPEC_BYTES = 64 << 20
 
 
@@ -101,20 +102,30 @@ class Vocabulary:
         self.lookahead = sufficient_lookahead([(raw[a], raw[b]) for a, b in pairs])
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Cache(dict):
-    """Piece -> token ids; bounded, cleared when full."""
+    """Piece -> packed token ids.  Bounded: when a generation is full it becomes the old one,
+    from which pieces that are met again come back, and the old one before it goes."""
 
     def __init__(self, encoder: "Encoder"):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
-    def __missing__(self, piece: str):
-        ids = tuple(self.encoder.encode_bytes(piece.encode("utf-8", "surrogatepass")))
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.old.get(piece)
+        if packed is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            packed = pack(self.encoder.merge(data) if len(data) <= SHORT_PIECE else list(self.encoder.encode_bytes(data)))
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT_PIECES:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[piece] = packed
+        return packed
 
 
 class Encoder:
@@ -124,6 +135,7 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         self.runs = {k: regex.compile(p) for k, p in RUNS.items()}
         self.cache = _Cache(self)
+        self.mark = os.path.commonprefix(list(vocabulary.added))       # every added token begins with it
         self.special = regex.compile("|".join(
             regex.escape(t) for t in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
 
@@ -172,19 +184,23 @@ class Encoder:
 
     def stream(self, text: str) -> Iterator[Iterable[int]]:
         """Token ids of a text, given out as they become stable."""
-        if self.special is None:
+        for packed in self.packed(text):
+            yield (i for i, in struct.iter_unpack("<I", packed))
+
+    def packed(self, text: str) -> Iterator[bytes]:
+        """The same as packed ids."""
+        if self.special is None or self.mark not in text:
             yield from self._plain(text)
             return
         at = 0
         for m in self.special.finditer(text):
             yield from self._plain(text[at:m.start()])
-            yield (self.v.added[m[0]],)
+            yield pack([self.v.added[m[0]]])
             at = m.end()
         yield from self._plain(text[at:] if at else text)
 
-    def _plain(self, text: str) -> Iterator[Iterable[int]]:
+    def _plain(self, text: str) -> Iterator[bytes]:
         carry, run, kind, at = "", None, "", 0
-        flat = chain.from_iterable
         while at < len(text) or carry:
             chunk = carry + text[at:at + CHUNK]
             at += CHUNK
@@ -195,12 +211,12 @@ class Encoder:
                 end = m.end() if m else 0
                 if end == len(chunk) and not last:
                     end -= kind == "spaces"          # its last space may belong to the next piece
-                    yield run.feed(chunk[:end].encode("utf-8", "surrogatepass"))
+                    yield pack(run.feed(chunk[:end].encode("utf-8", "surrogatepass")))
                     carry = chunk[end:]
                     continue
                 end -= kind == "spaces" and end > 0 and end < len(chunk)
-                yield run.feed(chunk[:end].encode("utf-8", "surrogatepass"))
-                yield run.close()
+                yield pack(run.feed(chunk[:end].encode("utf-8", "surrogatepass")))
+                yield pack(run.close())
                 run, chunk = None, chunk[end:]
             pieces = self.split(chunk)
             if not last:
@@ -216,9 +232,9 @@ class Encoder:
                         kind = next(k for k, p in self.runs.items() if p.fullmatch(carry[-1]))
                         end = len(carry) - (kind == "spaces")
                         run = Run(self)
-                        yield run.feed(carry[:end].encode("utf-8", "surrogatepass"))
+                        yield pack(run.feed(carry[:end].encode("utf-8", "surrogatepass")))
                         carry = carry[end:]
-            yield flat(map(self.cache.__getitem__, pieces))
+            yield b"".join(map(self.cache.__getitem__, pieces))
 
 
 class Run:
@@ -297,14 +313,8 @@ def _with(df: DataFrame, new: list[StructField]) -> StructType:
 
 
 def _encode_batch(encoder: Encoder, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-    counts, packed = [], []
-    for text in texts:
-        ids = array("I")
-        for some in encoder.stream(text.as_py() or ""):
-            ids.extend(some)
-        counts.append(len(ids))
-        packed.append(np.frombuffer(ids, np.uint32).astype("<u4", copy=False).tobytes() if ids else b"")
-    return pa.array(counts, pa.int64()), pa.array(packed, pa.binary())
+    packed = [b"".join(encoder.packed(text.as_py() or "")) for text in texts]
+    return pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())
 
 
 def _decode_batch(vocabulary: Vocabulary, ids: pa.Array, step: int = 8192) -> pa.Array:
@@ -329,7 +339,6 @@ def _map(df: DataFrame, path: str, new: list[StructField], run) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield _replace(part, names, run(encoder, part))
-        encoder.cache.clear()
 
     return df.mapInArrow(work, schema)
 
