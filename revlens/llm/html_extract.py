@@ -54,6 +54,9 @@ DROP_WORDS = frozenset(
     "discussion disqus replies respond share sharing social related recommended recommendations teaser teasers pagination pager widget widgets "
     "toolbar skip skiplink search form feedback copyright legal disclaimer hidden".split())
 HEAD_WORDS = frozenset("header masthead banner topbar".split())
+# parts of a class name that say nothing of its own: "comment-list" is comments, "legal-history" is not legal
+PLAIN_WORDS = frozenset("list box section container area wrapper wrap block bar unit slot inner outer content link links button buttons item items group panel "
+                        "row col left right top bottom main site page post article js el".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))|(?<![^\s\"'])(hidden)(?=[\s/]|$)", re.S)
@@ -61,21 +64,26 @@ _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
-def _attributes(raw: str) -> tuple[frozenset[str], str, bool, bool]:
-    """(words of class and id, role, hidden, marks an article body)."""
-    words, role, hidden, body = set(), "", False, False
+def _attributes(raw: str) -> tuple[frozenset[str], frozenset[str], str, bool, bool]:
+    """(words of class and id, those of names that hold no word of their own besides
+    ``DROP_WORDS``, role, hidden, marks an article body)."""
+    words, plain, role, hidden, body = set(), set(), "", False, False
     for m in _ATTRIBUTE.finditer(raw):
         name = (m[1] or m[5]).lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words.update(w.lower() for w in _NAME_PART.findall(value))
+            for one in value.split():
+                parts = {w.lower() for w in _NAME_PART.findall(one)}
+                words |= parts
+                if all(w in DROP_WORDS or w in PLAIN_WORDS or w.isdigit() for w in parts):
+                    plain |= parts
         elif name == "role":
             role = value.strip().lower()
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
         elif name == "itemprop" and value.lower() == "articlebody":
             body = True
-    return frozenset(words), role, hidden, body
+    return frozenset(words), frozenset(plain), role, hidden, body
 
 
 class Page:
@@ -158,13 +166,14 @@ class Page:
                 if k and stack[k][0] in ends:
                     pop_to(k)
             _, path, dropped, region = stack[-1]
-            words, role, hidden, body = _attributes(raw) if raw and not raw.isspace() else (frozenset(), "", False, False)
+            words, plain, role, hidden, body = _attributes(raw) if raw and not raw.isspace() else (frozenset(), frozenset(), "", False, False)
             here = xxhash.xxh64_intdigest(f"{path} {tag} {' '.join(sorted(words))}") >> 1
             self.paths[here] = self.paths.get(here, 0) + 1
             self.parent[here] = path
             self.within[here] = max(region, self.within.get(here, 0))
             if not dropped:
-                dropped = self._drops(tag, words, role, hidden, region)
+                # within the article a name must say it outright
+                dropped = self._drops(tag, plain if region else words, role, hidden, region)
                 if not dropped:
                     if tag == "article" or role == "article" or body:
                         region = 2
