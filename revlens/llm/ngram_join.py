@@ -263,7 +263,7 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, bound:
         cross = side[:, None] != side[None, :]
         live = np.triu(cross, 1)
     count = np.zeros((m, m), np.float32)
-    live &= np.minimum(left[:, None], left[None, :]) >= need
+    live &= (np.minimum(left[:, None], left[None, :]) >= need) & (need > 0)      # empty sets need nothing and share nothing
     at = 0
     while at < len(row) and live.any():
         first = column[at]
@@ -343,7 +343,9 @@ def _multiply(rows: DataFrame, head_of: DataFrame, group: DataFrame, width: int,
         for batch in released(batches):
             at = batch.schema.get_field_index("text")
             blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "block", "parts", "c")), pa.array(blobs, pa.binary())],
+            # another text of a document that is here may be empty: it is linked with nothing
+            full = pa.array([k for k, b in enumerate(blobs) if b], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(full) for c in ("doc_id", "block", "parts", "c")), pa.array([b for b in blobs if b], pa.binary())],
                                              names=["doc_id", "block", "parts", "c", "found"])
 
     some = rows.join(small_side(ids, ids.count(), MOST_BROADCAST_IDS), "doc_id").select("doc_id", "block", "parts", "c", "text")
