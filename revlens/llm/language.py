@@ -8,10 +8,10 @@ decides whether the answer is trusted (``rejected``).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 from revlens.llm.common import released, text_batches
 
 UND = "und"
-TRAIN_DOCS = 400           # documented bound: texts sampled for each language
-TRAIN_CHARS = 2_000        # and characters taken from each of them for its dictionary
-DICT_BYTES = 110_000       # size of a dictionary
+TRAIN_DOCS = 64            # documented bound: rows sampled for each language, whole texts
+TRAIN_CHARS = 6_000        # texts up to this length are sampled first
 WINDOW = 800               # characters compressed at once
 LEVEL = 6                  # lower levels pass over the short matches that tell close languages apart
 MOST_LANGUAGES = 1_000
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def normalize(text: str) -> str:
@@ -37,19 +36,20 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
           train_docs: int = TRAIN_DOCS) -> dict[str, bytes]:
     """``{language: dictionary}`` from rows with a language and a text.
 
-    At most ``train_docs`` texts of each language, in the order of a hash of
-    ``order_col`` and the text, so the sample is bounded and the same on every run; the
-    sample alone reaches the driver.  Null languages or texts are left out.
+    At most ``train_docs`` rows of each language, those of up to ``TRAIN_CHARS`` characters
+    first, in the order of a hash of ``order_col`` and the length, so the sample is bounded
+    and the same on every run; the sample alone reaches the driver.  The dictionary is made
+    of the whole texts sampled.  Null languages or texts are left out.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"),
         F.xxhash64(F.col(order_col).cast("string"), F.length(text_col)).alias("k"),
-        F.substring(text_col, 1, TRAIN_CHARS).alias("t"))
+        (F.length(text_col) > TRAIN_CHARS).cast("int").alias("long"), F.col(text_col).cast("string").alias("t"))
     picked = _first_k(rows, train_docs)
     out: dict[str, bytes] = {}
     for r in picked.limit(MOST_LANGUAGES + 1).collect():
         texts = [normalize(x["t"]) for x in r["s"]]
-        data = " ".join(t for t in texts if t).encode()[-DICT_BYTES:]
+        data = " ".join(t for t in texts if t).encode("utf-8", "surrogatepass")
         if data:
             out[r["lang"]] = data
     if len(out) > MOST_LANGUAGES:
@@ -61,7 +61,7 @@ def _first_k(rows: DataFrame, k: int) -> DataFrame:
     """Rows of the k smallest keys of each language: every input partition keeps k at
     most (window group limit) before the shuffle."""
     from pyspark.sql.window import Window
-    w = Window.partitionBy("lang").orderBy("k", "t")
+    w = Window.partitionBy("lang").orderBy("long", "k", "t")
     return (rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
             .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "t"))).alias("s")))
 
