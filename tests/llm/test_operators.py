@@ -125,6 +125,13 @@ def test_html_main_text():
     assert html_extract.Page("<div>" * 3000 + "deep").main_text() == "deep"
 
 
+def test_html_class_names_do_not_take_the_article():
+    """Names that merely contain a word of the list keep their text; outright ones go."""
+    page = html_extract.Page("""<article><h1>Title</h1><div class="legal-history"><p>One.</p></div><section id="search-algorithms">Two.</section>
+        <p class="hidden-gem">Three.</p><div class="comment-list">No.</div><div class="related">No.</div><div id="sidebarLeft">No.</div><p class="lead share-price">Four.</p></article>""")
+    assert page.main_text() == "Title\n\nOne.\n\nTwo.\n\nThree.\n\nFour."
+
+
 def test_html_template_is_deduced(spark):
     rows = [(k, f"http://h.example/{k}", f"<body><div>Same words everywhere</div><div><p>Own text {k}</p></div></body>") for k in range(20)]
     rows += [(99, None, None), (100, "http://other.example/", "<div>Same words everywhere</div>"), (100, "http://other.example/", "<div>Same words everywhere</div>")]
@@ -276,6 +283,17 @@ def test_jaccard_tiles_agree_with_one_tile(spark, monkeypatch):
     assert got == brute_groups(rows, 3, 90, 100)
 
 
+def test_jaccard_empty_texts_of_repeated_ids_link_nothing(spark):
+    """Jaccard 0.859 apart, each with a null or empty row of the same id."""
+    one = [f"a{k}" for k in range(160)]
+    two = one[:148] + [f"b{k}" for k in range(12)]
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (1, None), (2, None), (1, ""), (2, " \n")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {(1, 158, 1), (2, 158, 2), (1, 0, 1), (2, 0, 2)}
+    sets = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.arange(5, dtype=np.uint64)]
+    assert ngram_join.tile_links(np.array([1, 2, 3]), sets, np.zeros(3, int), ngram_join.Bound(80, 100)) == []
+
+
 def test_jaccard_edges(odd, none):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(odd, 3, 90, 100).collect()), key=str)
     assert len(got) == 10
@@ -401,3 +419,16 @@ def test_line_spread_near_threshold_is_exact(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(docs, min_sites=10).collect()}
     assert got[0].startswith("nine\nten") and got[4] == "nine\nline 4" and got[9] == "line 9"
+
+
+# ---------------------------------------------------------------- 6 language, more cases
+
+def test_language_needs_letters_and_whole_texts(spark):
+    de, fr = "der hund und die katze gehen nach hause weil es regnet ", "le chien et le chat rentrent car il pleut dehors "
+    known = language.train(spark.createDataFrame([(k, de * 40 if k % 2 else fr * 40, "de" if k % 2 else "fr") for k in range(20)], "doc_id long, text string, lang string"))
+    assert all(len(d) == 10 * 40 * len(s.encode()) - 1 for d, s in ((known["de"], de), (known["fr"], fr)))       # nothing is cut off
+    texts = ["\u00bd \u00b2 \u2460 12", "___", "", None, de, fr]
+    got = [r["x"] for r in spark.createDataFrame(list(enumerate(texts)), "k long, text string").orderBy("k").select(language.identify(spark.createDataFrame([], "k long, text string"), known).alias("x")).collect()]
+    assert [g["lang"] for g in got] == ["und"] * 4 + ["de", "fr"] and [g["rejected"] for g in got[:4]] == [True] * 4
+    alone = language.train(spark.createDataFrame([(1, de * 400, "de")], "doc_id long, text string, lang string"))
+    assert language.Model(alone).predict("xyz")[0] == "de"           # one language only; its one text is long
