@@ -1,11 +1,11 @@
 """Cross-site line deduplication by distinct-site spread, in SQL expressions.
 
-Distinct sites and distinct texts of every line hash are estimated with HyperLogLog
-sketches, built in the tasks and merged by the aggregation; lines whose estimate lies near
-the threshold are counted exactly.  A line of at least ``min_sites`` sites *and* as many
-different texts is boilerplate: it goes from every document but the first that has it
-(smallest id).  Copies of one text count as one text, so copying a document does not make
-its lines boilerplate.
+Distinct sites of every line hash are estimated with HyperLogLog sketches, built in the
+tasks and merged by the aggregation; lines whose estimate lies near the threshold are
+counted exactly.  A line of at least ``min_sites`` sites is boilerplate: it stays in its
+first document (smallest id) and in exact copies of that text, and goes from all others.
+Equal texts are thus treated alike: a page that is copied as a whole to many sites keeps its
+lines, and is left to the removal of copies.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from revlens.llm.common import cut
 
-MIN_SITES = 10
+MOST_SITES = 10               # this many sites are enough in any corpus;
+LEAST_SITES = 2               # below that, half of the sites, but never a single one
 LG_K = 12                     # sketch of 2^12 registers: standard error 1.6 %
 NEAR = 0.15                   # estimates this close to the threshold are checked exactly
+HOT_SHARE = 10_000            # a line that holds this part of all rows is joined by broadcast
 
 
 def _lines(text: Column) -> Column:
@@ -32,45 +34,57 @@ def _blank(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r")) == ""
 
 
-def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """``(line, first_id)`` of the boilerplate lines, and the occurrences ``(line, site,
-    body, id)`` they come from (hashes; one row for each document and line)."""
+def _with_lines(seen: DataFrame, lines: DataFrame, total: int) -> DataFrame:
+    """``seen`` joined with ``lines`` (which carry their count ``n`` in it).  A line with one
+    of ``HOT_SHARE`` parts of all rows or more, of which there are ``HOT_SHARE`` at most, is
+    broadcast; the shuffle joins the others, none of which holds more than that part."""
+    hot = lines.where(F.col("n") * HOT_SHARE >= total)
+    rest = seen.join(F.broadcast(hot.select("line")), "line", "left_anti").join(lines.where(F.col("n") * HOT_SHARE < total), "line")
+    return seen.join(F.broadcast(hot), "line").select(*rest.columns).unionAll(rest)
+
+
+def spread_lines(docs: DataFrame, min_sites: int | None = None, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """``(line, first_id, n)`` of the boilerplate lines with their number of occurrences, and
+    the occurrences ``(line, site, body, id)`` they come from (hashes; one row for each
+    document and line).  Without ``min_sites`` it is half of the sites that have lines,
+    between ``LEAST_SITES`` and ``MOST_SITES``."""
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("t")), lambda x: ~_blank(x)), _key))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(site_col).cast("string").alias("s"), F.col(text_col).cast("string").alias("t"))
     seen = cut(rows.where("t IS NOT NULL").select(
         F.when(F.col("s").isNotNull(), F.xxhash64("s")).alias("site"), F.xxhash64("t").alias("body"), "id", F.explode(keys).alias("line")), "lines")
-    # a line of one site or one text cannot spread: most lines end here, in a plain hash aggregate
-    some = (seen.groupBy("line").agg(F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("body").alias("b0"), F.max("body").alias("b1"),
-                                     F.count("*").alias("n"), F.min("id").alias("first_id"))
-            .where((F.col("s0") != F.col("s1")) & (F.col("b0") != F.col("b1")) & (F.col("n") >= min_sites)).select("line", "first_id"))
-    held = cut(seen.join(some, "line").select("line", "first_id", "site", "body"), "lines-some")
-    sketched = cut(held.groupBy("line", "first_id").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("body", LG_K)).alias("bodies")), "lines-sketched")
+    total = seen.count()
+    if min_sites is None:
+        half = (seen.where("site IS NOT NULL").select("site").distinct().count() + 1) // 2
+        min_sites = min(MOST_SITES, max(LEAST_SITES, half))
+    # a line of one site cannot spread: most lines end here, in a plain hash aggregate
+    some = cut(seen.groupBy("line").agg(F.min("site").alias("s0"), F.max("site").alias("s1"), F.count("*").alias("n"), F.min("id").alias("first_id"))
+               .where((F.lit(min_sites <= 1) | (F.col("s0") != F.col("s1"))) & (F.col("n") >= min_sites)).select("line", "first_id", "n"), "lines-some")
+    held = cut(_with_lines(seen.select("line", "site"), some, total).where("site IS NOT NULL"), "lines-held")
+    keep = ["line", "first_id", "n"]
+    sketched = cut(held.groupBy(*keep).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")), "lines-sketched")
     low, high = min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR) + 1
-    least = F.least("sites", "bodies")
-    sure = sketched.where(least > high).select("line", "first_id")
-    near = sketched.where((least >= low) & (least <= high)).select("line", "first_id")
-    checked = held.join(near.select("line"), "line", "left_semi")
-    exact = [checked.where(F.col(c).isNotNull()).select("line", "first_id", c).distinct().groupBy("line", "first_id").agg(F.count("*").alias("k"))
-             .where(F.col("k") >= min_sites).select("line", "first_id") for c in ("site", "body")]
-    both = exact[0].join(exact[1].select("line"), "line", "left_semi")
-    return cut(sure.unionAll(both), "lines-spread"), seen
+    sure = sketched.where(F.col("sites") > high).select(*keep)
+    near = sketched.where((F.col("sites") >= low) & (F.col("sites") <= high)).select("line")
+    exact = (held.join(near, "line", "left_semi").distinct().groupBy(*keep).agg(F.count("*").alias("k"))
+             .where(F.col("k") >= min_sites).select(*keep))
+    return cut(sure.unionAll(exact), "lines-spread"), seen
 
 
-def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
+def remove_lines(docs: DataFrame, min_sites: int | None = None, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
                  removed_col: str | None = "n_removed") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text`` and, if ``removed_col`` is
     given, their number.
 
     Lines are cut at line feeds and compared without blanks, tabs and carriage returns
     around them; blank lines stay.  Null sites do not count as a site, null texts stay
-    null, null ids are never the first of a line.  All rows stay, a text may become empty;
-    repeated rows of one id and text are treated alike.  Other columns pass unchanged (a
-    column named like ``removed_col`` is replaced).
+    null, null ids are never the first of a line (with null ids alone a line has no first and
+    goes).  All rows stay, a text may become empty; rows of one text are treated alike.  Other
+    columns pass unchanged (a column named like ``removed_col`` is replaced).
     """
     lines, seen = spread_lines(docs, min_sites, id_col, text_col, site_col)
-    hits = (seen.join(lines, "line").where(F.col("id").isNull() | (F.col("id") != F.col("first_id")))
+    found = cut(_with_lines(seen.select("line", "id", "body"), lines, seen.count()).select("line", "id", "body", "first_id"), "lines-found")
+    first = found.where(F.col("id") == F.col("first_id")).select("line", "body").distinct()
+    hits = (found.join(first, ["line", "body"], "left_anti")
             .groupBy("id", "body").agg(F.collect_set("line").alias("llm_gone"))
             .select(F.col("id").alias("llm_id"), F.col("body").alias("llm_body"), "llm_gone"))
     text = F.col(text_col).cast("string")
@@ -84,13 +98,16 @@ def remove_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc
     return joined.select(*(v.alias(k) for k, v in new.items()))
 
 
-def oracle(table: str = "documents", min_sites: int = MIN_SITES) -> str:
+def oracle(table: str = "documents") -> str:
     return f"""
 WITH lines AS (SELECT doc_id, source, text, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM {table}),
+bound AS (SELECT least({MOST_SITES}, greatest({LEAST_SITES}, (count(DISTINCT source) + 1) // 2)) AS k FROM lines WHERE line <> ''),
 spread AS (SELECT line, min(doc_id) AS first_id FROM lines WHERE line <> '' GROUP BY line
-           HAVING count(DISTINCT source) >= {min_sites} AND count(DISTINCT text) >= {min_sites}),
-parts AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS raw FROM {table}),
-marked AS (SELECT p.doc_id, p.pos, p.raw, s.line IS NOT NULL AND s.first_id <> p.doc_id AS gone
-           FROM parts p LEFT JOIN spread s ON s.line = trim(p.raw, ' ' || chr(9) || chr(13)))
+           HAVING count(DISTINCT source) >= (SELECT k FROM bound)),
+firsts AS (SELECT DISTINCT l.line, l.text FROM lines l JOIN spread s ON s.line = l.line AND s.first_id = l.doc_id),
+parts AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS raw FROM {table}),
+marked AS (SELECT p.doc_id, p.pos, p.raw, s.line IS NOT NULL AND f.line IS NULL AS gone
+           FROM parts p LEFT JOIN spread s ON s.line = trim(p.raw, ' ' || chr(9) || chr(13))
+           LEFT JOIN firsts f ON f.line = s.line AND f.text = p.text)
 SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_removed
 FROM marked GROUP BY doc_id"""

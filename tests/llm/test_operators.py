@@ -421,6 +421,33 @@ def test_line_spread_near_threshold_is_exact(spark):
     assert got[0].startswith("nine\nten") and got[4] == "nine\nline 4" and got[9] == "line 9"
 
 
+def brute_lines(rows, most=10, least=2):
+    def keys(t):
+        return {x.strip(" \t\r") for x in t.split("\n")} - {""}
+    have = [r for r in rows if r[1] is not None]
+    bound = min(most, max(least, (len({s for _, t, s in have if s and keys(t)}) + 1) // 2))
+    sites, ids = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t, s in have:
+        for x in keys(t):
+            sites[x] |= {s} - {None}
+            ids[x] |= {i} - {None}
+    gone = {x for x in sites if len(sites[x]) >= bound}
+    first = {(x, t) for i, t, _ in have for x in keys(t) & gone if ids[x] and i == min(ids[x])}
+    return sorted([(str(i), t and "\n".join(x for x in t.split("\n") if (y := x.strip(" \t\r")) not in gone or (y, t) in first)) for i, t, _ in rows], key=str)
+
+
+@pytest.mark.parametrize("sites", [1, 2, 3, 5, 30])
+def test_line_dedup_against_brute_force(spark, monkeypatch, sites):
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 20)            # both ways of the join
+    rnd = random.Random(sites)
+    pool = ["menu"] * 40 + [f"line {k}" for k in range(60)] + [" \t", ""]
+    texts = ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 6))) for _ in range(80)] + [None]
+    rows = [(rnd.choice([None, k, k, k, k // 2]), rnd.choice(texts), rnd.choice([None] + [f"s{j}" for j in range(sites)] * 3)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted([(str(r["doc_id"]), r["text"]) for r in line_dedup.remove_lines(docs).collect()], key=str)
+    assert got == brute_lines(rows)
+
+
 # ---------------------------------------------------------------- 6 language, more cases
 
 def test_language_needs_letters_and_whole_texts(spark):
