@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression, OneVsRestModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer,
                                 SQLTransformer, VectorAssembler)
@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from revlens.functions import text as T
 from revlens.operators.lexicon import bounded_broadcast
+from revlens.operators.squared_hinge import squared_hinge_svm
 
 MAX_BROADCAST_BUCKETS = 1_000_000
 TOKEN = r"[\p{L}\p{N}_]{2,}"   # fixed value: tokens of two or more word characters
@@ -96,7 +97,8 @@ def fit_tfidf(train: DataFrame, text_col: str = "review_text", max_features: int
 def tfidf_classifier(train: DataFrame, label_col: str, text_col: str = "review_text", kind: str = "logreg",
                      max_features: int = 50_000) -> PipelineModel:
     """ML3 (kind='logreg': C = 1 -> regParam = 1/n, no standardisation, 300 iterations) or
-    ML4 (kind='svm': linear SVM, one-vs-rest when there are more than two classes)."""
+    ML4 (kind='svm': linear SVM with squared hinge loss, C = 1; with more than two classes
+    one model a class against the rest, labels 0 to k - 1)."""
     from revlens.session import materialize
     train = materialize(train.withColumn(text_col, T.as_text(text_col)))
     feat = fit_tfidf(train, text_col, max_features)
@@ -106,11 +108,10 @@ def tfidf_classifier(train: DataFrame, label_col: str, text_col: str = "review_t
         est = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=300, regParam=1.0 / max(n, 1),
                                  elasticNetParam=0.0, standardization=False)
     else:
-        svc = LinearSVC(featuresCol="features", labelCol=label_col, regParam=1.0 / max(n, 1), maxIter=300,
-                        standardization=False)
-        est = svc if k <= 2 else OneVsRest(classifier=svc, featuresCol="features", labelCol=label_col)
-    clf = est.fit(x)
-    return PipelineModel(stages=feat.stages + [clf])
+        models = [squared_hinge_svm(x.withColumn("_is", (F.col(label_col) == c).cast("int")), "features", "_is") for c in ([1] if k <= 2 else range(k))]
+        clf = models[0] if k <= 2 else OneVsRestModel(models).setFeaturesCol("features")
+        return PipelineModel(stages=feat.stages + [clf])
+    return PipelineModel(stages=feat.stages + [est.fit(x)])
 
 
 def positive_score(pred: DataFrame) -> Column:
