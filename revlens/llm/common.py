@@ -29,6 +29,14 @@ def small_side(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_batches(df: DataFrame, rows: int = 1_000) -> None:
     """Arrow batches of at most ``rows`` rows for this session: batches of whole texts are
     large, and both the JVM and the Python worker hold several of them."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import cut
+from revlens.llm.common import cut, free_name
 
 MOST_SITES = 10               # this many sites are enough in any corpus;
 LEAST_SITES = 2               # below that, half of the sites, but never a single one
@@ -84,13 +84,14 @@ def remove_lines(docs: DataFrame, min_sites: int | None = None, id_col: str = "d
     lines, seen = spread_lines(docs, min_sites, id_col, text_col, site_col)
     found = cut(_with_lines(seen.select("line", "id", "body"), lines, seen.count()).select("line", "id", "body", "first_id"), "lines-found")
     first = found.where(F.col("id") == F.col("first_id")).select("line", "body").distinct()
+    gone, hit_id, hit_body = (free_name(docs, c) for c in ("llm_gone", "llm_id", "llm_body"))
     hits = (found.join(first, ["line", "body"], "left_anti")
-            .groupBy("id", "body").agg(F.collect_set("line").alias("llm_gone"))
-            .select(F.col("id").alias("llm_id"), F.col("body").alias("llm_body"), "llm_gone"))
+            .groupBy("id", "body").agg(F.collect_set("line").alias(gone))
+            .select(F.col("id").alias(hit_id), F.col("body").alias(hit_body), gone))
     text = F.col(text_col).cast("string")
-    joined = docs.join(hits, F.col(id_col).cast("bigint").eqNullSafe(F.col("llm_id")) & (F.xxhash64(text) == F.col("llm_body")), "left")
-    kept = F.filter(_lines(text), lambda x: _blank(x) | ~F.array_contains("llm_gone", _key(x)))
-    hit = F.col("llm_gone").isNotNull()
+    joined = docs.join(hits, F.col(id_col).cast("bigint").eqNullSafe(F.col(hit_id)) & (F.xxhash64(text) == F.col(hit_body)), "left")
+    kept = F.filter(_lines(text), lambda x: _blank(x) | ~F.array_contains(gone, _key(x)))
+    hit = F.col(gone).isNotNull()
     new = {c: F.col(f"`{c}`") for c in docs.columns}
     new[text_col] = F.when(hit, F.array_join(kept, "\n")).otherwise(text)
     if removed_col:

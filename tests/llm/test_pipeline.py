@@ -44,3 +44,31 @@ def test_mix_outlives_the_reread(spark):
     stream = [r["doc_id"] for r in last.orderBy("mix_slot", "mix_place").collect()]
     assert stream == [r["doc_id"] for r in mixing.mix(docs).orderBy("mix_slot", "mix_place").collect()]
     assert last.select("mix_slot", "mix_place").distinct().count() == docs.count() == len(stream)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs, labels = read_table(spark, SF_SMALL, "documents"), read_table(spark, SF_SMALL, "labels")
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    few = docs.where("doc_id < 30")
+    assert P.drop_toxic(spark, few, str(tmp_path)).count() == few.count()            # nothing is known to be toxic
+    none = docs.limit(0)
+    for _, stage in P.STAGES[:4]:
+        left = stage(spark, none, SF_SMALL)
+        assert left.columns == docs.columns and left.count() == 0
+    assert P.to_tokens(spark, none, SF_SMALL).count() == 0
+
+
+CLASHES = ["n_removed", "llm_removed", "llm_gone", "line", "site", "rejected", "score", "component_id", "n_shingles", "mix_slot", "mix_place", "src", "h", "n", "ids"]
+
+
+def test_columns_of_clashing_names_pass_unchanged(spark):
+    docs = read_table(spark, SF_SMALL, "documents").where("doc_id < 60")
+    more = docs.select("*", *((docs.doc_id * 100 + k).alias(c) for k, c in enumerate(CLASHES)))
+    for name, stage in P.STAGES[:4]:
+        kept = stage(spark, more, SF_SMALL)
+        assert kept.columns == more.columns, name
+        plain = {r["doc_id"]: r["text"] for r in stage(spark, docs, SF_SMALL).collect()}
+        for r in kept.collect():
+            assert plain.pop(r["doc_id"]) == r["text"] and [r[c] for c in CLASHES] == [r["doc_id"] * 100 + k for k in range(len(CLASHES))], name
+        assert not plain
+    assert P.to_tokens(spark, more, SF_SMALL).count() == docs.count()
