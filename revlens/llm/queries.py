@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.llm import bpe, html_extract, language, licenses, line_dedup, mixing, multi_index, ngram_join, phrases, ranked_search, simhash, toxicity, url_filter
+from revlens.llm.common import cut
 from revlens.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +98,8 @@ def _edited(ids, texts, nexts) -> dict[str, list]:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = simhash.with_next(docs, _edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
-    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    marked = simhash.with_groups(cut(marked, "simhash-marks"))
+    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "group_id",
                          simhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
                          simhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 

@@ -17,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import U64, components, cut, mix, released, shingle_hashes, word_hashes
+from revlens.llm.common import U64, components, cut, mix, released, shingle_hashes, small_side, word_hashes
 
 BITS = 128
 WIDTH = 5
+RADIUS = 3               # of 128 bits: a cosine of 0.997, far above a Jaccard of 0.8
+TILE = 1024              # entries of one side of a comparison
+MOST_SHARED_KEYS = 2_000_000
+HOT_SHARE = 20_000       # a fingerprint of more than this share of the rows is a hot one
 LEAST = -(1 << 63)       # stands for a null id when rows are put in order
 MOST_RANGES = 20_000    # bounds what the driver sees: one id a range
 
@@ -68,37 +72,41 @@ def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
     return F.greatest(F.lit(0.0), F.cos(F.lit(np.pi / bits) * hamming(a, b, bits)))
 
 
-def near_groups(fingerprints: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", radius: int = 3,
-                spare: int = 2, bits: int = BITS) -> DataFrame:
-    """``(doc_id, fingerprint, group_id)``: documents whose fingerprints are linked by
-    steps of at most ``radius`` bits share a group, named by its smallest id.
+def with_groups(fingerprints: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", radius: int = RADIUS,
+                spare: int = 2, bits: int = BITS, group_col: str = "group_id") -> DataFrame:
+    """``fingerprints`` with ``group_id``: documents whose fingerprints are linked by steps
+    of at most ``radius`` bits share a group, named by its smallest id.
+
+    Every row and column stays; a column named like the group is replaced.  Rows of a null
+    fingerprint have no group; rows of a null id take that of their fingerprint, null if no
+    row with an id has it.  Texts without words have equal fingerprints, so they are one group.
+    The input is read more than once: cut it first if it is costly.
 
-    Equal fingerprints collapse to one representative before anything is joined.  In a
-    table, a key's representatives are linked to the smallest of them only if they lie in
-    the radius; those that do not are compared with each other in hash-dealt tiles, so no
-    bucket is held by one task and no link is lost.  Null ids or fingerprints are left out.
+    Equal fingerprints are one entry before anything is joined.  Within a table, entries of
+    one key are compared with each other, all pairs of them, in hash-dealt tiles of about
+    ``TILE`` entries, so no bucket is held by one task and no link is lost.
     """
-    rows = fingerprints.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp")).where("id IS NOT NULL AND fp IS NOT NULL")
-    heads = cut(rows.groupBy("fp").agg(F.min("id").alias("head")), "simhash-heads")
+    rows = fingerprints.drop(group_col)
+    known = rows.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp")).where("id IS NOT NULL AND fp IS NOT NULL")
+    heads = cut(known.groupBy("fp").agg(F.min("id").alias("head"), F.count("*").alias("n_rows")), "simhash-heads")
     blocks = radius + spare
     edges = [round(bits * k / blocks) for k in range(blocks + 1)]
     binary = F.concat(*[F.lpad(F.conv(F.substring("fp", k + 1, 8), 16, 2), 32, "0") for k in range(0, bits // 4, 8)])
-    keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(*[F.substring("b", edges[i] + 1, edges[i + 1] - edges[i]) for i in chosen]).alias("k"))
+    keys = [F.xxhash64(F.lit(t), *[F.substring("b", edges[i] + 1, edges[i + 1] - edges[i]) for i in chosen])
             for t, chosen in enumerate(combinations(range(blocks), spare))]
-    entries = heads.withColumn("b", binary).select("head", "fp", F.explode(F.array(*keys)).alias("key")).select("key.t", "key.k", "head", "fp")
-    sizes = entries.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / 128).cast("int")
-    held = cut(entries.join(sizes, ["t", "k"]).withColumn("tiles", tiles)
-               .withColumn("c", F.pmod(F.xxhash64("head"), F.col("tiles")).cast("int"))
-               .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-               .select("t", "k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "head", "fp"), "simhash-tiles")
+    entries = heads.withColumn("b", binary).select("head", F.unhex("fp").alias("mark"), F.explode(F.array(*keys)).alias("k"))
+    shared = cut(entries.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    held = (entries.join(small_side(shared, shared.count(), MOST_SHARED_KEYS), "k").withColumn("tiles", tiles)
+            .withColumn("c", F.pmod(F.xxhash64("mark"), F.col("tiles")).cast("int"))
+            .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .select("k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "head", "mark"))
 
     def link(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.drop_duplicates(["head", "fp"])      # an id may head several fingerprints
         ids = tile["head"].to_numpy()
-        raw = np.frombuffer(bytes.fromhex("".join(tile["fp"])), np.uint8).reshape(len(tile), bits // 8)
+        raw = np.frombuffer(b"".join(tile["mark"]), np.uint64).reshape(len(tile), bits // 64)
         src, dst, root = [], [], np.arange(len(ids))
-        for a in range(len(ids)):
+        for a in range(len(ids) - 1):
             near = np.flatnonzero((np.bitwise_count(raw[a + 1:] ^ raw[a]).sum(axis=1) <= radius)) + a + 1
             for b in near[root[near] != root[a]]:
                 if root[b] != root[a]:
@@ -107,9 +115,21 @@ def near_groups(fingerprints: DataFrame, id_col: str = "doc_id", fp_col: str = "
                     dst.append(ids[b])
         return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
-    found = components(held.groupBy("t", "k", "i", "j").applyInPandas(link, "src long, dst long"), "simhash-cc")
-    return (rows.join(heads, "fp").join(found, F.col("head") == F.col("node"), "left")
-            .select(F.col("id").alias(id_col), F.col("fp").alias(fp_col), F.coalesce("component", "head").alias("group_id")))
+    found = components(held.groupBy("k", "i", "j").applyInPandas(link, "src long, dst long"), "simhash-cc")
+    named = cut(heads.join(found, F.col("head") == F.col("node"), "left")
+                .select(F.col("fp").alias("simhash_fp"), "n_rows", F.coalesce("component", "head").alias(group_col)), "simhash-groups")
+    # fingerprints of many rows meet them by broadcast: there are fewer than HOT_SHARE of them
+    hot = F.col("n_rows") * HOT_SHARE > named.agg(F.sum("n_rows")).scalar()
+    often, rest = F.broadcast(named.where(hot).drop("n_rows")), named.where(~hot).drop("n_rows")
+    met = F.col(f"`{fp_col}`") == F.col("simhash_fp")
+    return rows.join(often, met).drop("simhash_fp").unionByName(rows.join(often, met, "left_anti").join(rest, met, "left").drop("simhash_fp"))
+
+
+def near_groups(fingerprints: DataFrame, id_col: str = "doc_id", fp_col: str = "fingerprint", radius: int = RADIUS,
+                spare: int = 2, bits: int = BITS) -> DataFrame:
+    """``(doc_id, fingerprint, group_id)`` of ``with_groups``; null ids or fingerprints are left out."""
+    rows = fingerprints.select(id_col, fp_col).where(F.col(id_col).isNotNull() & F.col(fp_col).isNotNull())
+    return with_groups(rows, id_col, fp_col, radius, spare, bits)
 
 
 # ---------------------------------------------------------------- edited neighbours

@@ -394,6 +394,34 @@ def test_simhash_groups_keep_both_texts_of_an_id(spark):
     assert got == {(5, 5), (7, 5), (9, 5), (11, 11)}
 
 
+def test_simhash_query_groups_equal_brute_force(spark):
+    """All pairs of the table's fingerprints, without block tables: recall is whole."""
+    got = [(r["doc_id"], r["fingerprint"], r["group_id"]) for r in queries.op8_simhash(spark, SF_SMALL).collect()]
+    ids, marks = [g[0] for g in got], [int(g[1], 16) for g in got]
+    group = dict(zip(ids, ids))
+    for a in range(len(marks)):
+        for b in range(a):
+            x, y = group[ids[a]], group[ids[b]]
+            if x != y and (marks[a] ^ marks[b]).bit_count() <= simhash.RADIUS:
+                group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    assert {g[0]: g[2] for g in got} == group and len(set(group.values())) < len(got)
+
+
+def test_simhash_groups_keep_rows_and_columns(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SHARE", 4)       # fingerprints of more than a quarter of the rows are hot
+    monkeypatch.setattr(simhash, "TILE", 2)
+    rows = [(k, f"{k % 2:032x}", "x") for k in range(4, 12)] + [(k, f"{1 << k:032x}", "y") for k in range(90, 95)]
+    rows += [(None, f"{1:032x}", "n"), (None, "f" * 32, "n"), (50, None, None), (60, "e" * 32, "z"), (60, "e" * 32, "z")]
+    made = spark.createDataFrame([(i, f, x, "old", 7) for i, f, x in rows], "doc_id long, fingerprint string, head string, group_id string, n_rows int")
+    got = simhash.with_groups(made)
+    assert got.columns == ["doc_id", "fingerprint", "head", "n_rows", "group_id"]
+    want = {None: None, 50: None, 60: 60}
+    out = [(r["doc_id"], r["fingerprint"], r["head"], r["n_rows"], r["group_id"]) for r in got.collect()]
+    near_zero = 4                                      # 0, 1 and the single bits are linked
+    assert sorted(out, key=str) == sorted(((i, f, x, 7, near_zero if f and f not in ("f" * 32, "e" * 32) else want[i]) for i, f, x in rows), key=str)
+    assert simhash.with_groups(made.where("doc_id < 0")).count() == 0
+
+
 # ---------------------------------------------------------------- 9 licences, 10 lines
 
 def test_license_edges(spark, odd, none):
