@@ -424,6 +424,24 @@ def test_simhash_groups_keep_rows_and_columns(spark, monkeypatch):
 
 # ---------------------------------------------------------------- 9 licences, 10 lines
 
+def test_wrapped_notices_and_whole_files(spark):
+    import textwrap
+    wrap = lambda t, head="": "\n".join(head + x for x in textwrap.wrap(t, 60))
+    prose = "The river ran past seven mills that stood on its banks. Few of them still turn. Nobody counts the years. "
+    names = ["GPL-3.0", "MIT", "ISC", "Apache-2.0", "MPL-2.0"]
+    notice = {n: max((t for t in licenses.TEMPLATES[n]), key=len) for n in names} | {"MIT": licenses.TEMPLATES["MIT"][-2], "MPL-2.0": licenses.TEMPLATES["MPL-2.0"][0]}
+    rows = [(k, wrap(prose + notice[n] + " " + prose)) for k, n in enumerate(names)]
+    rows += [(10 + k, wrap(notice[n], " * ").replace("\n", "\r\n")) for k, n in enumerate(names)]
+    bsd = licenses.TEMPLATES["BSD-3-Clause"][-1].replace("met: ", "met:\n\n1. ").replace("disclaimer. ", "disclaimer.\n\n2. ", 1).replace("Neither", "\n\n3. Neither")
+    rows += [(20, "BSD 3-Clause License\n\nCopyright (c) 2020, Some Body\n\n" + bsd), (30, wrap(prose * 400)), (31, None), (32, ".\n.\n\n. .")]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], {})[r["license"]] = r["dice"]
+    for k, n in enumerate(names):
+        assert got[k][n] >= 0.95 and got[10 + k][n] >= 0.95
+    assert got[20]["BSD-3-Clause"] >= 0.9 and not {30, 31, 32} & set(got)
+
+
 def test_license_edges(spark, odd, none):
     text = "Some words.\nReleased under the MIT  License. More of it\n\n" + licenses.TEMPLATES["ISC"][0].upper().replace(",", " ,\n")
     docs = spark.createDataFrame([(1, text, "x"), (1, None, "x"), (2, "", "x"), (3, "Licensed under CC BY-NC 4.0.", "x")], "doc_id long, text string, license string")
