@@ -11,8 +11,8 @@ the distances of any two rows.  Of all choices that find a neighbour at such a d
 the wanted probability, the one with the fewest expected comparisons is taken.  On vectors
 without structure no choice saves much, and all rows are compared: one table, one bucket.
 
-Buckets are cut on both sides into blocks of at most ``MOST_ROWS`` rows, every left block
-meets every right block of its bucket: a hot bucket costs more tasks, not a larger one.
+Buckets are cut on both sides into blocks of about ``MOST_ROWS`` rows (more where all rows
+meet), every left block meets every right block of its bucket: a hot bucket costs more tasks, not a larger one.
 Rows that meet too few others are compared with all rows, in the same blocks.
 """
 
@@ -33,6 +33,8 @@ from revlens.session import materialize
 
 SAMPLE_ROWS = 2_000       # rows whose distances stand for any two rows'
 MOST_ROWS = 2_048         # rows of a block
+LARGE_ROWS = 16_384       # of a block where all rows meet
+TILE = 1 << 20            # distances that are held at once
 PROBES = 64               # rows whose true neighbours are looked up for the plan
 LEAST_TABLES, MOST_TABLES = 4, 48
 ROW_COST = 40.0           # of a row in a table, in comparisons
@@ -147,13 +149,13 @@ def _dealt(rows: DataFrame, tables: Tables, first: int = 0) -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
-def _blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _blocks(left: DataFrame, right: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with the block pair ``(i, j)`` of their bucket in which they meet."""
     sizes = (left.select("tab", "bucket", F.lit(1).alias("l"), F.lit(0).alias("r"))
              .unionAll(right.select("tab", "bucket", F.lit(0).alias("l"), F.lit(1).alias("r")))
              .groupBy("tab", "bucket").agg(F.sum("l").alias("l"), F.sum("r").alias("r")))
-    hot = materialize(sizes.where((F.col("l") > MOST_ROWS) | (F.col("r") > MOST_ROWS)).select(
-        "tab", "bucket", F.ceil(F.col("l") / MOST_ROWS).cast("int").alias("nl"), F.ceil(F.col("r") / MOST_ROWS).cast("int").alias("nr")))
+    hot = materialize(sizes.where((F.col("l") > most) | (F.col("r") > most)).select(
+        "tab", "bucket", F.ceil(F.col("l") / most).cast("int").alias("nl"), F.ceil(F.col("r") / most).cast("int").alias("nr")))
 
     def placed(side: DataFrame, own: str, other: str, mine: str, its: str) -> DataFrame:
         j = side.join(hot, ["tab", "bucket"], "left")
@@ -164,35 +166,98 @@ def _blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed(left, "nl", "nr", "i", "j"), placed(right, "nr", "nl", "j", "i")
 
 
+def _few_copies(y: np.ndarray, rid: np.ndarray, rc: np.ndarray, k: int) -> np.ndarray:
+    """Places of the right rows (ids ascending) that can be among anyone's ``k`` nearest: of equal
+    vectors of one class, those of the ``k + 1`` smallest ids (one may be the left row's own)."""
+    if len(y) <= k + 1 or not y.shape[1]:
+        return np.arange(len(y))
+    bits = np.ascontiguousarray(y + 0.0).view(np.dtype((np.void, y.shape[1] * 8))).ravel()
+    group = np.unique(bits, return_inverse=True)[1].astype(np.int64)
+    group = group * (int(rc.max()) + 1) + rc
+    order = np.argsort(group, kind="stable")
+    g, i = group[order], rid[order]
+    first = np.r_[True, g[1:] != g[:-1]]
+    ids = np.cumsum(first | np.r_[True, i[1:] != i[:-1]])          # different (group, id) so far
+    nth = ids - np.maximum.accumulate(np.where(first, ids, 0))     # of them in the group
+    return np.sort(order[nth <= k])
+
+
 def nearest_of_block(l: pd.DataFrame, r: pd.DataFrame, k: int, exclude_self: bool, unlike: bool) -> pd.DataFrame:
-    """The ``k`` nearest right rows of every left row of one block pair."""
-    x, y = np.stack(l["vec"].to_numpy()), np.stack(r["vec"].to_numpy())
-    lid, rid, lc, rc = l["id"].to_numpy(), r["id"].to_numpy(), l["cls"].to_numpy(), r["cls"].to_numpy()
+    """The ``k`` nearest right rows of every left row of one block pair.
+
+    A matrix product gives all squared distances within a known error; those that may be among
+    the ``k`` smallest are computed again from the differences, and these decide."""
+    x, y = np.stack(l["vec"].to_numpy()).astype(float), np.stack(r["vec"].to_numpy()).astype(float)
+    lid, rid = l["id"].to_numpy(), r["id"].to_numpy()
+    lc, rc = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    if unlike:
+        both = pd.concat([l["cls"], r["cls"]], ignore_index=True)
+        codes = pd.factorize(both)[0].astype(np.int64)
+        codes[codes < 0] = codes.max(initial=0) + 1 + np.arange((codes < 0).sum())     # no class is like no other
+        lc, rc = codes[:len(x)], codes[len(x):]
     order = np.argsort(rid, kind="stable")
     y, rid, rc = y[order], rid[order], rc[order]
-    step = max(1, (1 << 21) // max(1, y.size))
+    few = _few_copies(y, rid, rc, k)
+    y, rid, rc = y[few], rid[few], rc[few]
+    low, high = np.searchsorted(rid, lid, "left"), np.searchsorted(rid, lid, "right")
+    exact = not (np.isfinite(x).all() and np.isfinite(y).all())      # sums of infinities have no error bound
+    if not exact:
+        middle = y.mean(axis=0)
+        u, v = x - middle, y - middle
+        uu, vv = (u * u).sum(1), (v * v).sum(1)
+        exact = not (np.isfinite(uu).all() and np.isfinite(vv).all())
+        if not exact:      # not too large to be squared
+            # roundings of the shift and of the sums, several times over
+            slack = 16 * (x.shape[1] + 4) * np.finfo(float).eps * (uu + vv.max())
+            product = np.ascontiguousarray(np.c_[-2 * v, vv].T)          # with (u, 1): the squared distance less uu
+            u = np.c_[u, np.ones(len(u))]
+    step = max(1, TILE // max(1, y.size if exact else len(y)))
     out = ([], [], [])
     for at in range(0, len(x), step):
-        d = np.sqrt(((x[at:at + step, None, :] - y[None, :, :]) ** 2).sum(-1))
-        for row, own in enumerate(range(at, min(at + step, len(x)))):
-            ok = np.ones(len(y), bool)
-            if exclude_self:
-                ok &= rid != lid[own]
-            if unlike:
-                ok &= rc != lc[own]
-            places = np.flatnonzero(ok)
-            if len(places) > k:
-                kth = np.partition(d[row, places], k - 1)[k - 1]
-                places = places[d[row, places] <= kth]
-            places = places[np.argsort(d[row, places], kind="stable")][:k]     # ids ascend: ties go to the smaller
-            out[0].extend([lid[own]] * len(places))
-            out[1].extend(rid[places])
-            out[2].extend(d[row, places])
-    return pd.DataFrame({"lid": out[0], "rid": out[1], "dist": out[2]})
-
-
-def _meet(left: DataFrame, right: DataFrame, k: int, exclude_self: bool, unlike: bool) -> DataFrame:
-    a, b = _blocks(left, right)
+        to = min(at + step, len(x))
+        if exact:
+            with np.errstate(invalid="ignore", over="ignore"):
+                d = ((x[at:to, None, :] - y[None, :, :]) ** 2).sum(-1)
+            d[np.isnan(d)] = np.inf
+        else:
+            d = u[at:to] @ product
+        barred = lc[at:to, None] == rc[None, :] if unlike else np.zeros(d.shape, bool)
+        if exclude_self:
+            for row in np.flatnonzero(high[at:to] > low[at:to]):
+                barred[row, low[at + row]:high[at + row]] = True
+        if unlike or exclude_self:
+            np.copyto(d, np.inf, where=barred)
+        if d.shape[1] > k:
+            kth = d.min(axis=1) if k == 1 else np.partition(d, k - 1, axis=1)[:, k - 1]
+            rows, places = np.nonzero(d <= (kth * (1 + 1e-14) if exact else kth + 2 * slack[at:to])[:, None])
+            ok = ~barred[rows, places]
+            rows, places = rows[ok], places[ok]
+        else:
+            rows, places = np.nonzero(~barred)
+        dist = np.empty(len(rows))
+        for part in range(0, len(rows), 1 << 15):
+            a, b = rows[part:part + (1 << 15)], places[part:part + (1 << 15)]
+            with np.errstate(invalid="ignore", over="ignore"):
+                dist[part:part + (1 << 15)] = np.sqrt(((x[at + a] - y[b]) ** 2).sum(-1))
+        best = np.lexsort((places, dist, rows))                      # ids ascend: ties go to the smaller; NaN comes last
+        rows, places, dist = rows[best], places[best], dist[best]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+        keep = nth < k
+        out[0].append(lid[at + rows[keep]])
+        out[1].append(rid[places[keep]])
+        out[2].append(dist[keep])
+    return pd.DataFrame({"lid": np.concatenate(out[0]), "rid": np.concatenate(out[1]), "dist": np.concatenate(out[2])})
+
+
+def block_rows(n: int) -> int:
+    """Rows of a block when all of ``n`` rows meet: larger blocks for larger tables, as every row
+    is sent to each block of the other side."""
+    return max(MOST_ROWS, min(n // 8, LARGE_ROWS))
+
+
+def meet(left: DataFrame, right: DataFrame, k: int, exclude_self: bool, unlike: bool, most: int) -> DataFrame:
+    """(lid, rid, dist): the ``k`` nearest of every left row in each block pair of its buckets."""
+    a, b = _blocks(left, right, most)
     schema = StructType([StructField("lid", left.schema["id"].dataType), StructField("rid", right.schema["id"].dataType), StructField("dist", DoubleType())])
 
     def work(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -237,13 +302,14 @@ def lsh_knn(left: DataFrame, right: DataFrame, k: int, id_col: str = "vec_id", v
     take no part.  Fewer than ``k`` admissible rows give fewer neighbours; empty sides none."""
     l, r, tables = prepare(left, right, k, id_col, vec_col, class_col, recall, seed, exclude_self)
     unlike = class_col is not None
-    found = _top(_meet(_dealt(l, tables), _dealt(r, tables), k, exclude_self, unlike), k)
+    all_rows = block_rows(r.count())
+    found = _top(meet(_dealt(l, tables), _dealt(r, tables), k, exclude_self, unlike, MOST_ROWS if tables.per_table else all_rows), k)
     if tables.per_table:
         found = materialize(found)
         enough = found.groupBy("lid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("lid").alias("id"))
         short = materialize(l.join(enough, "id", "left_anti"))
         if not short.isEmpty():
-            found = _top(found.select("lid", "rid", "dist").unionAll(_meet(_dealt(short, EVERYTHING), _dealt(r, EVERYTHING), k, exclude_self, unlike)), k)
+            found = _top(found.select("lid", "rid", "dist").unionAll(meet(_dealt(short, EVERYTHING), _dealt(r, EVERYTHING), k, exclude_self, unlike, all_rows)), k)
     return found.select(F.col("lid").alias(id_col), F.col("rid").alias("nbr_id"), "dist", "rank")
 
 

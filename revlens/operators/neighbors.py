@@ -4,29 +4,32 @@ neighbour (J6), SMOTE (ML6) and counterfactuals (X4).
 J6, SMOTE and X4 search by locality-sensitive hashing (``lsh.py``) unless ``method="exact"``
 asks for the exact search below.
 
-Exact kNN without an all-pairs join:
-  1. pivots = the ``n_pivots`` right-side rows with the smallest hash (a bounded
-     array, scalar subquery); every point is assigned to its nearest pivot;
-     block radius R_b = max distance of a block member to its pivot.
-  2. each query point is joined with its own block (equi-join on block id) and
-     keeps its k nearest there; r_k = k-th distance (infinite if fewer).
+Exact kNN without a row-by-row join:
+  1. pivots = the ``n_pivots`` right-side rows with the smallest hash (bounded); every point is
+     assigned to its nearest pivot; block radius R_b = max distance of a block member to its pivot.
+  2. each query point meets its own block and keeps its k nearest there; r_k = k-th distance.
   3. by the triangle inequality a point y in block b can only beat r_k if
-     d(x, pivot_b) - R_b <= r_k, so the query is joined again with exactly those
-     blocks, and the k nearest over both passes are final.
-Block sizes are n / n_pivots on average; pruning keeps the second pass local
-for clustered data.  Ties are broken by the neighbour id.
+     d(x, pivot_b) - R_b <= r_k, so the query meets exactly those blocks too, and the k nearest
+     over both passes are final.
+Blocks are cut to a bounded size on both sides and meet in tasks that multiply matrices
+(``lsh.nearest_of_block``); a pair of blocks sends on k rows a query.  Pruning keeps the second
+pass local for clustered data; without structure all pairs are compared.  Ties are broken by the
+neighbour id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from revlens.functions.text import let
-from revlens.operators.lsh import lsh_knn
+from revlens.operators.lsh import block_rows, lsh_knn, meet
+from revlens.session import materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,55 +59,79 @@ def embedding_assign(vectors: DataFrame, prototypes: DataFrame, id_col: str = "v
 
 
 # --- J5 ---------------------------------------------------------------------
+def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows (id, cls, vec) with their distances to the pivots and the block ``bucket`` of the
+    nearest.  Vectors that no pivot can be compared with (of another length, not finite) have no
+    distances and stand in a block of their length, numbered below zero."""
+    schema = StructType([*df.schema.fields, StructField("bucket", LongType()), StructField("away", ArrayType(DoubleType()))])
+
+    def work(batches):
+        for pdf in batches:
+            bucket, away = [0] * len(pdf), [None] * len(pdf)
+            for at in range(0, len(pdf), 1024):
+                x = [np.asarray(v, float) for v in pdf["vec"].iloc[at:at + 1024]]
+                same = [i for i, v in enumerate(x) if len(v) == pivots.shape[1] and len(pivots) and np.isfinite(v).all()]
+                for i, v in enumerate(x):
+                    bucket[at + i] = -1 - len(v)
+                if same:
+                    block = np.stack([x[i] for i in same])
+                    d = np.stack([np.sqrt(((block - p) ** 2).sum(1)) for p in pivots], axis=1)
+                    for i, row, b in zip(same, d, d.argmin(axis=1)):
+                        bucket[at + i], away[at + i] = int(b), row
+            yield pdf.assign(bucket=bucket, away=away)
+
+    return df.mapInPandas(work, schema)
+
+
 def knn(left: DataFrame, right: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-        n_pivots: int = 64, exclude_self: bool = True, pair_filter=None, seed: int = 7) -> DataFrame:
+        n_pivots: int = 64, exclude_self: bool = True, class_col: str | None = None, seed: int = 7) -> DataFrame:
     """Exact k nearest right-side rows for every left row (Euclidean).
-    Output (id, nbr_id, dist, rank); rank 1 = nearest.  ``pair_filter(l, r)`` restricts
-    admissible pairs (e.g. different class)."""
-    L = left.select(F.col(id_col).alias("_lid"), F.col(vec_col).alias("_lv"), *[c for c in left.columns
-                                                                                 if c not in (id_col, vec_col)])
-    R = right.select(F.col(id_col).alias("_rid"), F.col(vec_col).alias("_rv"),
-                     *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in (id_col, vec_col)])
-    h = F.xxhash64(F.col("_rid"), F.lit(seed))
-    pivots = R.select(h.alias("_h"), "_rv").orderBy("_h").limit(n_pivots) \
-        .agg(F.collect_list("_rv").alias("p")).select("p").scalar()
-
-    def nearest(v: Column) -> Column:
-        ds = F.transform("_piv", lambda p: F.sqrt(sqdist(v, p)))
-        return let(ds, lambda d: F.struct(F.array_position(d, F.array_min(d)).cast("int").alias("b"),
-                                          F.array_min(d).alias("d"), d.alias("all")))
-
-    Rb = R.select("*", pivots.alias("_piv")).select("*", nearest(F.col("_rv")).alias("_n")).drop("_piv").select("*", F.col("_n.b").alias("_b"),
-                                                                F.col("_n.d").alias("_pd")).drop("_n")
-    radius = Rb.groupBy("_b").agg(F.max("_pd").alias("_R"))
-    radii = radius.agg(F.map_from_entries(F.collect_list(F.struct("_b", "_R"))).alias("m")).select("m").scalar()
-    Lb = L.select("*", pivots.alias("_piv")).select("*", nearest(F.col("_lv")).alias("_n")).drop("_piv").select("*", F.col("_n.b").alias("_b"),
-                                                                F.col("_n.all").alias("_pall")).drop("_n")
-
-    def pairs(lside: DataFrame) -> DataFrame:
-        j = lside.join(Rb.drop("_pd"), "_b")
-        cond = F.lit(True)
-        if exclude_self:
-            cond = cond & (F.col("_lid") != F.col("_rid"))
-        if pair_filter is not None:
-            cond = cond & pair_filter(F.col, lambda c: F.col(f"r_{c}"))
-        return j.where(cond).select("_lid", "_rid", F.sqrt(sqdist(F.col("_lv"), F.col("_rv"))).alias("dist"))
+    Output (id, nbr_id, dist, rank); rank 1 = nearest.  ``class_col``: only rows of different
+    classes pair.  Null ids and classes, and vectors null or with null components, take no part."""
+    def usable(df: DataFrame) -> DataFrame:
+        cls = F.col(class_col) if class_col else F.lit(None).cast("int")
+        d = df.select(F.col(id_col).alias("id"), cls.alias("cls"), F.col(vec_col).cast("array<double>").alias("vec"))
+        d = d.where(F.col("id").isNotNull() & F.forall("vec", lambda c: c.isNotNull()))
+        return d.where(F.col("cls").isNotNull()) if class_col else d
+
+    lrows, rrows = usable(left), usable(right)
+    some = [np.array(r["vec"], float) for r in rrows.where(F.forall("vec", lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))))
+            .orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n_pivots).select("vec").collect()]
+    lengths = [len(v) for v in some]
+    dim = max(sorted(set(lengths)), key=lengths.count) if some else 0
+    some = [v for v in some if len(v) == dim]
+    pivots = np.array(some, float).reshape(len(some), dim)
+    lp = materialize(_placed(lrows, pivots).withColumn("tab", F.lit(0)))
+    rp = materialize(_placed(rrows, pivots).withColumn("tab", F.lit(0)))
+    reach = {r["bucket"]: r["most"] for r in rp.where(F.col("bucket") >= 0).groupBy("bucket")
+             .agg(F.max(F.element_at("away", F.col("bucket").cast("int") + 1)).alias("most")).collect()}
+    apart = not rp.where(F.col("bucket") < 0).isEmpty()
+    most, unlike = block_rows(rp.count()), class_col is not None
+
+    def pairs(side: DataFrame) -> DataFrame:
+        return meet(side.select("tab", "bucket", "id", "cls", "vec"), rp.select("tab", "bucket", "id", "cls", "vec"), k, exclude_self, unlike, most)
 
     def top(p: DataFrame) -> DataFrame:
-        w = Window.partitionBy("_lid").orderBy("dist", "_rid")
-        return p.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
-
-    first = top(pairs(Lb))
-    rk = first.groupBy("_lid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_rk"))
-    lb = Lb.join(rk, "_lid", "left").select(
-        "*", radii.alias("_rad"), F.when(F.coalesce(F.col("_c"), F.lit(0)) < k, F.lit(float("inf"))).otherwise(F.col("_rk")).alias("_r"))
-    # blocks other than the own one whose ball can reach within r_k
-    others = F.filter(F.sequence(F.lit(1), F.size("_pall")), lambda b: (b != F.col("_b")) & F.coalesce(
-        (F.element_at("_pall", b) - F.element_at(F.col("_rad"), b) - 1e-9) <= F.col("_r"), F.lit(False)))
-    second_in = lb.select(*[c for c in Lb.columns if c != "_b"], F.explode(others).alias("_b"))
-    second = pairs(second_in.select(*Lb.columns))
-    allp = first.select("_lid", "_rid", "dist").unionByName(second)
-    return top(allp).select(F.col("_lid").alias(id_col), F.col("_rid").alias("nbr_id"), "dist", "rank")
+        w = Window.partitionBy("lid").orderBy("dist", "rid")
+        return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    first = materialize(top(pairs(lp)))
+    rk = first.groupBy("lid").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_m")) \
+        .select(F.col("lid").alias("id"), F.when(F.col("_c") >= k, F.col("_m")).alias("_r"))
+    # blocks other than the own one whose ball can reach within r_k; without r_k or distances, all of them
+    ball = F.array(*[F.struct(F.lit(int(b)).cast("long").alias("b"), F.lit(float(m)).alias("m")) for b, m in sorted(reach.items())]) \
+        if reach else F.array().cast("array<struct<b:bigint,m:double>>")
+    near = F.filter(ball, lambda s: (s["b"] != F.col("bucket")) & F.coalesce(
+        (F.element_at("away", s["b"].cast("int") + 1) - s["m"]) * (1 - 1e-12) - 1e-9 <= F.col("_r"), F.lit(True)))
+    others = F.transform(near, lambda s: s["b"])
+    if apart:
+        own = -1 - F.size("vec").cast("long")
+        others = F.when(F.col("bucket") == own, others).otherwise(F.concat(others, F.array(own)))
+    # a pivot block holds vectors of the pivots' length alone
+    others = F.when(F.size("vec") == dim, others).otherwise(F.array().cast("array<bigint>"))
+    second = lp.join(rk, "id", "left").withColumn("bucket", F.explode(others))
+    found = top(first.select("lid", "rid", "dist").unionByName(pairs(second)))
+    return found.select(F.col("lid").alias(id_col), F.col("rid").alias("nbr_id"), "dist", "rank")
 
 
 # --- J6 / X4 -----------------------------------------------------------------
@@ -114,8 +141,7 @@ def _search(left: DataFrame, right: DataFrame, k: int, id_col: str, vec_col: str
         return lsh_knn(left, right, k, id_col, vec_col, exclude_self, class_col)
     if method != "exact":
         raise ValueError("method is lsh or exact")
-    unlike = None if class_col is None else lambda lc, rc: lc(class_col) != rc(class_col)
-    return knn(left, right, k, id_col, vec_col, exclude_self=exclude_self, pair_filter=unlike)
+    return knn(left, right, k, id_col, vec_col, exclude_self=exclude_self, class_col=class_col)
 
 
 def nearest_unlike_neighbor(df: DataFrame, class_col: str, id_col: str = "vec_id", vec_col: str = "embedding",
