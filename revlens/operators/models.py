@@ -233,12 +233,13 @@ def balanced_weight(df: DataFrame, label_col: str) -> Column:
 def random_forest(train: DataFrame, features_col: str, label_col: str, num_trees: int = 400, max_depth: int = 30,
                   seed: int = 42):
     """ML7: distributed random forest; class-balanced weights, min leaf 1,
-    depth capped at 30 (Spark's maximum)."""
+    depth capped at 30 (Spark's maximum).  The node of every row in every tree is kept, else the
+    trees grown so far go out with each task and every row walks them again for each level."""
     from pyspark.ml.classification import RandomForestClassifier
     from revlens.session import materialize
     w = materialize(train.withColumn("_w", balanced_weight(train, label_col)))
     rf = RandomForestClassifier(featuresCol=features_col, labelCol=label_col, weightCol="_w", numTrees=num_trees,
-                                maxDepth=max_depth, minInstancesPerNode=1, seed=seed, featureSubsetStrategy="sqrt")
+                                maxDepth=max_depth, minInstancesPerNode=1, seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=True)
     return rf.fit(w)
 
 

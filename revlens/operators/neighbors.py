@@ -180,7 +180,7 @@ def smote(df: DataFrame, label_col: str = "y", id_col: str = "vec_id", vec_col:
                  F.count_if(F.col(label_col) != minority).alias("n_maj")).first()
     deficit = F.lit(max(int(cnt["n_maj"]) - int(cnt["n_min"]), 0))
     per = F.lit(-(-max(int(cnt["n_maj"]) - int(cnt["n_min"]), 0) // max(int(cnt["n_min"]), 1)))
-    nbrs = _search(mino.select(id_col, vec_col), mino.select(id_col, vec_col), k, id_col, vec_col, method)
+    nbrs = materialize(_search(mino.select(id_col, vec_col), mino.select(id_col, vec_col), k, id_col, vec_col, method))   # read twice below
     n_nbrs = nbrs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_kk"))
     cand = mino.select(id_col, vec_col).join(n_nbrs, id_col).select(
         id_col, vec_col, "_kk", F.explode(F.sequence(F.lit(0), F.greatest((per - 1).cast("int"), F.lit(0))))

@@ -5,9 +5,11 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from revlens.operators import lsh
+from revlens.operators import models as ML
 from revlens.operators import neighbors as N
 from revlens.operators import stats as S
 
@@ -81,3 +83,11 @@ def test_a_replicate_draws_one_number_a_row(spark):
     w = [sum(x >= p for p in S._POISSON) for x in u]
     want = sum(k for i, k in enumerate(w) if (i % 2) == (i % 3 == 0)) / sum(w)
     assert abs(values.where("replicate = 4").first()["value"] - want) < 1e-12
+
+
+def test_a_forest_keeps_the_nodes_of_its_rows(spark):
+    """Else the trees grown so far are sent with every task of every level."""
+    rows = [(i, i % 2, [float(i % 2), float(i % 5)]) for i in range(80)]
+    train = frame(spark, rows).select("label", array_to_vector("embedding").alias("features"))
+    forest = ML.random_forest(train, "features", "label", num_trees=3)
+    assert forest.getCacheNodeIds() and forest.transform(train).where("prediction = label").count() == 80
