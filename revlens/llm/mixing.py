@@ -14,7 +14,7 @@ its later slots empty, so the others go on in proportion, and every document com
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,15 +70,44 @@ def schedule(slots: DataFrame) -> DataFrame:
     return placed.select("src", nth.alias("nth"), "slot", "period")
 
 
+def _planned(docs: DataFrame, weights: dict[str | None, float] | None, resolution: int, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(src, n, slots)`` and ``(src, nth, slot, period)``, at most resolution + 2 x sources rows."""
+    sizes = cut(docs.select(_key(F.col(source_col)).alias("src")).groupBy("src").agg(F.count("*").alias("n")), "mix-sizes")
+    if sizes.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: a mix names its sources")
+    slots = cut(_slots(sizes, weights, resolution), "mix-slots")
+    return slots, cut(schedule(slots.select("src", "slots")), "mix-plan")
+
+
+def mix_plan(docs: DataFrame, weights: dict[str | None, float] | None = None, resolution: int = RESOLUTION, source_col: str = "source") -> dict:
+    """The mix of a table, bounded by its sources and the resolution: ``sources``, the key, rows
+    and slots of each, and ``order``, the number of the source of every slot of a period."""
+    slots, plan = _planned(docs, weights, resolution, source_col)
+    sources = [[r["src"], r["n"], r["slots"]] for r in slots.orderBy("src").collect()]
+    number = {src: k for k, (src, _, _) in enumerate(sources)}
+    return {"sources": sources, "order": [number[r["src"]] for r in plan.orderBy("slot").collect()]}
+
+
+def _tables(spark: SparkSession, plan: dict) -> tuple[DataFrame, DataFrame]:
+    """``(src, n, slots)`` and ``(src, nth, slot, period)`` of a plan made before."""
+    done, rows = [0] * len(plan["sources"]), []
+    for slot, k in enumerate(plan["order"]):
+        rows.append((plan["sources"][k][0], done[k], slot, len(plan["order"])))
+        done[k] += 1
+    return (spark.createDataFrame([tuple(x) for x in plan["sources"]], "src string, n long, slots long"),
+            spark.createDataFrame(rows, "src string, nth long, slot long, period long"))
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION,
-        id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+        id_col: str = "doc_id", source_col: str = "source", plan: dict | None = None) -> DataFrame:
     """``docs`` with ``mix_block``, ``mix_slot``, ``mix_place`` (in the block) and
     ``mix_on_target`` (no source has run out before this slot).  Sorting by slot and place
     gives the mixed stream.
 
     Order within a source: MD5 of the id, then the id (null ids last).  Rows of one id are
     interchangeable.  A null source is a source of its own.  Columns of these names are
-    replaced; all rows stay.  Empty input gives an empty result.
+    replaced; all rows stay.  Empty input gives an empty result.  ``plan``: a mix made before
+    by ``mix_plan``, for the same rows; weights and resolution are then those of the plan.
     """
     new = ["mix_block", "mix_slot", "mix_place", "mix_on_target"]
     rows = docs.drop(*new)
@@ -86,11 +115,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     src, digest = _key(F.col(source_col)), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("~")))
     head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     narrow = docs.select(src.alias("src"), head.alias("h"))
-    sizes = cut(narrow.groupBy("src").agg(F.count("*").alias("n")), "mix-sizes")
-    if sizes.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: a mix names its sources")
-    slots = cut(_slots(sizes, weights, resolution), "mix-slots")
-    plan = cut(schedule(slots.select("src", "slots")), "mix-plan")       # at most resolution + 2 x sources rows
+    slots, plan = _planned(docs, weights, resolution, source_col) if plan is None else _tables(docs.sparkSession, plan)
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_PER_BUCKET)).cast("bigint")
     spread = F.broadcast(slots.select(F.col("src").alias("mix_src"), buckets.alias("mix_buckets"), F.col("slots").alias("mix_slots")))
     bucket = F.floor(F.col("h") * F.col("mix_buckets") / F.lit(1 << 32)).cast("bigint")
