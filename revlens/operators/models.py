@@ -7,8 +7,11 @@ plain relational code so it can be checked against SQL.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRestModel
 from pyspark.ml.clustering import KMeans
@@ -18,6 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from revlens.functions import text as T
@@ -25,6 +29,7 @@ from revlens.operators.lexicon import bounded_broadcast
 from revlens.operators.squared_hinge import squared_hinge_svm
 
 MAX_BROADCAST_BUCKETS = 1_000_000
+FLUSH_TERMS = 200_000     # terms held by a task before they are handed on
 TOKEN = r"[\p{L}\p{N}_]{2,}"   # fixed value: tokens of two or more word characters
 
 
@@ -41,32 +46,81 @@ def majority_baseline(df: DataFrame, y: str, id_cols: Sequence[str]) -> DataFram
 
 
 # --- ML2 --------------------------------------------------------------------
-def ngrams(text_col: str) -> Column:
-    """Unigrams and bigrams of the lower-cased >=2-character word tokens."""
-    t = F.regexp_extract_all(F.lower(T.as_text(text_col)), F.lit(TOKEN), 0)
-    return T.let(t, lambda a: F.concat(a, F.filter(
-        F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), lambda x, z: F.concat_ws(" ", x, z)),
-        lambda g: F.instr(g, " ") > 0)))
-
-
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 50_000, min_df: int = 2) -> DataFrame:
     """ML2, relational form of the smoothed, L2-normalised TF-IDF:
     idf = ln((1 + n) / (1 + df)) + 1; vocabulary = terms with df >= min_df, the
     ``max_features`` most frequent in the corpus (ties by term).  Long output
     (id, term, tf, weight).
 
-    Plan: texts are clustered by id once, so that the (id, term) counts and the
-    per-document norm need no further shuffle; only partial per-term df / totals are
-    shuffled -> top-k vocabulary (bounded by max_features, broadcast) -> weights."""
+    Plan: the texts of an id meet in one row (one shuffle of texts); the terms of a row are
+    counted in its task (``_term_counts``), so that no (id, term) row is ever sorted or
+    spilled.  Only per-term df / totals, summed up before, are shuffled -> top-k vocabulary
+    (bounded by max_features, broadcast) -> weights and norm, again within the row."""
     n_docs = df.select(F.count(F.lit(1)).cast("double")).scalar()
-    grams = df.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(ngrams(text_col)).alias("term"))
-    tf = grams.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    tokens = F.transform("_texts", lambda x: F.array_join(F.regexp_extract_all(F.lower(x), F.lit(TOKEN), 0), " "))
+    rows = df.select(id_col, T.as_text(text_col).alias("_text")).groupBy(id_col).agg(F.collect_list("_text").alias("_texts"))
+    rows = rows.select(id_col, tokens.alias("_tokens"))
+    stats = rows.select("_tokens").mapInArrow(_corpus_counts, "term string, df long, total long")
+    stats = stats.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where(F.col("df") >= min_df)
     vocab = stats.orderBy(F.desc("total"), "term").limit(max_features)
-    vocab = vocab.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(F.broadcast(vocab), "term").select(id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", "tf", (F.col("w") / norm).alias("weight"))
+    idf = dict(vocab.select("term", F.log((1 + n_docs) / (1 + F.col("df"))) + 1).toPandas().itertuples(index=False))
+    held = df.sparkSession.sparkContext.broadcast(idf)
+    schema = StructType([rows.schema[id_col], StructField("term", StringType()), StructField("tf", LongType()), StructField("weight", DoubleType())])
+
+    def weigh(batches):
+        known = held.value
+        for batch in batches:
+            take, terms, tfs, weights = [], [], [], []
+            for k, texts in enumerate(batch.column(1).to_pylist()):
+                found = [(t, n, n * known[t]) for t, n in _term_counts(texts).items() if t in known]
+                norm = math.sqrt(math.fsum(w * w for _, _, w in found))
+                take += [k] * len(found)
+                terms += [t for t, _, _ in found]
+                tfs += [n for _, n, _ in found]
+                weights += [w / norm for _, _, w in found]
+                if len(take) >= FLUSH_TERMS:
+                    yield _weighted(batch, take, terms, tfs, weights, schema)
+                    take, terms, tfs, weights = [], [], [], []
+            yield _weighted(batch, take, terms, tfs, weights, schema)
+
+    return rows.mapInArrow(weigh, schema)
+
+
+def _term_counts(texts: list[str]) -> Counter:
+    """Occurrences of the tokens and token pairs in the texts of one id (tokens apart by a space)."""
+    counts: Counter = Counter()
+    for text in texts:
+        tokens = text.split(" ") if text else []
+        counts.update(tokens)
+        counts.update(map("{} {}".format, tokens, tokens[1:]))
+    return counts
+
+
+def _corpus_counts(batches):
+    """(term, df, total) of the rows read, in parts of about ``FLUSH_TERMS`` terms."""
+    total: Counter = Counter()
+    held: Counter = Counter()
+
+    def part():
+        terms = list(total)
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([held[t] for t in terms], pa.int64()), pa.array(list(total.values()), pa.int64())],
+                                          names=["term", "df", "total"])
+
+    for batch in batches:
+        for texts in batch.column(0).to_pylist():
+            counts = _term_counts(texts)
+            total.update(counts)
+            held.update(counts.keys())
+            if len(total) >= FLUSH_TERMS:
+                yield part()
+                total.clear()
+                held.clear()
+    yield part()
+
+
+def _weighted(batch, take, terms, tfs, weights, schema) -> pa.RecordBatch:
+    ids = batch.column(0).take(pa.array(take, pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(weights, pa.float64())], names=schema.names)
 
 
 def tfidf_features(text_col: str = "review_text", max_features: int = 50_000, min_df: int = 2) -> list:
