@@ -147,43 +147,112 @@ def _rescored(df: DataFrame, id_col: str, text_col: str, scorer, top: int) -> Da
 def lime_text(df: DataFrame, id_cols: Sequence[str], text_col: str, scorer, num_samples: int = 50, top: int = 10,
               seed: int = 42, kernel_width: float = 25.0, alpha: float = 1.0) -> DataFrame:
     """X5(b) (Ribeiro et al. 2016): per text, ``num_samples`` hash-seeded word masks
-    (sample 0 keeps everything), one distributed scoring pass over the perturbed
-    texts, then a weighted ridge fit per text in ``applyInPandas`` -- a group is one
-    text, bounded by num_samples x its distinct words; the system solved has num_samples rows.  Output (ids..., word, weight, rank)."""
-    import numpy as np
-    import pandas as pd
+    (sample 0 keeps everything), the compound of every masked text, then a weighted ridge fit
+    per text; the system solved has num_samples rows.  Output (ids..., word, weight, rank).
 
+    With a lexicon that may be broadcast a text is masked, scored and fitted in its own task
+    (num_samples x its tokens), so that only the texts and the top words cross a task.  With a
+    larger one the masked texts are scored by ``scorer`` in one distributed pass and meet again
+    in ``applyInPandas``.  Rows of the same ids and tokens are one text, their hits add up."""
     ids = list(id_cols)
-    toks = df.select(*ids, T.word_tokens(text_col).alias("_t"))
-    samples = toks.select(*ids, "_t", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("_s"))
 
-    def keep(w):
-        h = F.xxhash64(*[F.col(c) for c in ids], F.col("_s"), w, F.lit(seed))
-        return (F.col("_s") == 0) | (F.pmod(h, F.lit(2)) == 1)
+    def keep(sample, w):
+        h = F.xxhash64(*[F.col(c) for c in ids], sample, w, F.lit(seed))
+        return (sample == 0) | (F.pmod(h, F.lit(2)) == 1)
+
+    def explained(vocab, X, y):
+        return _ridge_top(vocab, X, y, kernel_width, alpha, top)
+
+    lexicon = getattr(scorer, "lexicon", None)
+    if lexicon is None or (scorer.lexicon_rows or lexicon.limit(MAX_BROADCAST_LEXICON_ROWS + 1).count()) > MAX_BROADCAST_LEXICON_ROWS:
+        return _lime_rescored(df, ids, text_col, scorer, num_samples, keep, explained)
+    known: dict = {}
+    for token, v in lexicon.select("token", "valence").collect():
+        if v is not None:
+            known.setdefault(token, []).append(float(v))
+    held = df.sparkSession.sparkContext.broadcast((known, frozenset(scorer.negation), dict(scorer.booster)))
+    texts = df.select(*ids, F.array_join(T.word_tokens(text_col), " ").alias("_txt")).groupBy(*ids, "_txt").agg(F.count(F.lit(1)).alias("_n"))
+    rows = texts.select(*ids, "_n", F.when(F.col("_txt") == "", F.array().cast("array<string>")).otherwise(F.split("_txt", " ")).alias("_t"))
+    rows = rows.select("*", F.array_distinct("_t").alias("_v"))
+    samples = F.sequence(F.lit(0), F.lit(num_samples - 1))
+    rows = rows.select("*", F.flatten(F.transform(samples, lambda s: F.transform("_v", lambda w: keep(s, w).cast("tinyint")))).alias("_m"))
+    schema = StructType([*[rows.schema[c] for c in ids], StructField("word", StringType()), StructField("weight", DoubleType()), StructField("rank", IntegerType())])
+    at = len(ids)
+
+    def work(batches):
+        import numpy as np
+        for batch in batches:
+            take, out = [], ([], [], [])
+            masks = batch.column(at + 3)
+            for k, (n, tokens, vocab) in enumerate(zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist())):
+                if not vocab:
+                    continue
+                X = np.asarray(masks[k].values, dtype=bool).reshape(num_samples, len(vocab))
+                y = masked_compounds(tokens, vocab, X, n, *held.value)
+                for rank, (word, weight) in enumerate(explained(vocab, X.astype(float), y), 1):
+                    take.append(k)
+                    for column, x in zip(out, (word, weight, rank)):
+                        column.append(x)
+            at_rows = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at_rows) for c in range(at)], pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int32())],
+                                             names=schema.names)
+
+    return rows.mapInArrow(work, schema)
+
 
-    pert = samples.select(*ids, "_s", F.array_join(F.filter("_t", keep), " ").alias("_txt"),
+def masked_compounds(tokens: list[str], vocab: list[str], masks, times: int, valence: dict, negation: frozenset, booster: dict):
+    """The compound of the text under every mask (a row of ``masks``: the words of ``vocab`` that
+    stay), each hit counted ``times`` times.  Only hits and the three words kept before them count."""
+    import numpy as np
+    place = {w: i for i, w in enumerate(vocab)}
+    at = np.array([place[t] for t in tokens])
+    hit = np.array([w in valence for w in vocab])
+    y = np.zeros(len(masks))
+    for s, mask in enumerate(masks):
+        kept = at[mask[at]]
+        total = 0.0
+        for i in np.flatnonzero(hit[kept]).tolist():
+            before = [vocab[j] for j in kept[max(0, i - 3):i][::-1]]
+            boost = sum(booster.get(w, 0.0) * d for w, d in zip(before, BOOSTER_DAMPING))
+            negated = any(w in negation for w in before)
+            for v in valence[vocab[kept[i]]]:
+                v += math.copysign(1.0, v) * boost if v else 0.0
+                total += times * (v * NEGATION_SCALAR if negated else v)
+        y[s] = total / math.sqrt(total * total + COMPOUND_ALPHA)
+    return y
+
+
+def _ridge_top(vocab: list[str], X, y, kernel_width: float, alpha: float, top: int) -> list[tuple]:
+    """The ``top`` (word, weight) of the ridge, samples weighted by their nearness to the text."""
+    import numpy as np
+    frac = X.mean(axis=1)
+    dist = (1.0 - np.sqrt(np.clip(frac, 0.0, 1.0))) * 100.0       # cosine distance to the full text, x100
+    w = np.sqrt(np.exp(-(dist ** 2) / kernel_width ** 2))
+    # weighted ridge with a free intercept, solved in the dual: samples x samples
+    r = np.sqrt(w)[:, None]
+    A, t = r * (X - (w @ X) / w.sum()), r[:, 0] * (y - (w @ y) / w.sum())
+    coef = A.T @ np.linalg.solve(A @ A.T + alpha * np.eye(len(A)), t)
+    order = sorted(range(len(vocab)), key=lambda i: (-abs(coef[i]), vocab[i]))[:top]
+    return [(vocab[i], float(coef[i])) for i in order]
+
+
+def _lime_rescored(df: DataFrame, ids: list[str], text_col: str, scorer, num_samples: int, keep, explained) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+    toks = df.select(*ids, T.word_tokens(text_col).alias("_t"))
+    samples = toks.select(*ids, "_t", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("_s"))
+    pert = samples.select(*ids, "_s", F.array_join(F.filter("_t", lambda w: keep(F.col("_s"), w)), " ").alias("_txt"),
                           F.array_distinct("_t").alias("_v"))
-    vocab_masks = F.transform("_v", lambda w: keep(w).cast("int"))
+    vocab_masks = F.transform("_v", lambda w: keep(F.col("_s"), w).cast("int"))
     scored = scorer.intensity(pert.select(*ids, "_s", "_txt", "_v", vocab_masks.alias("_m")), [*ids, "_s"],
                               "_txt", carry_cols=["_v", "_m"])
-    rows = scored.select(*ids, "_s", "_v", "_m", F.col("vader_compound").alias("_y"))
+    rows = scored.where(F.size("_v") > 0).select(*ids, "_s", "_v", "_m", F.col("vader_compound").alias("_y"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         vocab = list(pdf["_v"].iloc[0])
-        if not vocab:
-            return pd.DataFrame({**{c: [] for c in ids}, "word": [], "weight": [], "rank": []})
-        X = np.array([list(m) for m in pdf["_m"]], dtype=float)
-        y = pdf["_y"].to_numpy(dtype=float)
-        frac = X.mean(axis=1)
-        dist = (1.0 - np.sqrt(np.clip(frac, 0.0, 1.0))) * 100.0       # cosine distance to the full text, x100
-        w = np.sqrt(np.exp(-(dist ** 2) / kernel_width ** 2))
-        # weighted ridge with a free intercept, solved in the dual: samples x samples
-        r = np.sqrt(w)[:, None]
-        A, t = r * (X - (w @ X) / w.sum()), r[:, 0] * (y - (w @ y) / w.sum())
-        coef = A.T @ np.linalg.solve(A @ A.T + alpha * np.eye(len(A)), t)
-        order = sorted(range(len(vocab)), key=lambda i: (-abs(coef[i]), vocab[i]))[:top]
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in ids}, "word": [vocab[i] for i in order],
-                             "weight": [float(coef[i]) for i in order], "rank": list(range(1, len(order) + 1))})
+        best = explained(vocab, np.array([list(m) for m in pdf["_m"]], dtype=float), pdf["_y"].to_numpy(dtype=float))
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in ids}, "word": [w for w, _ in best],
+                             "weight": [x for _, x in best], "rank": list(range(1, len(best) + 1))})
 
     types = dict(df.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in ids) + ", word string, weight double, rank int"
