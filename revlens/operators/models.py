@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRestModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer,
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
                                 SQLTransformer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -30,6 +30,7 @@ from revlens.operators.squared_hinge import squared_hinge_svm
 
 MAX_BROADCAST_BUCKETS = 1_000_000
 FLUSH_TERMS = 200_000     # terms held by a task before they are handed on
+TASK_CHARS = 32 << 20     # characters of the texts whose features a task reads in a pass
 TOKEN = r"[\p{L}\p{N}_]{2,}"   # fixed value: tokens of two or more word characters
 
 
@@ -123,26 +124,37 @@ def _weighted(batch, take, terms, tfs, weights, schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(weights, pa.float64())], names=schema.names)
 
 
-def tfidf_features(text_col: str = "review_text", max_features: int = 50_000, min_df: int = 2) -> list:
-    """ML form of ML2 (unfitted stages): tokens + bigrams -> counts -> idf."""
+def token_stages(text_col: str = "review_text") -> list:
+    """Stages from a text to its tokens and token pairs, ``_terms``."""
     return [
         RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN, gaps=False, toLowercase=True),
         NGram(n=2, inputCol="_tok", outputCol="_bi"),
         SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=float(min_df)),
-        IDF(inputCol="_tf", outputCol="_spark_idf"),
     ]
 
 
 def fit_tfidf(train: DataFrame, text_col: str = "review_text", max_features: int = 50_000,
               min_df: int = 2) -> PipelineModel:
-    """Fit tokens/counts/idf, then re-express the weights as tf * (idf_spark + 1) (the
-    smoothed '+1' form) and L2-normalise -> column ``features``."""
-    fitted = Pipeline(stages=tfidf_features(text_col, max_features, min_df)).fit(train)
-    stages = fitted.stages
-    idf_plus_one = DenseVector(stages[-1].idf.toArray() + 1.0)
-    return PipelineModel(stages=stages[:4] + [
-        ElementwiseProduct(scalingVec=idf_plus_one, inputCol="_tf", outputCol="_w"),
+    """ML form of ML2: tokens and pairs -> counts -> tf * idf with the smoothed '+1' idf ->
+    L2-normalised, column ``features``.
+
+    Terms are counted in the tasks (``_corpus_counts``), only per-task sums are shuffled, and
+    the vocabulary comes with its idf from one pass over the texts (ties by term)."""
+    stages = token_stages(text_col)
+    tokens = stages[0].transform(train).select(F.array(F.array_join("_tok", " ")).alias("_tokens"))
+    n_docs = train.count()
+    stats = tokens.mapInArrow(_corpus_counts, "term string, df long, total long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    # term "" stands for texts without tokens
+    vocab = stats.where((F.col("df") >= min_df) & (F.col("term") != "")).orderBy(F.desc("total"), "term").limit(max_features).select("term", "df").toPandas()
+    if vocab.empty:
+        raise ValueError(f"no term stands in {min_df} texts or more")
+    sc = train.sparkSession.sparkContext
+    terms = sc._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(vocab["term"]))    # one call, not one a term
+    counts = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", terms)
+    idf = DenseVector([math.log((1 + n_docs) / (1 + x)) + 1 for x in vocab["df"]])
+    return PipelineModel(stages=stages + [
+        counts.setInputCol("_terms").setOutputCol("_tf"),
+        ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_w"),
         Normalizer(p=2.0, inputCol="_w", outputCol="features"),
     ])
 
@@ -154,10 +166,12 @@ def tfidf_classifier(train: DataFrame, label_col: str, text_col: str = "review_t
     ML4 (kind='svm': linear SVM with squared hinge loss, C = 1; with more than two classes
     one model a class against the rest, labels 0 to k - 1)."""
     from revlens.session import materialize
-    train = materialize(train.withColumn(text_col, T.as_text(text_col)))
+    train = materialize(train.select(label_col, T.as_text(text_col).alias(text_col)))
     feat = fit_tfidf(train, text_col, max_features)
-    x = materialize(feat.transform(train))
-    n, k = x.select(F.count(F.lit(1)), F.count_distinct(label_col)).first()
+    x = materialize(feat.transform(train).select(label_col, "features"))     # no text, tokens or counts
+    n, k, chars = train.select(F.count(F.lit(1)), F.count_distinct(label_col), F.sum(F.length(text_col))).first()
+    # every task of a pass sends a vector of max_features: as many as cores, more only for large tasks
+    x = x.coalesce(max(train.sparkSession.sparkContext.defaultParallelism, -(-(chars or 0) // TASK_CHARS)))
     if kind == "logreg":
         est = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=300, regParam=1.0 / max(n, 1),
                                  elasticNetParam=0.0, standardization=False)
