@@ -5,10 +5,11 @@ one more weight, of a constant feature, and is regularised with the others.  New
 are solved by conjugate gradients from Hessian-vector products; the step length is found
 among halvings whose objectives come out of one pass.
 
-Every pass is one Spark job over a written table of sparse rows: a task adds up its rows
-into one vector of the number of features, and the vectors are added by feature number in
-an aggregate that is combined before the shuffle.  The driver holds a few vectors of that
-size (bounded by ``max_features``), never rows.
+Every pass is one Spark job over kept blocks of sparse rows, numbers as bytes that go to the
+task as they are: a task adds up its blocks into one vector of the number of features, and the
+vectors are added in a tree.  A pass has as many tasks as there are cores, more only for more
+than ``TASK_BYTES`` a task, so that the vectors sent do not grow with the splits of the input.
+The driver holds a few vectors of that size (bounded by ``max_features``), never rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.classification import LinearSVCModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import Vectors
@@ -24,32 +26,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HALVINGS = 20
-SUMS = "place int, v double"
-LOSS = -1      # places below zero hold objectives, one for each step length
+BLOCKS = "counts binary, places binary, vals binary, y binary"     # int32, int32, double, double
+BLOCK_ENTRIES = 200_000     # entries of a block, unless one row has more
+TASK_BYTES = 64 << 20       # bytes of blocks that a task reads in a pass
 
 
 def sparse_rows(df: DataFrame, features_col: str, label_col: str) -> DataFrame:
-    """``(places, vals, y)`` with y = 1 for label 1, else -1; rows without a label or without
-    features take no part.  Not-a-number and zero entries count as zero."""
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (``BLOCKS``): the entries of each row, their places and values one after
+    the other, and y = 1 for label 1, else -1; rows without a label or without features take no
+    part.  Not-a-number and zero entries count as zero."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places, vals = [], []
-            for v in b.column(0).to_pylist():
-                x = np.nan_to_num(np.asarray(v["values"], float))
-                at = np.arange(len(x), dtype=np.int32) if v["type"] == 1 else np.asarray(v["indices"], np.int32)
-                places.append(at[x != 0])
-                vals.append(x[x != 0])
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float64())), b.column(1)],
-                                             names=["places", "vals", "y"])
+            if not b.num_rows:
+                continue
+            places, vals, counts = _entries(b.column(0))
+            y = b.column(1).to_numpy()
+            ends = np.cumsum(counts)
+            cuts = np.flatnonzero(np.diff(np.maximum(ends - 1, 0) // BLOCK_ENTRIES)) + 1
+            out: list[list[bytes]] = [[], [], [], []]
+            for lo, hi in zip([0, *cuts], [*cuts, len(counts)]):
+                at = slice(ends[lo] - counts[lo], ends[hi - 1])
+                for held, x in zip(out, (counts[lo:hi].astype(np.int32), places[at].astype(np.int32), vals[at], y[lo:hi])):
+                    held.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["counts", "places", "vals", "y"])
     y = F.when(F.col(label_col) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
     kept = df.where(F.col(label_col).isNotNull() & F.col(features_col).isNotNull()).select(F.col(features_col).alias("x"), y.alias("y"))
-    return kept.mapInArrow(unpack, "places array<int>, vals array<double>, y double")
+    return kept.mapInArrow(pack, BLOCKS)
+
+
+def _entries(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and values of the non-zero entries of dense (type 1) and sparse vectors, one after
+    the other, and their number in each vector."""
+    values = vectors.field("values")
+    n = values.value_lengths().to_numpy()
+    vals = np.nan_to_num(values.flatten().to_numpy())
+    dense = np.repeat(vectors.field("type").to_numpy() == 1, n)
+    places = np.arange(len(vals)) - np.repeat(np.cumsum(n) - n, n)
+    places[~dense] = vectors.field("indices").flatten().to_numpy()
+    row, keep = np.repeat(np.arange(len(n)), n), vals != 0
+    return places[keep], vals[keep], np.bincount(row[keep], minlength=len(n))
 
 
 class _Passes:
     """Sums over the rows as Spark jobs; ``rows`` must be cheap to read again and again."""
 
-    def __init__(self, rows: DataFrame, n_features: int, c: float):
+    def __init__(self, rows: RDD, n_features: int, c: float):
         self.rows, self.d, self.c, self.jobs = rows, n_features, c, 0
 
     def _sum(self, add, n_losses: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -58,37 +79,31 @@ class _Passes:
         d = self.d
 
         class Batch:
-            def __init__(self, b: pa.RecordBatch):
-                lists = b.column(0)
-                self.n = len(lists)
-                self.row = np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
-                self.at = lists.flatten().to_numpy()
-                self.val = b.column(1).flatten().to_numpy()
+            def __init__(self, counts: np.ndarray, places: np.ndarray, vals: np.ndarray):
+                self.counts, self.val, self.at = counts, vals, places.astype(np.intp)
+                self.some = np.flatnonzero(counts)
+                self.starts = (np.cumsum(counts, dtype=np.intp) - counts)[self.some]
 
             def __call__(self, w: np.ndarray) -> np.ndarray:
-                return np.bincount(self.row, self.val * w[self.at], self.n) + w[d]
+                scores = np.zeros(len(self.counts))
+                if len(self.some):
+                    scores[self.some] = np.add.reduceat(self.val * w[self.at], self.starts)
+                return scores + w[d]
 
             def back(self, coef: np.ndarray, total: np.ndarray) -> None:
-                total[:d] += np.bincount(self.at, self.val * coef[self.row], d)
+                total[:d] += np.bincount(self.at, self.val * np.repeat(coef, self.counts), d)
                 total[d] += coef.sum()
 
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def task(blocks: Iterator[tuple]) -> Iterator[np.ndarray]:
             total, losses = np.zeros(d + 1), np.zeros(n_losses)
-            for b in batches:
-                if b.num_rows:
-                    add(Batch(b), b.column(2).to_numpy(), total, losses)
-            place = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([place, LOSS - np.arange(n_losses)]).astype(np.int32)), pa.array(np.concatenate([total[place], losses]))],
-                names=["place", "v"])
+            for block in blocks:
+                counts, places, vals, y = (np.frombuffer(x, t) for x, t in zip(block, (np.int32, np.int32, float, float)))
+                add(Batch(counts, places, vals), y, total, losses)
+            yield np.concatenate([total, losses])
 
         self.jobs += 1
-        got = self.rows.mapInArrow(task, SUMS).groupBy("place").agg(F.sum("v").alias("v")).toArrow()
-        total, losses = np.zeros(d + 1), np.zeros(n_losses)
-        place, v = got.column("place").to_numpy(), got.column("v").to_numpy()
-        total[place[place >= 0]] = v[place >= 0]
-        losses[LOSS - place[place < 0]] = v[place < 0]
-        return total, losses
+        got = self.rows.mapPartitions(task).treeAggregate(np.zeros(d + 1 + n_losses), np.add, np.add)
+        return got[:d + 1], got[d + 1:]
 
     def gradient(self, w: np.ndarray) -> tuple[float, np.ndarray]:
         c = self.c
@@ -119,10 +134,17 @@ class _Passes:
 
 
 def minimise(rows: DataFrame, n_features: int, c: float = 1.0, tol: float = 1e-4, most_steps: int = 50, most_products: int = 30) -> tuple[np.ndarray, float]:
-    """Weights (the intercept last) and the objective reached.  Ends when the gradient has
+    """Weights (the intercept last) and the objective reached; ``rows`` are blocks.  Ends when the gradient has
     shrunk to ``tol`` of that at zero, or when no halving of a step lowers the objective.
     Without rows all weights are zero."""
-    p = _Passes(rows, n_features, c)
+    held = rows.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    try:
+        return _newton(_Passes(held, n_features, c), n_features, tol, most_steps, most_products)
+    finally:
+        held.unpersist()
+
+
+def _newton(p: _Passes, n_features: int, tol: float, most_steps: int, most_products: int) -> tuple[np.ndarray, float]:
     w = np.zeros(n_features + 1)
     value, g = p.gradient(w)
     first = np.linalg.norm(g)
@@ -158,7 +180,9 @@ def squared_hinge_svm(train: DataFrame, features_col: str, label_col: str, c: fl
     from revlens.session import materialize
     first = train.where(F.col(features_col).isNotNull()).select(features_col).first()
     d = first[0].size if first else 0
-    w, _ = minimise(materialize(sparse_rows(train, features_col, label_col)), d, c, tol)
     sc = train.sparkSession.sparkContext
+    blocks = materialize(sparse_rows(train, features_col, label_col))
+    size = blocks.agg(F.sum(F.length("places") + F.length("vals"))).first()[0] or 0
+    w, _ = minimise(blocks.coalesce(max(sc.defaultParallelism, -(-size // TASK_BYTES))), d, c, tol)
     model = LinearSVCModel(sc._jvm.org.apache.spark.ml.classification.LinearSVCModel("squaredHinge", _py2java(sc, Vectors.dense(w[:d])), float(w[d])))
     return model.setFeaturesCol(features_col)

@@ -178,3 +178,18 @@ def test_text_classifier_writes_no_tokens(spark, monkeypatch):
     for kind in ("logreg", "svm"):
         assert ML.tfidf_classifier(d, "label", kind=kind).transform(d).where("prediction = label").count() == 20
     assert not [w for w in written if w & {"_tok", "_bi", "_terms", "_tf", "_w"}], written
+
+
+def test_solver_reads_blocks(spark, monkeypatch):
+    """Rows go to the passes in blocks, a long row alone in its own."""
+    from pyspark.ml.linalg import Vectors
+    from revlens.operators import squared_hinge as SH
+    vectors = [Vectors.sparse(9, [1, 4], [2.0, 0.0]), Vectors.dense([1.0] * 9), Vectors.sparse(9, [], []), Vectors.sparse(9, [0, 8], [float("nan"), 3.0])]
+    d = spark.createDataFrame([(v, k % 2) for k, v in enumerate(vectors * 25)], ["features", "label"]).coalesce(1)
+    assert SH.sparse_rows(d, "features", "label").count() == 1
+    whole = SH.squared_hinge_svm(d, "features", "label")
+    monkeypatch.setattr(SH, "BLOCK_ENTRIES", 7)
+    blocks = SH.sparse_rows(d, "features", "label").collect()
+    assert len(blocks) > 25 and sum(len(b["y"]) for b in blocks) == 8 * 100 and sum(len(b["vals"]) for b in blocks) == 8 * 25 * 11
+    cut = SH.squared_hinge_svm(d, "features", "label")
+    assert max(abs(whole.coefficients.toArray() - cut.coefficients.toArray())) < 1e-9
