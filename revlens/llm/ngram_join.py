@@ -14,7 +14,9 @@ Digests that many rows share, say those of a passage that runs through the corpu
 tie unlike rows into one huge block.  They are counted over all rows, and a row gives its
 rarest ones first and no more than the bound asks for (see ``signatures``).
 
-Every diagonal block is multiplied exactly, in square tiles of rows and slices of columns:
+Every diagonal block is multiplied exactly, in square tiles of rows and slices of columns
+(a block of several tiles first loses the columns that one row has alone and the rows that
+share too few, see ``_multiply``):
 overlaps accumulate slice by slice, and pairs whose count plus what is left cannot reach
 the size-derived bound are dropped on the way.  A tile gives out a spanning forest of the
 links it found, never all pairs, so no link between components is lost and the output
@@ -35,6 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from revlens.llm.common import U64, components, cut, mix, released, shingle_hashes, small_side, text_batches, word_hashes
 
@@ -42,9 +45,13 @@ ENTRIES_HELD = 400_000      # signature entries a task gathers before it deals t
 TILE_ROWS = 256
 TILE_COLUMNS = 2048
 TILE_ENTRIES = 200_000
+SLICE_ENTRIES = 500_000     # entries of a block whose columns are counted at once
+MOST_PARTS = 1 << 20        # bound of the parts of a band
+MOST_BROADCAST_TILES = 200_000
 MOST_BROADCAST_IDS = 2_000_000
 ROWS_PER_BUCKET = 20_000      # about a million signature entries
 MOST_COMMON = 500_000       # bound of the common signatures shipped; fewer cost time, not links
+SET_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
 
 
 class Bound:
@@ -245,12 +252,13 @@ def _meet(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": edges[:, 0], "dst": edges[:, 1]})
 
 
-def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, bound: Bound) -> list[tuple[int, int]]:
+def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, bound: Bound, sizes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest of the linked pairs of one tile.  ``side`` is 0 or 1; with both
-    present only pairs across count (the pairs within are another tile's)."""
-    sizes = np.array([len(s) for s in sets])
+    present only pairs across count (the pairs within are another tile's).  ``sizes`` are those
+    of the whole sets, where ``sets`` lack columns that no other row has."""
+    sizes = np.array([len(s) for s in sets]) if sizes is None else sizes
     m = len(sets)
-    flat, row = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
     column = np.cumsum(np.concatenate([[0], (flat[1:] != flat[:-1]).astype(np.int64)]))
@@ -327,37 +335,98 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
             .select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def _tiles(sized: DataFrame, bound: Bound) -> DataFrame:
+    """Tiles of the rows ``sized (block, doc_id, key, n, held)``: ``(block, doc_id, key, tiles)``
+    with ``tiles`` an array of (i, j, side).
+
+    A block that does not fit one tile is cut by size into bands, each as wide as the sizes of
+    two linked rows can differ, so rows meet those of their own and the next bands only; a
+    band of many rows is cut into parts."""
+    block = sized.groupBy("block").agg(F.count("*").alias("m"), F.sum("held").alias("entries")).where("m > 1")
+    one = (F.col("m") <= 2 * TILE_ROWS) & (F.col("entries") <= 2 * TILE_ENTRIES)
+    # a little wider than den / num, so that rounding never puts linked rows two bands apart
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(bound.den / bound.num * (1 + 1e-9))).cast("bigint")
+    rows = sized.join(block.select("block", one.alias("one")), "block").withColumn("band", F.when(F.col("one"), F.lit(0)).otherwise(band).cast("bigint"))
+    parts = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("held") / TILE_ENTRIES), F.lit(1))
+    bands = rows.groupBy("block", "band").agg(F.when(F.bool_or("one"), 1).otherwise(parts).cast("int").alias("parts"))
+    by = Window.partitionBy("block").orderBy("band")
+    beside = lambda step: F.when(F.lag("band", step).over(by) == F.col("band") - step, F.lag("parts", step).over(by)).otherwise(0)
+    bands = bands.select("block", "band", "parts", beside(1).alias("below"), beside(-1).alias("above"))
+    c = F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("bigint")
+    dealt = rows.join(bands, ["block", "band"]).select("block", "doc_id", "key", "band", "parts", "below", "above", c.alias("c"))
+    at = lambda band, part: band * MOST_PARTS + part
+    own = lambda o: F.struct(at(F.col("band"), F.least("c", o)).alias("i"), at(F.col("band"), F.greatest("c", o)).alias("j"), (F.col("c") > o).cast("int").alias("side"))
+    up = lambda o: F.struct(at(F.col("band"), F.col("c")).alias("i"), at(F.col("band") + 1, o).alias("j"), F.lit(0).alias("side"))
+    down = lambda o: F.struct(at(F.col("band") - 1, o).alias("i"), at(F.col("band"), F.col("c")).alias("j"), F.lit(1).alias("side"))
+    each = lambda n, tile: F.transform(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint")), lambda o: o < F.col(n)), tile)
+    return dealt.select("block", "doc_id", "key", F.concat(each("parts", own), each("above", up), each("below", down)).alias("tiles"))
+
+
+def _shared(piece: pa.Table) -> pa.Table:
+    """Of one slice of the columns of a block: what each row has of the columns of two rows or more."""
+    found = [np.frombuffer(x.as_py(), U64) for x in piece.column("found")]
+    sizes = np.array([len(f) for f in found])
+    flat = np.concatenate(found)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    many = times[column] > 1
+    ends = np.cumsum(sizes)
+    left = [flat[a:b][many[a:b]] for a, b in zip(ends - sizes, ends)]
+    some = pa.array([k for k, f in enumerate(left) if len(f)], pa.int64())
+    out = piece.select(["block", "doc_id", "key", "n"]).take(some)
+    return out.append_column("found", pa.array([f.tobytes() for f in left if len(f)], pa.binary()))
+
+
 def _multiply(rows: DataFrame, head_of: DataFrame, group: DataFrame, width: int, bound: Bound) -> DataFrame:
-    """Links ``(src, dst)`` within the diagonal blocks ``group (node, component)``."""
+    """Links ``(src, dst)`` within the diagonal blocks ``group (node, component)``.
+
+    A block of one tile is multiplied as it is.  Of a larger one the columns that a single row
+    has count in no overlap, and a linked row shares at least t of its own columns: the rest
+    goes, slice of columns by slice, before rows are sent once for every tile."""
     sized = head_of.where("doc_id = head").select("head", "n")
     member = cut(sized.join(group, F.col("head") == F.col("node")).select("head", "n", F.col("component").alias("block")), "jaccard-members")
     blocks = member.groupBy("block").agg(F.count("*").alias("m"), F.sum("n").alias("entries")).where("m > 1")
-    parts = F.greatest(F.ceil(F.col("m") / TILE_ROWS), F.ceil(F.col("entries") / TILE_ENTRIES), F.lit(1)).cast("int")
-    parts = F.when((F.col("m") <= 2 * TILE_ROWS) & (F.col("entries") <= 2 * TILE_ENTRIES), 1).otherwise(parts)
-    dealt = cut(member.join(blocks.withColumn("parts", parts), "block")
-                .withColumn("c", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int"))
-                .select("head", "block", "parts", "c"), "jaccard-dealt")
-    ids = dealt.select(F.col("head").alias("doc_id"), "block", "parts", "c").distinct()
+    slices = F.when((F.col("m") <= 2 * TILE_ROWS) & (F.col("entries") <= 2 * TILE_ENTRIES), 0).otherwise(F.ceil(F.col("entries") / SLICE_ENTRIES)).cast("int")
+    ids = cut(member.join(blocks.withColumn("slices", slices), "block").select(F.col("head").alias("doc_id"), "block", "slices").distinct(), "jaccard-dealt")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            at = batch.schema.get_field_index("text")
-            blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(at)]
-            # another text of a document that is here may be empty: it is linked with nothing
-            full = pa.array([k for k, b in enumerate(blobs) if b], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(full) for c in ("doc_id", "block", "parts", "c")), pa.array([b for b in blobs if b], pa.binary())],
-                                             names=["doc_id", "block", "parts", "c", "found"])
-
-    some = rows.join(small_side(ids, ids.count(), MOST_BROADCAST_IDS), "doc_id").select("doc_id", "block", "parts", "c", "text")
-    tiled = (some.mapInArrow(sets, "doc_id long, block long, parts int, c int, found binary")
-             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("block", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "doc_id",
-                     (F.col("c") > F.col("o")).cast("int").alias("side"), "found"))
+            block, ids, cuts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "doc_id", "slices"))
+            out, held = [], 0
+            for k, text in enumerate(batch.column(batch.schema.get_field_index("text"))):
+                # another text of a document that is here may be empty: it is linked with nothing
+                found = shingle_set(text.as_py(), width)
+                key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                part = ((found >> U64(32)) * U64(max(cuts[k], 1))) >> U64(32)
+                edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(found) else []
+                for a, b in zip(edges[:-1], edges[1:]):
+                    out.append((block[k], int(part[a]), ids[k], key, len(found), found[a:b].tobytes()))
+                held += len(found)
+                if held > ENTRIES_HELD or len(out) and k == len(ids) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), SET_TYPES)], names=["block", "slice", "doc_id", "key", "n", "found"])
+                    out, held = [], 0
+
+    def whole(some: DataFrame) -> DataFrame:
+        own = rows.join(small_side(some, some.count(), MOST_BROADCAST_IDS), "doc_id").select("doc_id", "block", "slices", "text")
+        return own.mapInArrow(sets, "block long, slice int, doc_id long, key binary, n long, found binary")
+
+    small = whole(ids.where("slices = 0")).select("block", F.array(F.struct(
+        F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(0).alias("side"))).alias("tiles"), "doc_id", "key", "n", "found")
+    tiled = small
+    if ids.where("slices > 0").limit(1).count():
+        shared = cut(whole(ids.where("slices > 0")).groupBy("block", "slice").applyInArrow(_shared, "block long, doc_id long, key binary, n long, found binary"), "jaccard-shared")
+        held = shared.groupBy("block", "doc_id", "key", "n").agg((F.sum(F.octet_length("found")) / 8).cast("bigint").alias("held"))
+        tiles = cut(_tiles(held.where(F.col("held") * bound.den >= F.col("n") * bound.num), bound), "jaccard-tiles")
+        tiled = tiled.unionByName(shared.join(small_side(tiles, tiles.count(), MOST_BROADCAST_TILES), ["block", "doc_id", "key"]))
+    tiled = tiled.select("block", "doc_id", "key", "n", "found", F.inline("tiles"))
 
     def work(tile: pa.Table) -> pa.Table:
-        ids = tile.column("doc_id").to_numpy()
-        found = [np.frombuffer(x.as_py(), U64) for x in tile.column("found")]
-        out = tile_links(ids, found, tile.column("side").to_numpy(), bound) if len(ids) > 1 else []
+        ids, key, n, side = (tile.column(c).to_pylist() for c in ("doc_id", "key", "n", "side"))
+        found: dict = {}
+        for k, piece in enumerate(tile.column("found")):
+            found.setdefault((ids[k], key[k], n[k], side[k]), []).append(np.frombuffer(piece.as_py(), U64))
+        own = [np.array([r[c] for r in found]) for c in (0, 2, 3)]
+        sets = [np.unique(np.concatenate(f)) if len(f) > 1 else f[0] for f in found.values()]
+        out = tile_links(own[0], sets, own[2], bound, own[1]) if len(sets) > 1 else []
         return pa.table({"src": pa.array([a for a, _ in out], pa.int64()), "dst": pa.array([b for _, b in out], pa.int64())})
 
     return cut(tiled.groupBy("block", "i", "j").applyInArrow(work, "src long, dst long"), "jaccard-product")
