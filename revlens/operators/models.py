@@ -300,11 +300,16 @@ def balanced_weight(df: DataFrame, label_col: str) -> Column:
 
 def random_forest(train: DataFrame, features_col: str, label_col: str, num_trees: int = 400, max_depth: int = 30,
                   seed: int = 42):
-    """ML7: distributed random forest; class-balanced weights, min leaf 1,
-    depth capped at 30 (Spark's maximum).  The node of every row in every tree is kept, else the
-    trees grown so far go out with each task and every row walks them again for each level."""
+    """ML7: distributed random forest; class-balanced weights, min leaf 1, depth capped at 30.
+    Trees are grown in tasks and never collected (``forest``); a table whose binned rows are
+    more than a task holds goes to pyspark.ml's forest, with the node of every row in every tree
+    kept."""
     from pyspark.ml.classification import RandomForestClassifier
+    from revlens.operators.forest import fit_forest
     from revlens.session import materialize
+    forest = fit_forest(train, features_col, label_col, num_trees, max_depth, seed)
+    if forest is not None:
+        return forest
     w = materialize(train.withColumn("_w", balanced_weight(train, label_col)))
     rf = RandomForestClassifier(featuresCol=features_col, labelCol=label_col, weightCol="_w", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=1, seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=True)

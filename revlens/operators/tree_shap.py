@@ -26,6 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.operators.forest import Forest
 from revlens.session import materialize, scratch_path
 
 BLOCK_SPLITS = 2_000_000     # features on the paths of a block of leaves (32 bytes each)
@@ -34,6 +35,8 @@ _LEAVES = "tree int, leaf int, value double, weight double, feature array<int>,
 
 def node_table(model, spark) -> DataFrame:
     """(tree, id, stats, left, right, feature, threshold) of a fitted forest or tree."""
+    if isinstance(model, Forest):
+        return model.nodes()
     path = scratch_path(spark, f"forest-{uuid.uuid4().hex}")
     model.write().save(path)
     saved = spark.read.parquet(f"{path}/data")
@@ -112,7 +115,7 @@ class Leaves:
 
 
 def forest_shap(model, df: DataFrame, id_col: str, features_col: str = "features", class_index: int = 1, names: list[str] | None = None) -> tuple[DataFrame, float]:
-    """X3 for a fitted ``pyspark.ml`` forest or tree classifier: ``(id, feature, shapley)`` and
+    """X3 for a fitted forest (``models.random_forest``, or a ``pyspark.ml`` forest or tree classifier): ``(id, feature, shapley)`` and
     the base value, so that base + the values of a row is the probability of class
     ``class_index``.  Features are named by ``names``, else by their index.
 
