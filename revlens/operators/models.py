@@ -252,17 +252,14 @@ def weighted_voting(df: DataFrame, prob_cols: Sequence[str], weights: Sequence[f
 
 def stacking_fit(df: DataFrame, prob_cols: Sequence[str], label_col: str) -> PipelineModel:
     """ML11: logistic regression (500 iterations) on the stacked probabilities."""
-    flat = SQLTransformer(statement="SELECT *, " + ", ".join(
-        f"{c}[{i}] AS _{c}_{i}" for c in prob_cols for i in range(_width(df, c))) + " FROM __THIS__")
-    cols = [f"_{c}_{i}" for c in prob_cols for i in range(_width(df, c))]
-    return Pipeline(stages=[flat, VectorAssembler(inputCols=cols, outputCol="_stack"),
+    # one pass for all widths: every pass works out the caller's frame again
+    widths = df.select(*[F.max(F.size(c)) for c in prob_cols]).first()
+    parts = [(c, i) for c, n in zip(prob_cols, widths) for i in range(n)]
+    flat = SQLTransformer(statement="SELECT *, " + ", ".join(f"{c}[{i}] AS _{c}_{i}" for c, i in parts) + " FROM __THIS__")
+    return Pipeline(stages=[flat, VectorAssembler(inputCols=[f"_{c}_{i}" for c, i in parts], outputCol="_stack"),
                             LogisticRegression(featuresCol="_stack", labelCol=label_col, maxIter=500)]).fit(df)
 
 
-def _width(df: DataFrame, c: str) -> int:
-    return df.select(F.max(F.size(c))).first()[0]
-
-
 # --- ML12 / ML13 -------------------------------------------------------------------
 def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """ML12: nulls -> 0, z-score with population std, constant column -> 0.
