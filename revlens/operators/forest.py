@@ -30,6 +30,7 @@ from revlens.session import materialize, scratch_path
 
 MAX_BINS = 32                # as in pyspark.ml
 TASK_BYTES = 256 << 20       # binned rows that a task holds; larger tables are fitted by pyspark.ml
+MOST_NODES = 500_000         # bound of a forest that the driver may hold: those stay pyspark.ml's
 GROW_ROWS = 500_000          # rows of all trees grown at once in a task
 SCORE_ROWS = 500_000         # rows scored by a task
 SUMMARY = 200                # quantiles of a feature that a task hands on
@@ -255,14 +256,17 @@ class Forest:
 
 
 def fit_forest(train: DataFrame, features_col: str, label_col: str, num_trees: int, max_depth: int, seed: int) -> Forest | None:
-    """A forest with balanced class weights; None if the binned rows are more than a task holds."""
+    """A forest with balanced class weights; None if pyspark.ml is to fit it: where depth or rows
+    bound its nodes to ``MOST_NODES``, or the binned rows are more than a task holds."""
+    if num_trees * 2 ** (max_depth + 1) <= MOST_NODES:
+        return None
     spark = train.sparkSession
     rows = materialize(train.select(vector_to_array(features_col).alias("x"), F.col(label_col).cast("double").alias("y")))
     parts = rows.mapInArrow(_summaries, "n long, labels binary, points array<binary>, few array<boolean>").collect()
     if not parts:
         raise ValueError("no rows to fit a forest on")
     n, width = sum(p["n"] for p in parts), len(parts[0]["points"])
-    if n * (width + 1) > TASK_BYTES:
+    if num_trees * 2 * n <= MOST_NODES or n * (width + 1) > TASK_BYTES:
         return None
     labels = sum(np.frombuffer(p["labels"], np.int64) for p in parts)
     k, seen = max(2, int(np.flatnonzero(labels)[-1]) + 1), np.count_nonzero(labels)

@@ -298,9 +298,9 @@ def balanced_weight(df: DataFrame, label_col: str) -> Column:
 def random_forest(train: DataFrame, features_col: str, label_col: str, num_trees: int = 400, max_depth: int = 30,
                   seed: int = 42):
     """ML7: distributed random forest; class-balanced weights, min leaf 1, depth capped at 30.
-    Trees are grown in tasks and never collected (``forest``); a table whose binned rows are
-    more than a task holds goes to pyspark.ml's forest, with the node of every row in every tree
-    kept."""
+    Trees are grown in tasks and never collected (``forest``); a forest of few nodes, and a table
+    whose binned rows are more than a task holds, go to pyspark.ml's forest, with the node of
+    every row in every tree kept."""
     from pyspark.ml.classification import RandomForestClassifier
     from revlens.operators.forest import fit_forest
     from revlens.session import materialize
